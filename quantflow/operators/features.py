@@ -34,10 +34,11 @@ def last_write_wins(df: DataFrame, keys: Sequence[str] = ("symbol", "date"),
 
 
 def return_1d(price: str = "close", key="symbol", order="date"):
-    """FEA3: simple return; NULL on the first row and on a zero previous price."""
+    """FEA3: simple return ``price / prev - 1`` (pandas ``pct_change``); NULL on the first
+    row and on a zero previous price."""
     w = symbol_window(key, order)
     prev = F.lag(price).over(w)
-    return F.try_divide(F.col(price) - prev, prev)
+    return F.try_divide(F.col(price), prev) - 1
 
 
 def with_features(bars: DataFrame, lookbacks: Mapping[str, int] | None = None,

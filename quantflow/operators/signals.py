@@ -49,7 +49,7 @@ def pipeline_target(features: DataFrame, price: str = "close", key="symbol",
     clean = features.na.drop()
     w = symbol_window(key, order)
     nxt = F.lead(price).over(w)
-    chg = F.try_divide(nxt - F.col(price), F.col(price))
+    chg = F.try_divide(nxt, F.col(price)) - 1
     return clean.withColumn("Target", F.coalesce(chg > 0, F.lit(False)).cast("int"))
 
 

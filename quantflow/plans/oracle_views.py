@@ -70,8 +70,7 @@ def features_sql(src: str, lookbacks: dict[str, int] | None = None) -> str:
     sel = ",\n         ".join(cols)
     return f"""r1 AS (
   SELECT symbol, date, close,
-         (close - lag(close) OVER (PARTITION BY symbol ORDER BY date))
-           / NULLIF(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) AS Return_1d
+         close / NULLIF(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS Return_1d
   FROM {src}),
 feat AS (
   SELECT symbol, date, close,

@@ -147,7 +147,7 @@ def sig2(spark, sf_dir):
 clean AS (SELECT * FROM feat WHERE close IS NOT NULL AND MA5 IS NOT NULL AND MA10 IS NOT NULL
           AND Volatility20 IS NOT NULL AND Return_1d IS NOT NULL)
 SELECT symbol, date, close,
-       CAST(coalesce((lead(close) OVER w - close) / NULLIF(close, 0) > 0, false) AS INTEGER) AS Target
+       CAST(coalesce(lead(close) OVER w / NULLIF(close, 0) - 1 > 0, false) AS INTEGER) AS Target
 FROM clean WINDOW w AS (PARTITION BY symbol ORDER BY date)""")
 def sig3(spark, sf_dir):
     out = SG.pipeline_target(_feat_li(spark, sf_dir)).select("symbol", "date", "close", "Target")
@@ -209,7 +209,7 @@ def flt2(spark, sf_dir):
 
 @register("flt4_zero_to_null", f"""WITH {BARS_EV}
 SELECT symbol, date, NULLIF(close, 0) AS close,
-       (NULLIF(close, 0) - lag(NULLIF(close, 0)) OVER w) / NULLIF(lag(NULLIF(close, 0)) OVER w, 0) AS ret
+       NULLIF(close, 0) / NULLIF(lag(NULLIF(close, 0)) OVER w, 0) - 1 AS ret
 FROM bars_ev WINDOW w AS (PARTITION BY symbol ORDER BY date)""")
 def flt4(spark, sf_dir):
     bars = EV.zero_to_null(FX.bars_ev(spark, sf_dir), "close")
