@@ -12,9 +12,19 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def round4(c, decimals: int = P.DECIMALS) -> Column:
-    """Half-even rounding (pandas/numpy semantics); Spark ``round`` is half-up."""
-    return F.bround(col(c), decimals)
+def round_even(c, decimals: int = P.DECIMALS) -> Column:
+    """Half-even rounding of the binary value, ``rint(x * 10^d) / 10^d``.
+
+    This is numpy's (hence pandas') rounding, and DuckDB's ``round_even``; Spark's
+    ``round``/``bround`` instead round the shortest decimal string of the double, which
+    differs on values such as 2.675.
+    """
+    scale = float(10 ** decimals)
+    return F.rint(col(c) * F.lit(scale)) / F.lit(scale)
+
+
+def round4(c) -> Column:
+    return round_even(c, P.DECIMALS)
 
 
 def safe_div(a, b) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantflow.functions.exprs import round_even
+
 from quantflow.operators import stats as ST
 
 HIST_BINS = 50
@@ -79,8 +81,8 @@ def pnl_box(pnl: DataFrame, keys="series", value: str = "pnl") -> DataFrame:
 
 def price_with_trades(bars: DataFrame, trades: DataFrame, keys=("symbol", "date")) -> DataFrame:
     """RPT5: close per symbol and date with trade markers; trade price and PnL rounded 2."""
-    t = trades.select(*keys, "direction", F.bround("price", 2).alias("trade_price"), "quantity",
-                      F.bround("realized_pnl", 2).alias("realized_pnl"))
+    t = trades.select(*keys, "direction", round_even("price", 2).alias("trade_price"), "quantity",
+                      round_even("realized_pnl", 2).alias("realized_pnl"))
     return bars.select(*keys, "close").join(t, list(keys), "left")
 
 

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantflow.functions.exprs import round_even
+
 from quantflow import params as P
 
 SQRT_YEAR = math.sqrt(P.PERIODS_PER_YEAR)
@@ -42,7 +44,7 @@ def daily_returns(equity: DataFrame, keys="series", order: str = "date",
     e = equity.where(F.col(value).isNotNull())
     prev = F.lag(value).over(_w(keys, order))
     r = F.when(prev.isNull(), F.lit(0.0)).otherwise(F.try_divide(F.col(value), prev) - 1)
-    return e.withColumn("ret", r if raw else F.bround(r, P.DECIMALS))
+    return e.withColumn("ret", r if raw else round_even(r, P.DECIMALS))
 
 
 def daily_pnl(equity: DataFrame, keys="series", order: str = "date",
@@ -64,7 +66,7 @@ def drawdown(equity: DataFrame, keys="series", order: str = "date",
 def cumulative_returns(returns: DataFrame, keys="series", order: str = "date") -> DataFrame:
     """STA6: running product of (1 + r) minus 1, rounded 4."""
     cp = F.product(F.lit(1.0) + F.col("ret")).over(_cum(keys, order)) - 1
-    return returns.withColumn("cum_return", F.bround(cp, P.DECIMALS))
+    return returns.withColumn("cum_return", round_even(cp, P.DECIMALS))
 
 
 def _dd_columns(equity: DataFrame, keys, order: str, value: str) -> DataFrame:
@@ -87,7 +89,7 @@ def max_drawdown(equity: DataFrame, keys="series", order: str = "date",
                                F.col("__peak_day").alias("peak_day")),
                       F.struct(F.col("drawdown"), F.col(order)))
     agg = d.groupBy(*ks).agg(trough.alias("__t"))
-    return agg.select(*ks, F.bround(F.col("__t.dd"), P.DECIMALS).alias("max_dd"),
+    return agg.select(*ks, round_even(F.col("__t.dd"), P.DECIMALS).alias("max_dd"),
                       F.greatest(F.col("__t.day") - F.col("__t.peak_day"), F.lit(0))
                       .cast("bigint").alias("max_dd_duration"))
 
@@ -99,10 +101,10 @@ def ratio_aggs(ret: str = "ret", rf: float = 0.0) -> dict[str, Column]:
     n = F.count(r)
     total = F.product(F.lit(1.0) + r) - 1
     return {
-        "sharpe": F.bround(F.try_divide(F.avg(excess), F.stddev_samp(excess)) * F.lit(SQRT_YEAR),
+        "sharpe": round_even(F.try_divide(F.avg(excess), F.stddev_samp(excess)) * F.lit(SQRT_YEAR),
                            P.DECIMALS),
-        "volatility": F.bround(F.stddev_samp(r) * F.lit(SQRT_YEAR), P.DECIMALS),
-        "annual_return": F.bround(F.pow(F.lit(1.0) + total,
+        "volatility": round_even(F.stddev_samp(r) * F.lit(SQRT_YEAR), P.DECIMALS),
+        "annual_return": round_even(F.pow(F.lit(1.0) + total,
                                         F.lit(float(P.PERIODS_PER_YEAR)) / n) - 1, P.DECIMALS),
         "sortino": F.try_divide(F.lit(SQRT_YEAR) * F.avg(r),
                                 F.stddev_pop(F.when(r < 0, r))),
@@ -126,10 +128,10 @@ def summary(equity: DataFrame, keys="series", order: str = "date",
     out = d.groupBy(*ks).agg(
         aggs["sharpe"].alias("sharpe"), aggs["volatility"].alias("volatility"),
         aggs["annual_return"].alias("annual_return"),
-        F.bround(F.product(F.lit(1.0) + F.col("ret")) - 1, P.DECIMALS).alias("total_return"),
+        round_even(F.product(F.lit(1.0) + F.col("ret")) - 1, P.DECIMALS).alias("total_return"),
         trough.alias("__t"), F.count(F.lit(1)).alias("n_points"))
     return out.select(*ks, "annual_return", "volatility", "sharpe",
-                      F.bround(F.col("__t.dd"), P.DECIMALS).alias("max_dd"),
+                      round_even(F.col("__t.dd"), P.DECIMALS).alias("max_dd"),
                       F.greatest(F.col("__t.day") - F.col("__t.peak_day"), F.lit(0))
                       .cast("bigint").alias("max_dd_duration"),
                       "total_return", "n_points")
@@ -176,7 +178,7 @@ def monthly_returns(returns: DataFrame, keys="series", order: str = "date",
     j = cal.join(per_month, ks + ["month_start"], "left")
     return j.select(*ks, F.year("month_start").alias("year"),
                     F.month("month_start").alias("month"),
-                    F.bround(F.coalesce(F.col("__g") - 1, F.lit(0.0)), decimals).alias("ret"))
+                    round_even(F.coalesce(F.col("__g") - 1, F.lit(0.0)), decimals).alias("ret"))
 
 
 def monthly_matrix(returns: DataFrame, keys="series", order: str = "date") -> DataFrame:
@@ -198,7 +200,7 @@ def cagr(equity: DataFrame, keys="series", order: str = "date", value: str = "eq
     first = F.min_by(value, order)
     level = F.try_divide(last, first) if normalise else last
     return equity.groupBy(*ks).agg(
-        F.bround(F.pow(level, F.lit(float(P.PERIODS_PER_YEAR)) / F.count(value)) - 1,
+        round_even(F.pow(level, F.lit(float(P.PERIODS_PER_YEAR)) / F.count(value)) - 1,
                  P.DECIMALS).alias("cagr"))
 
 

@@ -4,50 +4,68 @@ Each mirrors ``quantflow.sources.fixtures`` expression for expression (same DECI
 same division order) so that doubles agree bit for bit where the math is identical.
 """
 
-LI = """li AS (
+_DEFS = {
+    'li': """li AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
          l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) AS l_shipdate,
          l_extendedprice / NULLIF(l_quantity, 0) AS price
-  FROM lineitem)"""
-
-BARS_LI = LI + """,
-bars_li AS (
+  FROM lineitem)""",
+    'bars_li': """bars_li AS (
   SELECT l_suppkey AS symbol, l_shipdate AS date,
          arg_min(price, (l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS open,
          max(price) AS high, min(price) AS low,
          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / NULLIF(sum(l_quantity), 0) AS close,
          sum(l_quantity) AS volume
-  FROM li GROUP BY 1, 2)"""
-
-BARS_EV = """bars_ev AS (
+  FROM li GROUP BY 1, 2)""",
+    'bars_ev': """bars_ev AS (
   SELECT event_type AS symbol, CAST(ts AS DATE) AS date,
          arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
          arg_max(value, ts) AS close, count(*) AS volume
-  FROM events GROUP BY 1, 2)"""
-
-FILLS_LI = LI + """,
-fills_li AS (
+  FROM events GROUP BY 1, 2)""",
+    'fills_li': """fills_li AS (
   SELECT l_suppkey AS symbol, l_shipdate AS date,
          CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS direction,
          l_quantity AS quantity, price,
          row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber,
              l_partkey, l_extendedprice, l_quantity, l_returnflag, l_linestatus) AS seq
-  FROM li)"""
-
-ORDERS_LI = LI + """,
-orders_li AS (
+  FROM li)""",
+    'orders_li': """orders_li AS (
   SELECT l_suppkey AS symbol, CAST(l_shipdate - INTERVAL 1 DAY AS DATE) AS date,
          CASE WHEN l_linestatus = 'O' THEN 'LIMIT' ELSE 'MKT' END AS order_type,
          CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS direction,
          l_quantity AS quantity, price AS limit_price,
          l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice,
          l_returnflag, l_linestatus
-  FROM li)"""
-
-EQUITY_ORD = """equity_ord AS (
+  FROM li)""",
+    'equity_ord': """equity_ord AS (
   SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS date,
          CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS equity
-  FROM orders GROUP BY 1, 2)"""
+  FROM orders GROUP BY 1, 2)""",
+}
+_DEPS = {"bars_li": ["li"], "fills_li": ["li"], "orders_li": ["li"]}
+
+
+def ctes(*names: str) -> str:
+    """Comma-joined CTE definitions for the named views, dependencies first, each once."""
+    order: list[str] = []
+    for n in names:
+        for d in _DEPS.get(n, []) + [n]:
+            if d not in order:
+                order.append(d)
+    return ",\n".join(_DEFS[n] for n in order)
+
+
+def cte_def(name: str) -> str:
+    """One view's CTE definition alone (its dependencies assumed already defined)."""
+    return _DEFS[name]
+
+
+LI = ctes("li")
+BARS_LI = ctes("bars_li")
+BARS_EV = ctes("bars_ev")
+FILLS_LI = ctes("fills_li")
+ORDERS_LI = ctes("orders_li")
+EQUITY_ORD = ctes("equity_ord")
 
 
 def features_sql(src: str, lookbacks: dict[str, int] | None = None) -> str:

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from quantflow.functions.exprs import round_even
+
 from quantflow import params as P
 from quantflow.operators import reports as RP
 from quantflow.operators import stats as ST
@@ -171,7 +173,7 @@ SELECT series, date, r AS ret_raw, round_even(r, 4) AS ret FROM (
 def sta13(spark, sf_dir):
     raw = ST.daily_returns(_eq(spark, sf_dir), raw=True).withColumnRenamed("ret", "ret_raw")
     return rounded(raw.select("series", "date", "ret_raw",
-                              F.bround("ret_raw", P.DECIMALS).alias("ret")))
+                              round_even("ret_raw", P.DECIMALS).alias("ret")))
 
 
 SUMMARY_SQL = f"""WITH {RET_SQL}, {DD_SQL},

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from quantflow.functions.exprs import round_even
 from pyspark.sql import types as T
 
 
@@ -19,7 +21,7 @@ def rounded(df: DataFrame, spec: dict[str, int] | None = None) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f.name)
         if f.name in spec:
-            c = F.bround(c, spec[f.name])
+            c = round_even(c, spec[f.name])
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(f.name))
