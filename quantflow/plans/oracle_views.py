@@ -42,7 +42,20 @@ _DEFS = {
          CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS equity
   FROM orders GROUP BY 1, 2)""",
 }
-_DEPS = {"bars_li": ["li"], "fills_li": ["li"], "orders_li": ["li"]}
+_DEFS["daily_li"] = """daily_li AS (
+  SELECT lpad(CAST(symbol AS VARCHAR), 7, '0') AS ts_code,
+         CAST(strftime(date, '%Y%m%d') AS INTEGER) AS trade_date,
+         CAST(round_even(open, 4) AS DECIMAL(18,4)) AS open,
+         CAST(round_even(high, 4) AS DECIMAL(18,4)) AS high,
+         CAST(round_even(low, 4) AS DECIMAL(18,4)) AS low,
+         CAST(round_even(close, 4) AS DECIMAL(18,4)) AS close,
+         CAST(round_even(lag(close) OVER w, 4) AS DECIMAL(18,4)) AS pre_close,
+         CAST(round_even(close - lag(close) OVER w, 4) AS DECIMAL(18,4)) AS change,
+         CAST(round_even((close / NULLIF(lag(close) OVER w, 0) - 1) * 100, 4) AS DECIMAL(18,4)) AS pct_chg,
+         CAST(round_even(volume, 4) AS DECIMAL(18,4)) AS vol,
+         CAST(round_even(close * volume, 4) AS DECIMAL(18,4)) AS amount
+  FROM bars_li WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
+_DEPS = {"bars_li": ["li"], "fills_li": ["li"], "orders_li": ["li"], "daily_li": ["li", "bars_li"]}
 
 
 def ctes(*names: str) -> str:

@@ -104,3 +104,28 @@ def equity_ord(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (o.groupBy(F.col("o_orderpriority").alias("series"),
                       F.to_date("o_orderdate").alias("date"))
             .agg(F.sum(F.col("o_totalprice").cast(MONEY)).cast("double").alias("equity")))
+
+
+def daily_li(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's stored daily table shape, derived from ``bars_li``:
+    ts_code (7 chars), trade_date int yyyymmdd, prices and sizes DECIMAL(18,4)."""
+    from pyspark.sql import Window
+
+    from quantflow.functions.exprs import round_even
+
+    b = bars_li(spark, sf_dir)
+    w = Window.partitionBy("symbol").orderBy("date")
+    prev = F.lag("close").over(w)
+
+    def dec(c):
+        return round_even(c, 4).cast("decimal(18,4)")
+
+    return b.select(
+        F.lpad(F.col("symbol").cast("string"), 7, "0").alias("ts_code"),
+        F.date_format("date", "yyyyMMdd").cast("int").alias("trade_date"),
+        dec(F.col("open")).alias("open"), dec(F.col("high")).alias("high"),
+        dec(F.col("low")).alias("low"), dec(F.col("close")).alias("close"),
+        dec(prev).alias("pre_close"), dec(F.col("close") - prev).alias("change"),
+        dec((F.try_divide(F.col("close"), prev) - 1) * 100).alias("pct_chg"),
+        dec(F.col("volume")).alias("vol"),
+        dec(F.col("close") * F.col("volume")).alias("amount"))

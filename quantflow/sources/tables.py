@@ -87,6 +87,10 @@ def range_symbol_scan(df: DataFrame, start=None, end=None, symbols: Iterable | N
         out = df.where(F.to_date(c).between(F.lit(lo), F.lit(hi)))
     else:
         out = df.where(c.between(start_i, end_i))
+    if isinstance(symbols, DataFrame):
+        # A symbol table: semi-join; AQE broadcasts it at run time when it is small.
+        return out.join(symbols.select(F.col(symbols.columns[0]).alias(symbol_col)).distinct(),
+                        symbol_col, "left_semi")
     syms = list(symbols) if symbols else []
     if not syms:
         return out
