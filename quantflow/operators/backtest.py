@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantflow import params as P
+from quantflow.operators.ledger import apply_fill, new_position
 from quantflow.operators.signals import rule_avg
 
 PARAM_COLS = [f.name for f in fields(P.BacktestParams)]
@@ -63,7 +64,7 @@ def with_grid_signals(bars: DataFrame, windows: Sequence[int], key="symbol",
     return bars.withColumns(cols)
 
 
-def _fold(order_size_col: str = "order_size"):
+def _fold(order_size_col: str = "order_size", fees: P.FeeSchedule = P.FeeSchedule()):
     """Date fold of one account; a small helper run inside ``mapInPandas``."""
 
     def run(batches):
@@ -115,35 +116,16 @@ def _fold(order_size_col: str = "order_size"):
                 sym, px, sig = rec["symbol"], rec["close"], rec["signal"]
                 d = 1 if sig == "BUY" else (-1 if sig == "SELL" else 0)
                 fp = px * (1 + d * slip)
-                p = pos.setdefault(sym, [0.0, 0.0, 0.0, 0.0, 0.0])  # q, avg, bc, bq, pnl
+                p = pos.setdefault(sym, new_position())  # q, avg, bc, bq, pnl
                 rec["fill_price"], rec["action"] = fp, sig
-                amt = fp * size
-                if sig == "BUY":
-                    fee = max(amt * P.COMMISSION_RATE, P.MIN_COMMISSION)
-                    state["cash"] -= amt + fee
-                    nq = p[0] + size
-                    p[1] = ((p[1] * p[0] + amt) / nq) if nq > 0 else 0.0
-                    p[0] = nq
-                    p[2] += fee
-                    p[3] += size
-                    rec["commission"], rec["trade_pnl"] = fee, 0.0
-                elif sig == "SELL":
-                    fee = (max(amt * P.COMMISSION_RATE, P.MIN_COMMISSION)
-                           + amt * P.STAMP_DUTY_RATE + amt * P.TRANSFER_FEE_RATE)
-                    if p[3] == 0:
-                        rec["action"] = None
-                        rec["order_reject"] = "sell_without_holdings"
-                        continue
-                    tp = (fp - p[1]) * size - (size / p[3]) * p[2] - fee
-                    p[4] += tp
-                    state["cash"] += amt - fee
-                    p[0] -= size
-                    if p[0] == 0:
-                        p[1] = 0.0
-                    if p[3] > 0:
-                        p[2] *= (1 - size / p[3])
-                        p[3] -= size
-                    rec["commission"], rec["trade_pnl"] = fee, tp
+                if sig not in ("BUY", "SELL"):
+                    continue  # HOLDING fills at the close and changes nothing
+                acc, reason, fee, _, _, tpnl, cash = apply_fill(p, sig, size, fp, fees)
+                if not acc:
+                    rec["action"], rec["order_reject"] = None, reason
+                    continue
+                state["cash"] += cash
+                rec["commission"], rec["trade_pnl"] = fee, tpnl
             hold = {s: p[0] * prices.get(s, 0.0) for s, p in pos.items()}
             equity = sum(hold.values()) + state["cash"]
             for rec in recs:

@@ -41,15 +41,50 @@ STATE_FIELDS = [
 ]
 
 
+def apply_fill(pos: list, direction: str, n: float, p: float,
+               fees: P.FeeSchedule = P.FeeSchedule()) -> tuple:
+    """One fill against a position ``[q, avg, buy_comm, buy_qty, realized]`` (mutated).
+
+    Returns ``(accepted, reason, commission, stamp_rate, stamp_amount, trade_pnl,
+    cash_delta)``. The float operations and their order are the reference's.
+    """
+    q, avg, bc, bq, pnl = pos
+    amt = p * n
+    if direction == "BUY":
+        fee = max(amt * fees.commission_rate, fees.min_commission)
+        new_q = q + n
+        pos[1] = ((avg * q + amt) / new_q) if new_q > 0 else 0.0
+        pos[0] = new_q
+        pos[2] = bc + fee
+        pos[3] = bq + n
+        return True, None, fee, 0.0, 0.0, 0.0, -(amt + fee)
+    if direction == "SELL":
+        fee = (max(amt * fees.commission_rate, fees.min_commission)
+               + amt * fees.stamp_rate + amt * fees.transfer_rate)
+        if bq == 0:
+            return False, "sell_without_holdings", 0.0, 0.0, 0.0, 0.0, 0.0
+        tpnl = (p - avg) * n - (n / bq) * bc - fee
+        pos[4] = pnl + tpnl
+        q -= n
+        pos[0] = q
+        if q == 0:
+            pos[1] = 0.0
+        if bq > 0:
+            pos[2] = bc * (1 - n / bq)
+            pos[3] = bq - n
+        return True, None, fee, fees.stamp_rate, amt * fees.stamp_rate, tpnl, amt - fee
+    return False, "invalid_direction", 0.0, 0.0, 0.0, 0.0, 0.0
+
+
+def new_position() -> list:
+    return [0.0, 0.0, 0.0, 0.0, 0.0]
+
+
 def _scan(key_cols: list[str], fees: P.FeeSchedule):
-    """Row recurrence of one ledger key; a small helper run inside ``mapInPandas``."""
-    rate, mn = fees.commission_rate, fees.min_commission
-    stamp, transfer = fees.stamp_rate, fees.transfer_rate
+    """Sorted-partition walk of the ledger keys; a small helper run inside ``mapInPandas``."""
 
     def run(batches):
-        cur = None
-        q = avg = bc = bq = pnl = 0.0
-        seq = 0
+        cur, pos, seq = None, new_position(), 0
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -58,59 +93,20 @@ def _scan(key_cols: list[str], fees: P.FeeSchedule):
             dirs = pdf["direction"].tolist()
             qty = pdf["quantity"].astype("float64").tolist()
             px = pdf["price"].astype("float64").tolist()
-            n_rows = len(dirs)
-            out = {name: [None] * n_rows for name, _ in STATE_FIELDS}
-            for i in range(n_rows):
-                k = keys[i]
+            out = {name: [] for name, _ in STATE_FIELDS}
+            for k, d, n, p in zip(keys, dirs, qty, px):
                 if k != cur:
-                    cur = k
-                    q = avg = bc = bq = pnl = 0.0
-                    seq = 0
+                    cur, pos, seq = k, new_position(), 0
                 seq += 1
-                n, p, d = qty[i], px[i], dirs[i]
-                amt = p * n
-                accepted, reason = True, None
-                fee = tax_amt = tpnl = cash = 0.0
-                tax_rate = 0.0
-                if d == "BUY":
-                    fee = max(amt * rate, mn)
-                    cash = -(amt + fee)
-                    new_q = q + n
-                    avg = ((avg * q + amt) / new_q) if new_q > 0 else 0.0
-                    q = new_q
-                    bc += fee
-                    bq += n
-                elif d == "SELL":
-                    fee = max(amt * rate, mn) + amt * stamp + amt * transfer
-                    if bq == 0:
-                        accepted, reason, fee = False, "sell_without_holdings", 0.0
-                    else:
-                        tpnl = (p - avg) * n - (n / bq) * bc - fee
-                        pnl += tpnl
-                        cash = amt - fee
-                        tax_rate, tax_amt = stamp, amt * stamp
-                        q -= n
-                        if q == 0:
-                            avg = 0.0
-                        if bq > 0:
-                            bc *= (1 - n / bq)
-                            bq -= n
-                else:
-                    accepted, reason = False, "invalid_direction"
-                o = out
-                o["seq"][i] = seq
-                o["accepted"][i] = accepted
-                o["reject_reason"][i] = reason
-                o["commission"][i] = fee
-                o["stamp_tax"][i] = tax_rate
-                o["stamp_tax_amount"][i] = tax_amt
-                o["trade_pnl"][i] = tpnl
-                o["realized_pnl"][i] = pnl
-                o["cash_delta"][i] = cash
-                o["position_qty"][i] = q
-                o["avg_price"][i] = avg
-                o["total_buy_commission"][i] = bc
-                o["total_buy_quantity"][i] = bq
+                acc, reason, fee, rate, tax, tpnl, cash = apply_fill(pos, d, n, p, fees)
+                for name, v in (("seq", seq), ("accepted", acc), ("reject_reason", reason),
+                                ("commission", fee), ("stamp_tax", rate),
+                                ("stamp_tax_amount", tax), ("trade_pnl", tpnl),
+                                ("realized_pnl", pos[4]), ("cash_delta", cash),
+                                ("position_qty", pos[0]), ("avg_price", pos[1]),
+                                ("total_buy_commission", pos[2]),
+                                ("total_buy_quantity", pos[3])):
+                    out[name].append(v)
             res = pdf.drop(columns=[c for c in pdf.columns if c in out]).copy()
             for name, _ in STATE_FIELDS:
                 res[name] = pd.Series(out[name], index=pdf.index)

@@ -169,47 +169,23 @@ LEDGER_STATE = T.StructType([T.StructField(c, T.DoubleType()) for c in
 
 
 def _ledger_fn(order_cols, fees: P.FeeSchedule):
+    from quantflow.operators.ledger import apply_fill
+
     def fn(key, pdfs, state):
         q, avg, bc, bq, pnl, seq = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, 0.0, 0)
+        pos = [q, avg, bc, bq, pnl]
         batch = pd.concat(list(pdfs)).sort_values(list(order_cols), kind="mergesort")
         out = []
         for d, dt, n, p in zip(batch["direction"].tolist(), batch["date"].tolist(),
                                batch["quantity"].astype("float64").tolist(),
                                batch["price"].astype("float64").tolist()):
             seq += 1
-            amt = p * n
-            acc, fee, tpnl, cash, rate_, tax = True, 0.0, 0.0, 0.0, 0.0, 0.0
-            if d == "BUY":
-                fee = max(amt * fees.commission_rate, fees.min_commission)
-                cash = -(amt + fee)
-                nq = q + n
-                avg = ((avg * q + amt) / nq) if nq > 0 else 0.0
-                q = nq
-                bc += fee
-                bq += n
-            elif d == "SELL":
-                fee = (max(amt * fees.commission_rate, fees.min_commission)
-                       + amt * fees.stamp_rate + amt * fees.transfer_rate)
-                if bq == 0:
-                    acc, fee = False, 0.0
-                else:
-                    tpnl = (p - avg) * n - (n / bq) * bc - fee
-                    pnl += tpnl
-                    cash = amt - fee
-                    rate_, tax = fees.stamp_rate, amt * fees.stamp_rate
-                    q -= n
-                    if q == 0:
-                        avg = 0.0
-                    if bq > 0:
-                        bc *= (1 - n / bq)
-                        bq -= n
-            else:
-                acc = False
+            acc, _, fee, rate, tax, tpnl, cash = apply_fill(pos, d, n, p, fees)
             out.append({"symbol": key[0], "seq": seq, "date": dt, "direction": d, "quantity": n,
-                        "price": p, "accepted": acc, "commission": fee, "stamp_tax": rate_,
-                        "realized_pnl": pnl, "trade_pnl": tpnl, "stamp_tax_amount": tax,
-                        "cash_delta": cash, "position_qty": q, "avg_price": avg})
-        state.update((q, avg, bc, bq, pnl, seq))
+                        "price": p, "accepted": acc, "commission": fee, "stamp_tax": rate,
+                        "realized_pnl": pos[4], "trade_pnl": tpnl, "stamp_tax_amount": tax,
+                        "cash_delta": cash, "position_qty": pos[0], "avg_price": pos[1]})
+        state.update((*pos, seq))
         if out:
             yield pd.DataFrame(out)
 
