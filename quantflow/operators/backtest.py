@@ -64,34 +64,40 @@ def with_grid_signals(bars: DataFrame, windows: Sequence[int], key="symbol",
     return bars.withColumns(cols)
 
 
-def _fold(order_size_col: str = "order_size", fees: P.FeeSchedule = P.FeeSchedule()):
-    """Date fold of one account; a small helper run inside ``mapInPandas``."""
+OUT_COLS = ["account_id", "param_id", "symbol", "date", "replay", "close"] + \
+    [n for n, _ in OUT_FIELDS]
+
+
+def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule()):
+    """Date fold of one account at a time; a small helper run inside ``mapInPandas``.
+
+    ``grid`` maps param_id -> parameter dict (the sweep grid, captured in the closure, so
+    rows carry only the id). Rows arrive sorted by (account, date, replay, symbol).
+    """
 
     def run(batches):
-        state = {"acct": None}
+        st = {"acct": None}
+        out = {c: [] for c in OUT_COLS}
 
-        def reset(acct, prm):
-            state.update(acct=acct, cash=float(prm["initial_cash"]), pos={}, prices={},
-                         peak=float(prm["initial_cash"]), prm=prm)
+        def reset(acct, pid):
+            prm = grid[pid]
+            st.update(acct=acct, prm=prm, cash=float(prm["initial_cash"]), pos={}, prices={},
+                      peak=float(prm["initial_cash"]), size=float(prm["order_size"]))
 
-        def step(rows, out):
-            prm = state["prm"]
-            prices, pos = state["prices"], state["pos"]
+        def step(rows):
+            prm, prices, pos, size = st["prm"], st["prices"], st["pos"], st["size"]
             for r in rows:
-                prices[r["symbol"]] = r["close"]
-            equity_pre = state["cash"] + sum(p[0] * prices.get(s, 0.0) for s, p in pos.items())
+                prices[r[2]] = r[5]
+            equity_pre = st["cash"] + sum(p[0] * prices.get(s, 0.0) for s, p in pos.items())
             if prm["running_peak"]:
-                state["peak"] = max(state["peak"], equity_pre)
-            peak = state["peak"]
-            size = float(prm[order_size_col])
-            slip = prm["slippage"]
-            orders, recs = [], []
-            for r in rows:
-                sym, px, sig = r["symbol"], r["close"], r["signal"]
-                rec = {**r, "dd_blocked": None, "stop_blocked": None, "order_reject": None,
-                       "action": None, "fill_price": None, "commission": None,
-                       "trade_pnl": None, "equity_before": equity_pre}
-                recs.append(rec)
+                st["peak"] = max(st["peak"], equity_pre)
+            peak, slip = st["peak"], prm["slippage"]
+            dec = []
+            orders = []
+            for j, r in enumerate(rows):
+                sym, px, sig = r[2], r[5], r[6]
+                d = [None, None, None, None, None, None, None]  # dd, stop, reject, action, fp, fee, tpnl
+                dec.append(d)
                 if sig is None:
                     continue
                 dd = (1 - equity_pre / peak) >= prm["max_drawdown"]
@@ -101,67 +107,76 @@ def _fold(order_size_col: str = "order_size", fees: P.FeeSchedule = P.FeeSchedul
                     stop = (px - p[1]) / p[1] <= -prm["stop_loss"]
                     if not prm["block_sells_on_stop"] and sig != "BUY":
                         stop = False
-                rec["dd_blocked"], rec["stop_blocked"] = dd, stop
+                d[0], d[1] = dd, stop
                 if dd or stop:
-                    rec["order_reject"] = "risk_blocked"
-                    continue
-                if sig == "BUY" and state["cash"] < px * size:
-                    rec["order_reject"] = "insufficient_cash"
-                    continue
-                if sig == "SELL" and (p is None or p[0] < size):
-                    rec["order_reject"] = "insufficient_holdings"
-                    continue
-                orders.append(rec)
-            for rec in orders:
-                sym, px, sig = rec["symbol"], rec["close"], rec["signal"]
-                d = 1 if sig == "BUY" else (-1 if sig == "SELL" else 0)
-                fp = px * (1 + d * slip)
+                    d[2] = "risk_blocked"
+                elif sig == "BUY" and st["cash"] < px * size:
+                    d[2] = "insufficient_cash"
+                elif sig == "SELL" and (p is None or p[0] < size):
+                    d[2] = "insufficient_holdings"
+                else:
+                    orders.append(j)
+            for j in orders:
+                r, d = rows[j], dec[j]
+                sym, px, sig = r[2], r[5], r[6]
+                sign = 1 if sig == "BUY" else (-1 if sig == "SELL" else 0)
+                fp = px * (1 + sign * slip)
                 p = pos.setdefault(sym, new_position())  # q, avg, bc, bq, pnl
-                rec["fill_price"], rec["action"] = fp, sig
+                d[3], d[4] = sig, fp
                 if sig not in ("BUY", "SELL"):
                     continue  # HOLDING fills at the close and changes nothing
                 acc, reason, fee, _, _, tpnl, cash = apply_fill(p, sig, size, fp, fees)
                 if not acc:
-                    rec["action"], rec["order_reject"] = None, reason
+                    d[2], d[3] = reason, None
                     continue
-                state["cash"] += cash
-                rec["commission"], rec["trade_pnl"] = fee, tpnl
+                st["cash"] += cash
+                d[5], d[6] = fee, tpnl
             hold = {s: p[0] * prices.get(s, 0.0) for s, p in pos.items()}
-            equity = sum(hold.values()) + state["cash"]
-            for rec in recs:
-                p = pos.get(rec["symbol"])
-                rec["position_qty"] = p[0] if p else 0.0
-                rec["avg_price"] = p[1] if p else 0.0
-                rec["realized_pnl"] = p[4] if p else 0.0
-                rec["holding_value"] = hold.get(rec["symbol"], 0.0)
-                rec["cash"], rec["equity"] = state["cash"], equity
-                out.append(rec)
+            equity = sum(hold.values()) + st["cash"]
+            for r, d in zip(rows, dec):
+                p = pos.get(r[2])
+                for c, v in zip(("account_id", "param_id", "symbol", "date", "replay", "close"), r):
+                    out[c].append(v)
+                for c, v in zip(("dd_blocked", "stop_blocked", "order_reject", "action",
+                                 "fill_price", "commission", "trade_pnl"), d):
+                    out[c].append(v)
+                out["signal"].append(r[6])
+                out["realized_pnl"].append(p[4] if p else 0.0)
+                out["position_qty"].append(p[0] if p else 0.0)
+                out["avg_price"].append(p[1] if p else 0.0)
+                out["equity_before"].append(equity_pre)
+                out["cash"].append(st["cash"])
+                out["equity"].append(equity)
+                out["holding_value"].append(hold.get(r[2], 0.0))
+
+        def flush():
+            res = pd.DataFrame(out, columns=OUT_COLS)
+            for c in OUT_COLS:
+                out[c] = []
+            return res
 
         pending, step_key = [], None
-        in_cols = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            in_cols = list(pdf.columns)
-            out = []
-            for r in pdf.to_dict("records"):
-                if r["signal"] is not None and (isinstance(r["signal"], float)):
-                    r["signal"] = None
-                key = (r["account_id"], r["date"], r.get("replay", 0))
+            sig = pdf["signal"].astype(object).where(pdf["signal"].notna(), None)
+            cols = [pdf[c].tolist() for c in ("account_id", "param_id", "symbol", "date",
+                                              "replay", "close")] + [sig.tolist()]
+            for r in zip(*cols):
+                key = (r[0], r[3], r[4])
                 if key != step_key:
                     if pending:
-                        step(pending, out)
+                        step(pending)
                         pending = []
-                    if r["account_id"] != state["acct"]:
-                        reset(r["account_id"], {c: r[c] for c in PARAM_COLS})
+                    if r[0] != st["acct"]:
+                        reset(r[0], r[1])
                     step_key = key
                 pending.append(r)
-            if out:
-                yield pd.DataFrame(out)
+            if out["account_id"]:
+                yield flush()
         if pending:
-            out = []
-            step(pending, out)
-            yield pd.DataFrame(out)
+            step(pending)
+            yield flush()
 
     return run
 
@@ -171,46 +186,37 @@ def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
     """BKT1/BKT2: per (account, symbol, date) decision and state rows.
 
     ``bars(symbol, date, close)``; ``membership(account_id, param_id, symbol)``;
-    ``params(param_id, <BacktestParams fields>)``. The parameter table is the sweep grid,
-    a user-supplied list, so its size is known on the driver and broadcasting it is safe.
-    ``replay="per_row"`` (BKT3) replays a date once per bar of that date, as the reference
-    iterator does.
+    ``params(param_id, <BacktestParams fields>)``. The parameter table is the sweep grid, a
+    user-supplied list of settings: it is read once on the driver and travels inside the
+    fold's closure, so rows carry only ``param_id``. ``replay="per_row"`` (BKT3) replays a
+    date once per bar of that date, as the reference iterator does.
     """
     spark = bars.sparkSession
-    windows = [r[0] for r in params.select("window").distinct().collect()]  # grid, bounded
+    grid = {r["param_id"]: r.asDict() for r in params.collect()}  # the user's grid, bounded
+    windows = sorted({g["window"] for g in grid.values()})
     b = bars.select("symbol", "date", "close")
     if replay == "per_row":
         b = replay_rows(b)
-        sig_order = ["date", "replay"]
     elif replay == "per_date":
         b = b.withColumn("replay", F.lit(0))
-        sig_order = ["date", "replay"]
     else:
         raise ValueError("replay must be per_date or per_row")
-    sb = with_grid_signals(b, windows, order=sig_order)
-    rows = (membership.join(sb, "symbol")
-            .join(F.broadcast(params), "param_id"))
+    sb = with_grid_signals(b, windows, order=["date", "replay"])
+    win_of = F.create_map(*[x for pid, g in grid.items() for x in (F.lit(pid), F.lit(g["window"]))])
+    rows = membership.join(sb, "symbol").withColumn("__w", win_of[F.col("param_id")])
     sig = None
-    for W in sorted(set(windows)):
-        sig = (F.when(F.col("window") == W, F.col(f"__sig{W}")) if sig is None
-               else sig.when(F.col("window") == W, F.col(f"__sig{W}")))
-    rows = rows.withColumn("signal", sig).drop(*[f"__sig{W}" for W in windows])
+    for W in windows:
+        sig = (F.when(F.col("__w") == W, F.col(f"__sig{W}")) if sig is None
+               else sig.when(F.col("__w") == W, F.col(f"__sig{W}")))
+    rows = rows.withColumn("signal", sig)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_cols = ["account_id", "param_id", "symbol", "date", "replay", "close", "signal",
-               *PARAM_COLS]
+    in_cols = ["account_id", "param_id", "symbol", "date", "replay", "close", "signal"]
     srt = (rows.select(*in_cols).repartition(n, "account_id")
            .sortWithinPartitions("account_id", "date", "replay", "symbol"))
-    schema = T.StructType([*[srt.schema[c] for c in in_cols if c != "signal"],
-                           *[T.StructField(nm, t, True) for nm, t in OUT_FIELDS]])
-    names = [f.name for f in schema.fields]
-
-    fold = _fold()
-
-    def run(batches):
-        for pdf in fold(batches):
-            yield pdf.reindex(columns=names)
-
-    return srt.mapInPandas(run, schema)
+    types = dict(OUT_FIELDS)
+    schema = T.StructType([srt.schema[c] if c in srt.columns and c != "signal"
+                           else T.StructField(c, types[c], True) for c in OUT_COLS])
+    return srt.mapInPandas(_fold(grid), schema)
 
 
 def replay_rows(bars: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from quantflow import params as P
 from quantflow.functions.exprs import buy_fee, round_even, sell_fee
+from quantflow.session import cut_lineage
 
 MONEY = T.DecimalType(38, 4)
 
@@ -152,12 +153,20 @@ def final_positions(traj: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataF
 
 
 def positions_eod(traj: DataFrame, keys: Sequence[str] = ("symbol",),
-                  date: str = "date") -> DataFrame:
-    """End-of-date state per key and date (one row per key-date, partial aggregate)."""
+                  date: str = "date", materialize: bool = True) -> DataFrame:
+    """End-of-date state per key and date (one row per key-date, partial aggregate).
+
+    Several consumers read it (first dates, the valuation grid, cash), and the optimizer
+    rewrites each branch differently, so without a cut the Python scan would run once per
+    branch. With ``materialize`` the result (keys x dates, far smaller than the fills) is
+    checkpointed to the shared folder: the scan runs once and the lineage survives
+    executor loss.
+    """
     st = F.struct("position_qty", "avg_price", "realized_pnl")
     agg = traj.groupBy(*keys, date).agg(F.max_by(st, "seq").alias("__s"),
-                                        F.sum("cash_delta").alias("cash_delta"))
-    return agg.select(*keys, date, "__s.*", "cash_delta")
+                                        F.sum(money("cash_delta")).alias("cash_delta"))
+    out = agg.select(*keys, date, "__s.*", "cash_delta")
+    return cut_lineage(out) if materialize else out
 
 
 def cash_by_date(traj: DataFrame, account_keys: Sequence[str] = (), date: str = "date",
@@ -165,11 +174,14 @@ def cash_by_date(traj: DataFrame, account_keys: Sequence[str] = (), date: str =
                  calendar: DataFrame | None = None) -> DataFrame:
     """LED6: cash after each date = initial + running sum of accepted cash flows.
 
-    Flows are summed per (account, date) first, so the running window sees one row per
-    date however many fills a date has.
+    Accepts the trajectory or its per-(key, date) pre-aggregate (``positions_eod``, whose
+    flows are already exact DECIMAL). Flows are summed per (account, date) first, so the
+    running window sees one row per date however many fills a date has.
     """
     ak = list(account_keys)
-    daily = traj.groupBy(*ak, date).agg(F.sum(money("cash_delta")).alias("cash_delta"))
+    c = F.col("cash_delta")
+    amt = c if isinstance(traj.schema["cash_delta"].dataType, T.DecimalType) else money(c)
+    daily = traj.groupBy(*ak, date).agg(F.sum(amt).cast(MONEY).alias("cash_delta"))
     if calendar is not None:
         grid = (calendar.select(*ak, date).distinct() if ak
                 else calendar.select(date).distinct())
@@ -182,38 +194,85 @@ def cash_by_date(traj: DataFrame, account_keys: Sequence[str] = (), date: str =
 
 
 def holdings_grid(eod: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbol",),
-                  date: str = "date", price: str = "close",
-                  symbol: str = "symbol") -> DataFrame:
+                  date: str = "date", price: str = "close", symbol: str = "symbol",
+                  num_partitions: int | None = None) -> DataFrame:
     """LED8: holdings value ``quantity * last known close`` per key and calendar date,
-    from the key's first fill on (price missing -> 0).
+    from the key's first fill on (no close seen yet -> 0).
 
     The calendar is the distinct bar dates. Each key's dates are generated with
-    ``sequence`` from its first fill to the last calendar date and semi-joined to the
-    calendar, then positions and prices are carried forward with ``last(ignorenulls)``
-    over a window bounded by the number of dates per key.
+    ``sequence`` from its first fill to the last calendar date (the keys are spread over
+    ``num_partitions`` first, so the expansion runs in parallel), semi-joined to the
+    calendar, and unioned with the key's bars of every date; positions and prices are
+    carried forward with ``last(ignorenulls)`` over a window bounded by the dates per key.
     """
     ks = list(keys)
+    spark = eod.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cal = bars.select(date).distinct()
     last_day = cal.agg(F.max(date).alias("__end"))
     first = eod.groupBy(*ks).agg(F.min(date).alias("__d0"))
-    days = (first.crossJoin(F.broadcast(last_day))  # one-row frame: size-safe broadcast
+    days = (first.repartition(n, *ks)
+            .crossJoin(F.broadcast(last_day))  # one-row frame: size-safe broadcast
             .select(*ks, F.explode(F.sequence("__d0", "__end")).alias(date)))
-    grid = days.join(cal, date, "inner")
-    px = bars.select(F.col(symbol), date, F.col(price).alias("__px"))
+    grid = days.join(cal, date, "left_semi")
     g = (grid.join(eod.select(*ks, date, "position_qty"), [*ks, date], "left")
-         .join(px, [symbol, date], "left"))
-    w = Window.partitionBy(*ks).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    g = (g.withColumn("quantity", F.last("position_qty", ignorenulls=True).over(w))
+         .withColumn("__px", F.lit(None).cast("double")).withColumn("__g", F.lit(True)))
+    held = first.select(*ks)
+    px = (bars.select(F.col(symbol), date, F.col(price).alias("__px"))
+          .join(held, symbol, "left_semi")
+          .withColumn("position_qty", F.lit(None).cast("double"))
+          .withColumn("__g", F.lit(False)))
+    w = (Window.partitionBy(*ks).orderBy(date, "__g")
+         .rowsBetween(Window.unboundedPreceding, 0))
+    u = (g.unionByName(px)
+         .withColumn("quantity", F.last("position_qty", ignorenulls=True).over(w))
          .withColumn("price", F.last("__px", ignorenulls=True).over(w)))
-    return g.select(*ks, date, "quantity", "price",
-                    (F.col("quantity") * F.coalesce(F.col("price"), F.lit(0.0))).alias("value"))
+    return u.where(F.col("__g")).select(
+        *ks, date, "quantity", "price",
+        (F.col("quantity") * F.coalesce(F.col("price"), F.lit(0.0))).alias("value"))
+
+
+def holdings_value_by_date(eod: DataFrame, bars: DataFrame, calendar: DataFrame,
+                           keys: Sequence[str] = ("symbol",), account_keys: Sequence[str] = (),
+                           date: str = "date", price: str = "close",
+                           symbol: str = "symbol") -> DataFrame:
+    """Sum of holdings values per (account, calendar date) without a keys x dates grid.
+
+    A key's value only changes on its own fill or bar dates, so each key contributes its
+    value *changes* (exact DECIMAL deltas) at those dates; the per-date sums of deltas are
+    then accumulated over the calendar. Work is proportional to change points.
+    """
+    ks, ak = list(keys), list(account_keys)
+    held = eod.select(*ks).distinct()
+    q = eod.select(*ks, date, "position_qty")
+    p = bars.select(F.col(symbol), date, F.col(price).alias("__px")).join(held, symbol, "left_semi")
+    ev = q.join(p, [*ks, date], "full")
+    w = Window.partitionBy(*ks).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    ev = (ev.withColumn("__q", F.last("position_qty", ignorenulls=True).over(w))
+          .withColumn("__p", F.last("__px", ignorenulls=True).over(w)))
+    val = F.coalesce(money(F.col("__q") * F.coalesce(F.col("__p"), F.lit(0.0))),
+                     F.lit(0).cast(MONEY))
+    ev = ev.withColumn("__v", val)
+    ev = ev.withColumn("__dv", F.col("__v") - F.coalesce(
+        F.lag("__v").over(Window.partitionBy(*ks).orderBy(date)), F.lit(0).cast(MONEY)))
+    daily = ev.groupBy(*ak, date).agg(F.sum("__dv").cast(MONEY).alias("__dv"))
+    grid = calendar.select(*ak, date).distinct()
+    d = grid.join(daily, [*ak, date], "left").fillna(0, subset=["__dv"])
+    wc = Window.partitionBy(*ak).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    return d.select(*ak, date, F.sum("__dv").over(wc).cast(MONEY).alias("holdings_value"))
 
 
 def account_equity(holdings: DataFrame, cash: DataFrame, account_keys: Sequence[str] = (),
                    date: str = "date") -> DataFrame:
-    """LED9 / LED12: equity = cash + sum of holdings values per (account, date)."""
+    """LED9 / LED12: equity = cash + sum of holdings values per (account, date).
+
+    ``holdings`` is either a per-key grid with ``value`` or the per-date
+    ``holdings_value`` of ``holdings_value_by_date``."""
     ak = list(account_keys)
-    hv = holdings.groupBy(*ak, date).agg(F.sum(money("value")).alias("holdings_value"))
+    if "holdings_value" in holdings.columns:
+        hv = holdings.select(*ak, date, "holdings_value")
+    else:
+        hv = holdings.groupBy(*ak, date).agg(F.sum(money("value")).alias("holdings_value"))
     j = cash.select(*ak, date, "cash").join(hv, [*ak, date], "left")
     eq = money("cash") + F.coalesce(F.col("holdings_value"), F.lit(0).cast(MONEY))
     return j.select(*ak, date, "cash", eq.cast("double").alias("equity"))

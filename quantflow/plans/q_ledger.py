@@ -140,12 +140,12 @@ eod AS (SELECT symbol, date, arg_max(q, seq) AS q FROM traj GROUP BY symbol, dat
 cal AS (SELECT DISTINCT date FROM bars_li),
 first AS (SELECT symbol, min(date) AS d0 FROM eod GROUP BY symbol),
 grid AS (SELECT f.symbol, c.date FROM first f JOIN cal c ON c.date >= f.d0),
-g2 AS (SELECT g.symbol, g.date, e.q, b.close FROM grid g
-       LEFT JOIN eod e ON e.symbol = g.symbol AND e.date = g.date
-       LEFT JOIN bars_li b ON b.symbol = g.symbol AND b.date = g.date),
-hold AS (SELECT symbol, date, last_value(q IGNORE NULLS) OVER w AS quantity,
-                last_value(close IGNORE NULLS) OVER w AS price
-         FROM g2 WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g2 AS (SELECT g.symbol, g.date, e.q FROM grid g
+       LEFT JOIN eod e ON e.symbol = g.symbol AND e.date = g.date),
+g3 AS (SELECT symbol, date, last_value(q IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS quantity FROM g2),
+hold AS (SELECT g3.symbol, g3.date, g3.quantity, b.close AS price
+         FROM g3 ASOF LEFT JOIN bars_li b ON b.symbol = g3.symbol AND g3.date >= b.date),
 holdings AS (SELECT symbol, date, quantity, price, quantity * coalesce(price, 0.0{D}) AS value FROM hold)"""
 
 
@@ -172,10 +172,11 @@ eq AS (SELECT c.date, c.cash, CAST(CAST(round_even(c.cash, 4) AS DECIMAL(38,4))
 
 
 def _equity(spark, sf_dir):
-    traj = _traj(spark, sf_dir)
     bars = FX.bars_li(spark, sf_dir)
-    hold = LG.holdings_grid(LG.positions_eod(traj), bars)
-    cash = LG.cash_by_date(traj, calendar=bars.select("date"))
+    eod = LG.positions_eod(_traj(spark, sf_dir))  # one scan feeds holdings and cash
+    cal = bars.select("date")
+    hold = LG.holdings_value_by_date(eod, bars, cal)
+    cash = LG.cash_by_date(eod, calendar=cal)
     return hold, cash
 
 
@@ -190,7 +191,10 @@ def led9(spark, sf_dir):
 @register("led10_daily_snapshot")
 def led10(spark, sf_dir):
     """Rows-only: the holdings map has no engine-neutral text form; LED9 checks the numbers."""
-    hold, cash = _equity(spark, sf_dir)
+    bars = FX.bars_li(spark, sf_dir)
+    eod = LG.positions_eod(_traj(spark, sf_dir))
+    hold = LG.holdings_grid(eod, bars)
+    cash = LG.cash_by_date(eod, calendar=bars.select("date"))
     return rounded(LG.daily_snapshot(hold, cash), {"cash": 4, "equity": 4, "total_value": 4})
 
 
