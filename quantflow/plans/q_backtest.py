@@ -227,3 +227,12 @@ def ord2(spark, sf_dir):
     d = run_backtest(spark, sf_dir)
     return rounded(d.select("account_id", "date",
                             RK.risk_pct_quantity("cash", "close").alias("quantity")))
+
+
+@register("flt3_nonzero_equity", f"""WITH RECURSIVE {BT_SQL}
+SELECT account_id, symbol, date, q * close AS value FROM dec WHERE q * close <> 0""")
+def flt3(spark, sf_dir):
+    """Symbol-equity points of the back-test with a non-zero holding value."""
+    d = run_backtest(spark, sf_dir).select("account_id", "symbol", "date",
+                                           F.col("holding_value").alias("value"))
+    return rounded(EVT.nonzero(d, "value"))
