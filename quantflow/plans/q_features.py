@@ -190,8 +190,8 @@ def sig6(spark, sf_dir):
 FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL""", dates=("day",))
 def flt1(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return EV.drop_empty(ev, "event_type", "ts").select(
-        "event_id", "event_type", F.to_date("ts").alias("day"), "value")
+    return rounded(EV.drop_empty(ev, "event_type", "ts").select(
+        "event_id", "event_type", F.to_date("ts").alias("day"), "value"))
 
 
 @register("flt2_event_log_routing", f"""WITH {BARS_LI},
@@ -229,4 +229,4 @@ SELECT symbol, date, signal FROM sig WHERE signal IS NOT NULL""")
 def flt6(spark, sf_dir):
     bars = FX.bars_li(spark, sf_dir).select("symbol", "date", "close")
     log = EV.event_log({"FEATURE": bars, "MARKET": bars.select("symbol", "date")})
-    return EV.signals_from_log(log).select("symbol", "date", "signal")
+    return rounded(EV.signals_from_log(log).select("symbol", "date", "signal"))
