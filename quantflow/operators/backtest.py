@@ -66,23 +66,42 @@ def with_grid_signals(bars: DataFrame, windows: Sequence[int], key="symbol",
 
 OUT_COLS = ["account_id", "param_id", "symbol", "date", "replay", "close"] + \
     [n for n, _ in OUT_FIELDS]
+FINAL_FIELDS = [("account_id", T.StringType()), ("param_id", T.LongType()),
+                ("last_date", T.DateType()), ("final_cash", T.DoubleType()),
+                ("final_equity", T.DoubleType()), ("realized_pnl", T.DoubleType()),
+                ("n_trades", T.LongType())]
+FINAL_COLS = [n for n, _ in FINAL_FIELDS]
 
 
-def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule()):
+def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool = False):
     """Date fold of one account at a time; a small helper run inside ``mapInPandas``.
 
     ``grid`` maps param_id -> parameter dict (the sweep grid, captured in the closure, so
-    rows carry only the id). Rows arrive sorted by (account, date, replay, symbol).
+    rows carry only the id). Rows arrive sorted by (account, date, replay, symbol). With
+    ``final_only`` one row per account (its end state) leaves the Python worker.
     """
 
     def run(batches):
         st = {"acct": None}
         out = {c: [] for c in OUT_COLS}
+        fin = {c: [] for c in FINAL_COLS}
+
+        def close_account():
+            if st["acct"] is None:
+                return
+            for c, v in zip(FINAL_COLS, (st["acct"], st["pid"], st["last_date"], st["cash"],
+                                         st["equity"], sum(p[4] for p in st["pos"].values()),
+                                         st["n_trades"])):
+                fin[c].append(v)
 
         def reset(acct, pid):
+            if final_only:
+                close_account()
             prm = grid[pid]
-            st.update(acct=acct, prm=prm, cash=float(prm["initial_cash"]), pos={}, prices={},
-                      peak=float(prm["initial_cash"]), size=float(prm["order_size"]))
+            st.update(acct=acct, pid=pid, prm=prm, cash=float(prm["initial_cash"]), pos={},
+                      prices={}, peak=float(prm["initial_cash"]),
+                      size=float(prm["order_size"]), equity=float(prm["initial_cash"]),
+                      last_date=None, n_trades=0)
 
         def step(rows):
             prm, prices, pos, size = st["prm"], st["prices"], st["pos"], st["size"]
@@ -130,9 +149,13 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule()):
                     d[2], d[3] = reason, None
                     continue
                 st["cash"] += cash
+                st["n_trades"] += 1
                 d[5], d[6] = fee, tpnl
             hold = {s: p[0] * prices.get(s, 0.0) for s, p in pos.items()}
             equity = sum(hold.values()) + st["cash"]
+            st["equity"], st["last_date"] = equity, rows[-1][3]
+            if final_only:
+                return
             for r, d in zip(rows, dec):
                 p = pos.get(r[2])
                 for c, v in zip(("account_id", "param_id", "symbol", "date", "replay", "close"), r):
@@ -150,9 +173,10 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule()):
                 out["holding_value"].append(hold.get(r[2], 0.0))
 
         def flush():
-            res = pd.DataFrame(out, columns=OUT_COLS)
-            for c in OUT_COLS:
-                out[c] = []
+            cols, buf = (FINAL_COLS, fin) if final_only else (OUT_COLS, out)
+            res = pd.DataFrame(buf, columns=cols)
+            for c in cols:
+                buf[c] = []
             return res
 
         pending, step_key = [], None
@@ -172,24 +196,29 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule()):
                         reset(r[0], r[1])
                     step_key = key
                 pending.append(r)
-            if out["account_id"]:
+            if out["account_id"] or fin["account_id"]:
                 yield flush()
         if pending:
             step(pending)
+        if final_only:
+            close_account()
+        if out["account_id"] or fin["account_id"]:
             yield flush()
 
     return run
 
 
 def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
-             num_partitions: int | None = None, replay: str = "per_date") -> DataFrame:
+             num_partitions: int | None = None, replay: str = "per_date",
+             output: str = "decisions") -> DataFrame:
     """BKT1/BKT2: per (account, symbol, date) decision and state rows.
 
     ``bars(symbol, date, close)``; ``membership(account_id, param_id, symbol)``;
     ``params(param_id, <BacktestParams fields>)``. The parameter table is the sweep grid, a
     user-supplied list of settings: it is read once on the driver and travels inside the
     fold's closure, so rows carry only ``param_id``. ``replay="per_row"`` (BKT3) replays a
-    date once per bar of that date, as the reference iterator does.
+    date once per bar of that date, as the reference iterator does. ``output="final"``
+    returns one end-state row per account (what a sweep ranks) instead of every decision.
     """
     spark = bars.sparkSession
     grid = {r["param_id"]: r.asDict() for r in params.collect()}  # the user's grid, bounded
@@ -213,6 +242,11 @@ def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
     in_cols = ["account_id", "param_id", "symbol", "date", "replay", "close", "signal"]
     srt = (rows.select(*in_cols).repartition(n, "account_id")
            .sortWithinPartitions("account_id", "date", "replay", "symbol"))
+    if output == "final":
+        return srt.mapInPandas(_fold(grid, final_only=True),
+                               T.StructType([T.StructField(n, t, True) for n, t in FINAL_FIELDS]))
+    if output != "decisions":
+        raise ValueError("output must be decisions or final")
     types = dict(OUT_FIELDS)
     schema = T.StructType([srt.schema[c] if c in srt.columns and c != "signal"
                            else T.StructField(c, types[c], True) for c in OUT_COLS])

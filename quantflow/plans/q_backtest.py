@@ -107,11 +107,11 @@ def _bars(spark, sf_dir):
     return FX.bars_li(spark, sf_dir, price_scale=SCALE).select("symbol", "date", "close")
 
 
-def run_backtest(spark, sf_dir, grid=DEFAULT_GRID):
+def run_backtest(spark, sf_dir, grid=DEFAULT_GRID, output="decisions"):
     bars = _bars(spark, sf_dir)
     prm = BT.params_frame(spark, grid)
     members = BT.one_symbol_accounts(bars, range(len(grid)))
-    return BT.backtest(bars, members, prm)
+    return BT.backtest(bars, members, prm, output=output)
 
 
 DEC_COLS = ["account_id", "symbol", "date", "signal", "order_reject", "action", "fill_price", "commission", "trade_pnl", "cash",
@@ -134,12 +134,9 @@ SELECT account_id, CAST(param_id AS BIGINT) AS param_id, arg_max(equity, k) AS f
        CAST(count(CASE WHEN action IN ('BUY', 'SELL') THEN 1 END) AS BIGINT) AS n_trades
 FROM dec GROUP BY account_id, param_id""", dates=(), bench=True)
 def bkt2(spark, sf_dir):
-    d = run_backtest(spark, sf_dir, SWEEP_GRID)
-    return d.groupBy("account_id", "param_id").agg(
-        F.max_by("equity", "date").alias("final_equity"),
-        F.max_by("cash", "date").alias("final_cash"),
-        F.max_by("realized_pnl", "date").alias("realized_pnl"),
-        F.count(F.when(F.col("action").isin("BUY", "SELL"), 1)).alias("n_trades"))
+    d = run_backtest(spark, sf_dir, SWEEP_GRID, output="final")
+    return d.select("account_id", "param_id", "final_equity", "final_cash", "realized_pnl",
+                    "n_trades")
 
 
 @register("bkt3_replay_multiplicity")

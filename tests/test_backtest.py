@@ -74,3 +74,19 @@ def test_sweep_accounts_are_independent(spark):
     n = {r["account_id"]: r["n"] for r in d.where(F.col("action") == "BUY")
          .groupBy("account_id").agg(F.count("*").alias("n")).collect()}
     assert n == {"w3": 3, "w5": 1}
+
+
+def test_final_output_matches_decisions(spark):
+    rows = [(s, D0 + dt.timedelta(days=i), 100.0 + ((i * (3 if s == "A" else 5)) % 7))
+            for i in range(30) for s in ("A", "B")]
+    bars = _bars(spark, rows)
+    grid = [P.BacktestParams(window=3), P.BacktestParams(window=5, stop_loss=0.02)]
+    acc = [("x", 0, "A"), ("x", 0, "B"), ("y", 1, "A"), ("y", 1, "B")]
+    members = spark.createDataFrame(acc, "account_id string, param_id long, symbol string")
+    prm = BT.params_frame(spark, grid)
+    fin = {r["account_id"]: r for r in BT.backtest(bars, members, prm, output="final").collect()}
+    dec = BT.backtest(bars, members, prm)
+    for a in ("x", "y"):
+        last = dec.where((F.col("account_id") == a)).orderBy(F.col("date").desc()).first()
+        n = dec.where((F.col("account_id") == a) & F.col("action").isin("BUY", "SELL")).count()
+        assert fin[a]["final_equity"] == last["equity"] and fin[a]["n_trades"] == n
