@@ -240,17 +240,22 @@ def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
     rows = rows.withColumn("signal", sig)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_cols = ["account_id", "param_id", "symbol", "date", "replay", "close", "signal"]
+    # Dates cross the Python boundary as day numbers (plain integers convert fastest).
     srt = (rows.select(*in_cols).repartition(n, "account_id")
-           .sortWithinPartitions("account_id", "date", "replay", "symbol"))
+           .sortWithinPartitions("account_id", "date", "replay", "symbol")
+           .withColumn("date", F.unix_date("date")))
     if output == "final":
-        return srt.mapInPandas(_fold(grid, final_only=True),
-                               T.StructType([T.StructField(n, t, True) for n, t in FINAL_FIELDS]))
+        fields = [T.StructField(c, T.IntegerType() if c == "last_date" else t, True)
+                  for c, t in FINAL_FIELDS]
+        return (srt.mapInPandas(_fold(grid, final_only=True), T.StructType(fields))
+                .withColumn("last_date", F.date_from_unix_date("last_date")))
     if output != "decisions":
         raise ValueError("output must be decisions or final")
     types = dict(OUT_FIELDS)
     schema = T.StructType([srt.schema[c] if c in srt.columns and c != "signal"
                            else T.StructField(c, types[c], True) for c in OUT_COLS])
-    return srt.mapInPandas(_fold(grid), schema)
+    return (srt.mapInPandas(_fold(grid), schema)
+            .withColumn("date", F.date_from_unix_date("date")))
 
 
 def replay_rows(bars: DataFrame) -> DataFrame:
