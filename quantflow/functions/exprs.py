@@ -33,7 +33,8 @@ def safe_div(a, b) -> Column:
 
 
 def pct_change(c, prev) -> Column:
-    return F.try_divide(col(c) - col(prev), col(prev))
+    """``c / prev - 1`` (pandas ``pct_change``); NULL on a zero or missing ``prev``."""
+    return F.try_divide(col(c), col(prev)) - 1
 
 
 def buy_fee(amount, fees: P.FeeSchedule = P.FeeSchedule()) -> Column:

@@ -86,8 +86,14 @@ def price_with_trades(bars: DataFrame, trades: DataFrame, keys=("symbol", "date"
     return bars.select(*keys, "close").join(t, list(keys), "left")
 
 
-def win_loss(trades: DataFrame, pnl: str = "realized_pnl", key: str = "symbol") -> DataFrame:
-    """RPT7: count of Win (pnl > 0) / Loss (<= 0) trade records per symbol."""
+def win_loss(trades: DataFrame, pnl: str = "realized_pnl", key: str = "symbol",
+             sells_only: bool = False) -> DataFrame:
+    """RPT7: count of Win (pnl > 0) / Loss (<= 0) trade records per symbol.
+
+    Default: every record, BUY rows included, on the cumulative PnL (the reference's
+    chart). ``pnl="trade_pnl", sells_only=True`` counts closed trades by their own PnL."""
+    if sells_only:
+        trades = trades.where(F.col("direction") == "SELL")
     res = F.when(F.col(pnl) > 0, "Win").otherwise("Loss")
     return trades.groupBy(key, res.alias("result")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -233,3 +233,13 @@ def flt3(spark, sf_dir):
     d = run_backtest(spark, sf_dir).select("account_id", "symbol", "date",
                                            F.col("holding_value").alias("value"))
     return rounded(EVT.nonzero(d, "value"))
+
+
+@register("bkt4_rejects_report_backtest", f"""WITH RECURSIVE {BT_SQL}
+SELECT order_reject AS reject_reason, count(*) AS n FROM dec
+WHERE order_reject IS NOT NULL GROUP BY 1""", dates=())
+def bkt4b(spark, sf_dir):
+    """Signals blocked by the risk gates and orders refused in the back-test, by reason."""
+    from quantflow.operators import execution as EX
+    d = run_backtest(spark, sf_dir).where(F.col("order_reject").isNotNull())
+    return EX.rejects_report(d.withColumnRenamed("order_reject", "reject_reason"))

@@ -258,3 +258,11 @@ SELECT symbol, round_even(sum(realized_pnl), 4) AS pnl FROM traj WHERE accepted
           dates=())
 def rpt9(spark, sf_dir):
     return rounded(RP.symbol_contribution(LG.trade_records(_traj(spark, sf_dir))), {"pnl": 4})
+
+
+@register("rpt7_win_loss_closed_trades", f"""{W}{LEDGER_SQL}
+SELECT symbol, CASE WHEN trade_pnl > 0 THEN 'Win' ELSE 'Loss' END AS result, count(*) AS n
+FROM traj WHERE accepted AND direction = 'SELL' GROUP BY 1, 2""", dates=())
+def rpt7s(spark, sf_dir):
+    """RPT7 option: closed (SELL) trades counted by their own PnL."""
+    return RP.win_loss(LG.trade_records(_traj(spark, sf_dir)), "trade_pnl", sells_only=True)

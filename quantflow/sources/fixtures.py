@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from quantflow.sources.tables import read_table
 
 MONEY = "decimal(18,2)"
-BIG_MONEY = "decimal(38,2)"
 
 
 def bars_ev(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,8 +84,10 @@ def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
-def snapshot_backup(df: DataFrame, root: str, day: str) -> str:
-    """SNK4: full copy to ``<root>/backup_date=<yyyymmdd>``; returns the path."""
+def snapshot_backup(df: DataFrame, root: str, day: str | None = None) -> str:
+    """SNK4: full copy to ``<root>/backup_date=<yyyymmdd>`` (default today); returns the path."""
+    import datetime as _dt
+    day = day or _dt.date.today().strftime("%Y%m%d")
     path = f"{root.rstrip('/')}/backup_date={day}"
     df.write.mode("overwrite").parquet(path)
     return path

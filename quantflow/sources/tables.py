@@ -102,9 +102,14 @@ def range_symbol_scan(df: DataFrame, start=None, end=None, symbols: Iterable | N
     return out.join(F.broadcast(sym_df), symbol_col, "left_semi")
 
 
-def one_day_scan(df: DataFrame, trade_date=None, date_col: str = "trade_date") -> DataFrame:
-    """SRC4: all rows of a landing table for one trade date (default today; NULL -> none)."""
+TODAY = object()  # default marker: an omitted date means today, an explicit None means none
+
+
+def one_day_scan(df: DataFrame, trade_date=TODAY, date_col: str = "trade_date") -> DataFrame:
+    """SRC4: all rows of a landing table for one trade date (default today; None -> none)."""
     if trade_date is None:
+        return df.where(F.lit(False))
+    if trade_date is TODAY:
         trade_date = _as_yyyymmdd(None)
     if isinstance(df.schema[date_col].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         d = _dt.datetime.strptime(str(_as_yyyymmdd(trade_date)), "%Y%m%d").date()

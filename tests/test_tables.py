@@ -60,3 +60,10 @@ def test_column_mapping_missing_raises(spark):
 def test_dirty_dates_become_null(spark):
     df = spark.createDataFrame([("20240230",), ("x",)], "trade_date string")
     assert TB.date_parse(df).where(F.col("date").isNull()).count() == 2
+
+
+def test_one_day_scan_default_and_none(spark):
+    df = spark.createDataFrame(_rows([("a", 20240101, 1, 1)]), SCHEMA)
+    assert TB.one_day_scan(df, 20240101).count() == 1
+    assert TB.one_day_scan(df, None).count() == 0
+    assert TB.one_day_scan(df).count() == 0  # today: no row
