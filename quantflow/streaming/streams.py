@@ -54,18 +54,33 @@ def run_foreach_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], ckpt:
     q.awaitTermination()
 
 
+def wall_clock_utc(c):
+    """A TIMESTAMP_NTZ wall-clock as the UTC instant with the same fields.
+
+    Event-time windows are aligned to the epoch, so day windows over this instant are the
+    calendar days of the wall clock whatever the session time zone."""
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
 def tick_to_daily_bar(ticks: DataFrame, key: str = "symbol", ts: str = "ts",
                       value: str = "value", watermark: str = "1 day") -> DataFrame:
-    """STR2: tumbling one-day OHLCV per key. Event time must be TIMESTAMP (not NTZ) to carry
-    a watermark; only windows the watermark has closed are emitted (append mode)."""
-    t = ticks.withColumn(ts, F.col(ts).cast("timestamp"))
-    return (t.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, "1 day").alias("w"), F.col(key))
-            .agg(F.min_by(value, ts).alias("open"), F.max(value).alias("high"),
-                 F.min(value).alias("low"), F.max_by(value, ts).alias("close"),
+    """STR2: tumbling one-day OHLCV per key; only windows the watermark has closed are
+    emitted (append mode). The watermark needs TIMESTAMP event time: an NTZ column is
+    mapped to the UTC instant of its wall clock, and the output date is the window's epoch
+    day, so neither depends on the session time zone."""
+    c = F.col(ts)
+    if isinstance(ticks.schema[ts].dataType, T.TimestampNTZType):
+        c = wall_clock_utc(c)
+    t = ticks.withColumn("__ev", c)
+    return (t.withWatermark("__ev", watermark)
+            .groupBy(F.window("__ev", "1 day").alias("w"), F.col(key))
+            .agg(F.min_by(value, "__ev").alias("open"), F.max(value).alias("high"),
+                 F.min(value).alias("low"), F.max_by(value, "__ev").alias("close"),
                  F.count(F.lit(1)).alias("volume"))
-            .select(key, F.to_date(F.col("w.start")).alias("date"), "open", "high", "low",
-                    "close", "volume"))
+            .select(key, F.date_from_unix_date(
+                        F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int")).alias("date"),
+                    "open", "high", "low", "close", "volume"))
 
 
 # ---- per-symbol rolling state: features (STR3) and rule signal (STR5) ----------------
