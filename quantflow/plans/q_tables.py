@@ -96,7 +96,7 @@ FROM daily_li WHERE trade_date BETWEEN 19970101 AND 19971231 GROUP BY ts_code"""
 def src8(spark, sf_dir):
     q = ("SELECT ts_code, count(*) AS n_days, CAST(sum(vol) AS DOUBLE) AS vol FROM {daily} "
          "WHERE trade_date BETWEEN :lo AND :hi GROUP BY ts_code")
-    return spark.sql(q, args={"lo": 19970101, "hi": 19971231}, daily=_daily(spark, sf_dir))
+    return TB.sql_query(spark, q, {"lo": 19970101, "hi": 19971231}, daily=_daily(spark, sf_dir))
 
 
 UPSERT_SQL = f"""WITH {D},

@@ -138,9 +138,11 @@ def symbol_slice(df: DataFrame, symbol, symbol_col: str = "symbol") -> DataFrame
     return df.where(F.col(symbol_col) == F.lit(symbol))
 
 
-def sql_query(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
-    """SRC8: SQL with bound parameters (``:name`` markers), never string concatenation."""
-    return spark.sql(sql, args=args or {})
+def sql_query(spark: SparkSession, sql: str, args: dict | None = None,
+              **frames: DataFrame) -> DataFrame:
+    """SRC8: SQL with bound parameters (``:name`` markers), never string concatenation;
+    DataFrames passed as keywords are referenced as ``{name}`` in the text."""
+    return spark.sql(sql, args=args or {}, **frames)
 
 
 # ---- normalisation (NRM*) -------------------------------------------------------------
