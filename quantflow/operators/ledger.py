@@ -187,6 +187,8 @@ def cash_by_date(traj: DataFrame, account_keys: Sequence[str] = (), date: str =
                 else calendar.select(date).distinct())
         daily = (grid.join(daily, [*ak, date], "left")
                  .withColumn("cash_delta", F.coalesce("cash_delta", F.lit(0).cast(MONEY))))
+    # One row per (account, date) here: without account keys the running sum is a single
+    # partition of at most one row per calendar day, bounded whatever the fill volume.
     w = Window.partitionBy(*ak).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     cash = F.lit(initial_cash).cast(MONEY) + F.sum("cash_delta").over(w)
     return daily.select(*ak, date, F.col("cash_delta").cast("double").alias("cash_delta"),
@@ -258,6 +260,7 @@ def holdings_value_by_date(eod: DataFrame, bars: DataFrame, calendar: DataFrame,
     daily = ev.groupBy(*ak, date).agg(F.sum("__dv").cast(MONEY).alias("__dv"))
     grid = calendar.select(*ak, date).distinct()
     d = grid.join(daily, [*ak, date], "left").fillna(0, subset=["__dv"])
+    # per-(account, date) rows: bounded by the calendar even without account keys
     wc = Window.partitionBy(*ak).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     return d.select(*ak, date, F.sum("__dv").over(wc).cast(MONEY).alias("holdings_value"))
 
