@@ -220,8 +220,8 @@ def holdings_grid(eod: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbo
     g = (grid.join(eod.select(*ks, date, "position_qty"), [*ks, date], "left")
          .withColumn("__px", F.lit(None).cast("double")).withColumn("__g", F.lit(True)))
     held = first.select(*ks)
-    px = (bars.select(F.col(symbol), date, F.col(price).alias("__px"))
-          .join(held, symbol, "left_semi")
+    # prices reach every held key (e.g. each account holding the symbol)
+    px = (held.join(bars.select(F.col(symbol), date, F.col(price).alias("__px")), symbol)
           .withColumn("position_qty", F.lit(None).cast("double"))
           .withColumn("__g", F.lit(False)))
     w = (Window.partitionBy(*ks).orderBy(date, "__g")
@@ -247,7 +247,7 @@ def holdings_value_by_date(eod: DataFrame, bars: DataFrame, calendar: DataFrame,
     ks, ak = list(keys), list(account_keys)
     held = eod.select(*ks).distinct()
     q = eod.select(*ks, date, "position_qty")
-    p = bars.select(F.col(symbol), date, F.col(price).alias("__px")).join(held, symbol, "left_semi")
+    p = held.join(bars.select(F.col(symbol), date, F.col(price).alias("__px")), symbol)
     ev = q.join(p, [*ks, date], "full")
     w = Window.partitionBy(*ks).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     ev = (ev.withColumn("__q", F.last("position_qty", ignorenulls=True).over(w))

@@ -96,3 +96,31 @@ def test_money_sums_are_exact(spark):
     df = spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "v double")
     s = df.agg(F.sum(LG.money("v")).cast("double").alias("s")).first()["s"]
     assert s == 0.6
+
+
+def test_two_accounts_same_symbol_valuation(spark):
+    """Ledger keyed by (account, symbol): valuation and equity per account."""
+    fills = spark.createDataFrame(
+        [("x", "AAPL", D0, 1, "BUY", 10.0, 100.0), ("y", "AAPL", D0, 1, "BUY", 20.0, 100.0),
+         ("y", "AAPL", D0 + dt.timedelta(days=1), 2, "SELL", 5.0, 110.0)],
+        "account_id string, symbol string, date date, seq long, direction string, "
+        "quantity double, price double")
+    bars = spark.createDataFrame([("AAPL", D0, 100.0), ("AAPL", D0 + dt.timedelta(days=1), 110.0),
+                                  ("AAPL", D0 + dt.timedelta(days=2), 120.0)],
+                                 "symbol string, date date, close double")
+    traj = LG.ledger_trajectory(fills, keys=("account_id", "symbol"), order=("seq",))
+    eod = LG.positions_eod(traj, keys=("account_id", "symbol"))
+    cal = bars.select("date")
+    cal_acc = cal.crossJoin(fills.select("account_id").distinct())
+    grid = LG.holdings_grid(eod, bars, keys=("account_id", "symbol"))
+    hv = LG.holdings_value_by_date(eod, bars, cal_acc, keys=("account_id", "symbol"),
+                                   account_keys=("account_id",))
+    cash = LG.cash_by_date(eod, account_keys=("account_id",), calendar=cal_acc)
+    eq = {(r["account_id"], str(r["date"])): r["equity"]
+          for r in LG.account_equity(hv, cash, ("account_id",)).collect()}
+    eq_grid = {(r["account_id"], str(r["date"])): r["equity"]
+               for r in LG.account_equity(grid, cash, ("account_id",)).collect()}
+    assert eq == eq_grid
+    last = str(D0 + dt.timedelta(days=2))
+    assert approx(eq[("x", last)], 100000 - 1005 + 10 * 120)
+    assert approx(eq[("y", last)], 100000 - 2005 + (550 - 5 - 0.55 - 0.0055) + 15 * 120)
