@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantflow.llm import bpe, packing, tokens
+from quantflow.llm import bpe, embeddings, packing, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,5 +29,10 @@ def op9_bpe_round_trip(spark, sf_dir):
                        public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_token_counts, op9_bpe_round_trip)}
+def op10_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op4_warc_round_trip, op5_best_fit_packing, op6_token_counts, op9_bpe_round_trip,
+                                     op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
