@@ -5,13 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantflow.llm import bpe, embeddings, packing, tokens, warc
+from quantflow.llm import bpe, embeddings, packing, repetition, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark, sf_dir):
+    return repetition.quality(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_warc_round_trip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -33,6 +42,6 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op4_warc_round_trip, op5_best_fit_packing, op6_token_counts, op9_bpe_round_trip,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_warc_round_trip, op5_best_fit_packing, op6_token_counts, op9_bpe_round_trip,
                                      op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
