@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantflow.llm import bpe, embeddings, jaccard, packing, repetition, tokens, toxicity, warc
+from quantflow.llm import bpe, embeddings, jaccard, packing, repetition, substrings, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_substring_removal(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_warc_round_trip(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,6 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_warc_round_trip, op5_best_fit_packing, op6_token_counts, op7_ngram_jaccard_join, op9_bpe_round_trip,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_removal, op4_warc_round_trip, op5_best_fit_packing, op6_token_counts, op7_ngram_jaccard_join, op9_bpe_round_trip,
                                      op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
