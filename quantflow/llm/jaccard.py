@@ -139,6 +139,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, folder: str, name:
     return staged(found, folder, name)
 
 
+def link_sets(posts: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
+    """(node, root) of the nodes that a link ties to others. ``posts`` (token, node, size, place)
+    tells which nodes meet: linked nodes share a token, and have as many values left from its
+    place on in both as their overlap needs. ``sets`` (node, values) has the ordered sets."""
+    def can_link(a, b):
+        """Sizes and places of a shared shingle that leave enough overlap. A pair passes at its
+        first shared shingle if it is a link."""
+        small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+        most = F.least(F.col(f"{a}.size") - F.col(f"{a}.place"), F.col(f"{b}.size") - F.col(f"{b}.place"))
+        return (small * 100 >= large * percent) & (most * (100 + percent) >= (small + large) * percent)
+
+    band = F.floor(F.log(F.col("size").cast("double")) / np.log(100 / percent))
+    lead = (posts.groupBy("token", band.alias("band"))
+            .agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "place")).alias("lead"))
+            .select("token", "band", "lead.node", "lead.size", "lead.place"))
+    stars = (posts.withColumn("band", band).alias("p").join(lead.alias("l"), ["token", "band"])
+             .where(F.col("p.node") != F.col("l.node")).where(can_link("p", "l"))
+             .select(F.col("l.node").alias("hub"), F.col("p.node").alias("member")).distinct())
+    stars = staged(stars, folder, "stars")
+    links = verified(stars, sets, percent, folder, "star-links")
+    roots = components(links)
+    at = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+    at = staged(at.join(mixed, "token"), folder, "mixed")
+    rest = (at.alias("p").join(at.alias("q"), "token")
+            .where("p.node < q.node AND p.root <> q.root").where(can_link("p", "q"))
+            .select(F.col("p.node").alias("hub"), F.col("q.node").alias("member")).distinct()
+            .join(stars.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")),
+                  ["hub", "member"], "left_anti"))
+    rest = staged(rest, folder, "rest")
+    if not rest.isEmpty():
+        roots = components(links.unionByName(verified(rest, sets, percent, folder, "rest-links")))
+    return roots
+
+
 # ---------------------------------------------------------------- join
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
@@ -214,35 +249,8 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
     shared = posts.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("token")
     posts = staged(posts.join(shared, "token").groupBy("token", "node", "size", "place").count().drop("count"), folder, "posts")
 
-    def can_link(a, b):
-        """Sizes and places of a shared shingle that leave enough overlap. A pair passes at its
-        first shared shingle if it is a link."""
-        small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-        most = F.least(F.col(f"{a}.size") - F.col(f"{a}.place"), F.col(f"{b}.size") - F.col(f"{b}.place"))
-        return (small * 100 >= large * percent) & (most * (100 + percent) >= (small + large) * percent)
-
-    band = F.floor(F.log(F.col("size").cast("double")) / np.log(100 / percent))
-    lead = (posts.groupBy("token", band.alias("band"))
-            .agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "place")).alias("lead"))
-            .select("token", "band", "lead.node", "lead.size", "lead.place"))
-    stars = (posts.withColumn("band", band).alias("p").join(lead.alias("l"), ["token", "band"])
-             .where(F.col("p.node") != F.col("l.node")).where(can_link("p", "l"))
-             .select(F.col("l.node").alias("hub"), F.col("p.node").alias("member")).distinct())
-    stars = staged(stars, folder, "stars")
     sets = candidate_sets(rows, own, posts, common, n, folder)
-    links = verified(stars, sets, percent, folder, "star-links")
-    roots = components(links)
-    at = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    at = staged(at.join(mixed, "token"), folder, "mixed")
-    rest = (at.alias("p").join(at.alias("q"), "token")
-            .where("p.node < q.node AND p.root <> q.root").where(can_link("p", "q"))
-            .select(F.col("p.node").alias("hub"), F.col("q.node").alias("member")).distinct()
-            .join(stars.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")),
-                  ["hub", "member"], "left_anti"))
-    rest = staged(rest, folder, "rest")
-    if not rest.isEmpty():
-        roots = components(links.unionByName(verified(rest, sets, percent, folder, "rest-links")))
+    roots = link_sets(posts, sets, percent, folder)
     tied = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     tied = staged(tied.join(least, "root").select("node", "component_id"), folder, "tied")

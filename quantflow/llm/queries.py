@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantflow.llm import bpe, embeddings, jaccard, packing, repetition, substrings, tokens, toxicity, warc
+from quantflow.llm import bpe, embeddings, jaccard, packing, paragraphs, repetition, substrings, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_ngram_jaccard_join(spark, sf_dir):
     return jaccard.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_paragraph_minhash(spark, sf_dir):
+    return paragraphs.repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                        public_tokenizers.PATTERN)
@@ -50,6 +54,7 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_removal, op4_warc_round_trip, op5_best_fit_packing, op6_token_counts, op7_ngram_jaccard_join, op9_bpe_round_trip,
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_removal, op4_warc_round_trip, op5_best_fit_packing, op6_token_counts, op7_ngram_jaccard_join, op8_paragraph_minhash,
+                                     op9_bpe_round_trip,
                                      op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
