@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantflow.llm.components import components
-from quantflow.llm.shared import chunks, drop_staged, run_folder, spread, staged
+from quantflow.llm.shared import chunks, drop_staged, likely_in, run_folder, spread, staged
 from quantflow.llm.shingles import set_keys, text_shingles
 
 COMMON_TABLE = 200_000   # shared shingles that the order puts last, at most (broadcast, 3 MB)
@@ -122,10 +122,12 @@ def decide(table: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
+def verified(pairs: DataFrame, sets_of, percent: int, folder: str, name: str) -> DataFrame:
     """Those pairs (hub, member) that are links, as (a, b). A hub's members are dealt out to
     trees of about ``TREE_ROWS`` sets."""
     n = pairs.count()
+    both = pairs.select(F.col("hub").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
+    sets = staged(sets_of(both), folder, f"{name}-sets")
     trees = pairs.groupBy("hub").agg(F.ceil(F.count("*") / TREE_ROWS).cast("int").alias("trees"))
     bundles = spread(n, BUNDLE_ROWS)
     members = (pairs.join(trees, "hub").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("trees")).cast("int"))
@@ -139,10 +141,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, folder: str, name:
     return staged(found, folder, name)
 
 
-def link_sets(posts: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
+def link_sets(posts: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
     """(node, root) of the nodes that a link ties to others. ``posts`` (token, node, size, place)
     tells which nodes meet: linked nodes share a token, and have as many values left from its
-    place on in both as their overlap needs. ``sets`` (node, values) has the ordered sets."""
+    place on in both as their overlap needs. ``sets_of`` gives the ordered sets (node, values)
+    of a frame of nodes."""
     def can_link(a, b):
         """Sizes and places of a shared shingle that leave enough overlap. A pair passes at its
         first shared shingle if it is a link."""
@@ -158,7 +161,7 @@ def link_sets(posts: DataFrame, sets: DataFrame, percent: int, folder: str) -> D
              .where(F.col("p.node") != F.col("l.node")).where(can_link("p", "l"))
              .select(F.col("l.node").alias("hub"), F.col("p.node").alias("member")).distinct())
     stars = staged(stars, folder, "stars")
-    links = verified(stars, sets, percent, folder, "star-links")
+    links = verified(stars, sets_of, percent, folder, "star-links")
     roots = components(links)
     at = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
@@ -170,7 +173,7 @@ def link_sets(posts: DataFrame, sets: DataFrame, percent: int, folder: str) -> D
                   ["hub", "member"], "left_anti"))
     rest = staged(rest, folder, "rest")
     if not rest.isEmpty():
-        roots = components(links.unionByName(verified(rest, sets, percent, folder, "rest-links")))
+        roots = components(links.unionByName(verified(rest, sets_of, percent, folder, "rest-links")))
     return roots
 
 
@@ -246,24 +249,23 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
 
     posts = (rows.select("text").mapInArrow(prefixes, "token bigint, size bigint, k1 bigint, k2 bigint, place int")
              .select("token", "size", node_of("size", "k1", "k2").alias("node"), "place"))
+    posts = staged(posts, folder, "every-post")
     shared = posts.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("token")
     posts = staged(posts.join(shared, "token").groupBy("token", "node", "size", "place").count().drop("count"), folder, "posts")
+    drop_staged(spark, folder, "every-post")
 
-    sets = candidate_sets(rows, own, posts, common, n, folder)
-    roots = link_sets(posts, sets, percent, folder)
+    roots = link_sets(posts, lambda nodes: ordered_sets(rows, own, nodes, common, n), percent, folder)
     tied = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     tied = staged(tied.join(least, "root").select("node", "component_id"), folder, "tied")
-    for name in ("posts", "stars", "sets", "mixed", "rest"):
-        drop_staged(spark, folder, name)
     return own.join(tied, "node", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def candidate_sets(rows: DataFrame, own: DataFrame, posts: DataFrame, common, n: int, folder: str) -> DataFrame:
-    """(node, values): the ordered sets of the nodes that meet another one, from one text each."""
-    met = posts.select("node").distinct()
-    one = own.where("node IS NOT NULL").join(met, "node").groupBy("node").agg(F.min("id").alias("id"))
+def ordered_sets(rows: DataFrame, own: DataFrame, wanted: DataFrame, common, n: int) -> DataFrame:
+    """(node, values): the ordered sets of the wanted nodes, from one text each. Texts that have
+    no such node are left out before any shuffle, as far as a bitmap tells."""
+    one = own.where("node IS NOT NULL").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id")).select("id")
 
     def ordered(batches):
         order = Common(*common.value)
@@ -275,7 +277,6 @@ def candidate_sets(rows: DataFrame, own: DataFrame, posts: DataFrame, common, n:
             yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(k1), pa.array(k2),
                                               pa.ListArray.from_arrays(at, pa.array(value))], names=["size", "k1", "k2", "values"])
 
-    made = rows.join(one.select("id"), "id", "left_semi").select("text").mapInArrow(
-        ordered, "size bigint, k1 bigint, k2 bigint, values array<bigint>")
-    made = made.select(F.xxhash64("size", "k1", "k2").alias("node"), "values")
-    return staged(made.join(one.select("node"), "node", "left_semi").dropDuplicates(["node"]), folder, "sets")
+    texts = likely_in(rows, one, "id").where("_likely").join(one, "id", "left_semi").select("text")
+    made = texts.mapInArrow(ordered, "size bigint, k1 bigint, k2 bigint, values array<bigint>")
+    return made.select(F.xxhash64("size", "k1", "k2").alias("node"), "values")

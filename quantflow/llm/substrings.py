@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantflow.llm.lyndon import repeated_starts
-from quantflow.llm.shared import chunks, drop_staged, gather, run_folder, spread, staged, text_bytes, worker_state
+from quantflow.llm.shared import chunks, drop_staged, gather, likely_in, run_folder, spread, staged, text_bytes, worker_state
 from quantflow.llm.shingles import mix
 
 LENGTH = 200                    # bytes of a string that must not occur twice
@@ -322,7 +322,9 @@ def repeated_spans(texts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
               .select("one.tid", F.struct(F.col("one.pos").alias("pos"), F.lit(False).alias("whole"), (F.col("n") > 1).alias("done"),
                                           "gram", "kinds").alias("at")))
     wanted = whole.unionByName(differ).groupBy("tid").agg(F.collect_list("at").alias("at"))
-    met = staged(texts.join(wanted, "tid").dropDuplicates(["tid"]), folder, "met")
+    wanted = staged(wanted, folder, "wanted")
+    likely = likely_in(texts, wanted.select("tid"), "tid").where("_likely").drop("_likely")
+    met = staged(likely.join(wanted, "tid").dropDuplicates(["tid"]), folder, "met")
 
     def surroundings(batches):
         for batch in chunks(batches, 1):
