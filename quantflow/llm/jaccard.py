@@ -138,7 +138,9 @@ def verified(pairs: DataFrame, sets_of, percent: int, folder: str, name: str) ->
                     F.lit(None).cast("string").alias("member"), "values"))
     found = (hubs.unionByName(members).withColumn("bundle", F.pmod(F.xxhash64("hub", "salt"), F.lit(bundles)))
              .groupBy("bundle").applyInPandas(lambda t: decide(t, percent), "a bigint, b bigint"))
-    return staged(found, folder, name)
+    found = staged(found, folder, name)
+    drop_staged(pairs.sparkSession, folder, f"{name}-sets")
+    return found
 
 
 def link_sets(posts: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
@@ -172,6 +174,7 @@ def link_sets(posts: DataFrame, sets_of, percent: int, folder: str) -> DataFrame
             .join(stars.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")),
                   ["hub", "member"], "left_anti"))
     rest = staged(rest, folder, "rest")
+    drop_staged(posts.sparkSession, folder, "mixed")
     if not rest.isEmpty():
         roots = components(links.unionByName(verified(rest, sets_of, percent, folder, "rest-links")))
     return roots

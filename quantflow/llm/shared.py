@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -26,8 +27,13 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, so a
     lost executor repeats no work before it, and later jobs see one fixed set of rows."""
     path = f"{folder}/{name}"
+    spark, schema = df.sparkSession, df.schema
     df.write.option("compression", "zstd").mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # what the write shuffled is not read again: let Spark's cleaner see that now, not when the
+    # driver next happens to collect its garbage
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession, folder: str, name: str = "") -> None:
