@@ -254,8 +254,11 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
              .select("token", "size", node_of("size", "k1", "k2").alias("node"), "place"))
     posts = staged(posts, folder, "every-post")
     shared = posts.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("token")
-    posts = staged(posts.join(shared, "token").groupBy("token", "node", "size", "place").count().drop("count"), folder, "posts")
+    # two steps: with the aggregate in one job, the join of a hot token could not be split
+    posts = staged(posts.join(shared, "token"), folder, "met-posts")
     drop_staged(spark, folder, "every-post")
+    posts = staged(posts.distinct(), folder, "posts")
+    drop_staged(spark, folder, "met-posts")
 
     roots = link_sets(posts, lambda nodes: ordered_sets(rows, own, nodes, common, n), percent, folder)
     tied = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

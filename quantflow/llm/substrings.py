@@ -267,12 +267,13 @@ def large_groups(rows: DataFrame, folder: str) -> list[DataFrame]:
         cut = staged(cut, folder, name)
         many = cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         same = ["key", "left", "right"]
+        cut_again = staged(cut.join(many, "key"), folder, f"{name}-again")  # apart: a hot key's join can be split
         merged_ends = staged(
-            cut.join(many, "key").groupBy(*same).agg(
+            cut_again.groupBy(*same).agg(
                 F.count("*").alias("n"), F.min(F.struct("tid", "pos", "low", "done")).alias("one"))
             .select(*same, "n", "one.*"), folder, f"{name}-ends")
         # strings of rows whose ends occur again
-        twice = cut.where("NOT done").join(merged_ends.where("n > 1").select(*same), same, "left_semi")
+        twice = cut_again.where("NOT done").join(merged_ends.where("n > 1").select(*same), same, "left_semi")
         offsets = F.sequence(F.greatest(F.lit(0), band - F.length("right")), F.least(F.lit(band), F.length("left")))
         found.append(staged(twice.where((F.length("left") + F.length("right")) >= band).select(
             "tid", (F.col("pos") - F.col("low") - F.array_max(offsets)).alias("start"),
@@ -309,8 +310,8 @@ def repeated_spans(texts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
 
     every = staged(texts.mapInArrow(find, "gram bigint, around bigint, tid bigint, pos int"), folder, "anchors")
     again = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    # a text that several tasks have seen gives its anchors once
-    again = staged(every.join(again, "gram").dropDuplicates(["gram", "tid", "pos"]), folder, "again")
+    # a text that several tasks have seen stands in as many rows, so its anchors may come again
+    again = staged(every.join(again, "gram"), folder, "again")
     drop_staged(texts.sparkSession, folder, "anchors")
     kinds = staged(again.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("tid", "pos")).alias("one")),
                    folder, "kinds")
@@ -321,7 +322,7 @@ def repeated_spans(texts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]
     differ = (kinds.join(per_gram, "gram")
               .select("one.tid", F.struct(F.col("one.pos").alias("pos"), F.lit(False).alias("whole"), (F.col("n") > 1).alias("done"),
                                           "gram", "kinds").alias("at")))
-    wanted = whole.unionByName(differ).groupBy("tid").agg(F.collect_list("at").alias("at"))
+    wanted = whole.unionByName(differ).groupBy("tid").agg(F.collect_set("at").alias("at"))
     wanted = staged(wanted, folder, "wanted")
     likely = likely_in(texts, wanted.select("tid"), "tid").where("_likely").drop("_likely")
     met = staged(likely.join(wanted, "tid").dropDuplicates(["tid"]), folder, "met")
