@@ -119,10 +119,10 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool =
                 dec.append(d)
                 if sig is None:
                     continue
-                dd = (1 - equity_pre / peak) >= prm["max_drawdown"]
+                dd = peak != 0 and (1 - equity_pre / peak) >= prm["max_drawdown"]
                 p = pos.get(sym)
                 stop = False
-                if p is not None and p[0] > 0 and px > 0:
+                if p is not None and p[0] > 0 and px > 0 and p[1] != 0:
                     stop = (px - p[1]) / p[1] <= -prm["stop_loss"]
                     if not prm["block_sells_on_stop"] and sig != "BUY":
                         stop = False

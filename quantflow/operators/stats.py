@@ -155,7 +155,7 @@ def aggregate_returns(returns: DataFrame, convert_to: str, keys="series",
               "monthly": [F.year(d).alias("year"), F.month(d).alias("month")],
               "yearly": [F.year(d).alias("year")]}
     if convert_to not in groups:
-        raise ValueError("convert_to must be weekly, monthly or yearly")
+        raise ValueError(f"unknown period {convert_to!r}: choose one of {sorted(groups)}")
     return returns.groupBy(*ks, *groups[convert_to]).agg(
         (F.product(F.lit(1.0) + F.col("ret")) - 1).alias("ret"))
 

@@ -56,6 +56,7 @@ DECIMALS = 4
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
           "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
+# fixed values: names of the event types
 EVENT_TYPES = ["MARKET", "SIGNAL", "ORDER", "FILL", "SNAPSHOT", "FEATURE", "ML_FEATURE"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,9 +18,11 @@ def get_spark(app: str = "quantflow", cores: int | str | None = None,
     """
     cores = cores or os.environ.get("BENCH_CPUS", "*")
     parts = shuffle_partitions or int(os.environ.get("QF_SHUFFLE_PARTITIONS", "8"))
+    builder = SparkSession.builder.appName(app)
+    if not SparkConf().contains("spark.master"):  # spark-submit's choice stands
+        builder = builder.master(f"local[{cores}]")
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -40,7 +43,8 @@ def get_spark(app: str = "quantflow", cores: int | str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir`` when set.
 
-    Only when the session has none (local tests) do we create a scratch folder.
+    Only a local master without one (tests) gets a scratch folder; a cluster must name its own,
+    as executors would each write to their own disk.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -49,6 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return spark.sparkContext.getCheckpointDir() or conf
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="qf-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -19,13 +19,18 @@ from quantflow.sources.tables import DAILY_DDL_SCHEMA
 DAILY_KEYS = ("ts_code", "trade_date")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(hpath)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def staging_path(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/staging/{tag}-{uuid.uuid4().hex}"
 
@@ -50,23 +55,29 @@ def keyed_upsert(spark: SparkSession, table_path: str, batch: DataFrame,
     b = batch.withColumn("__prio", F.lit(1))
     if seq_col not in b.columns:
         raise ValueError(f"batch needs a '{seq_col}' column (stable load order)")
-    if _exists(spark, table_path):
+    if path_exists(spark, table_path):
         cur = spark.read.parquet(table_path)
-        touched = b.select(partition_col).distinct()
-        old = (cur.join(touched, partition_col, "left_semi")
+        missing = sorted(set(cur.columns) - set(b.columns))
+        if missing:
+            raise ValueError(f"the batch lacks stored columns: {missing}")
+        # the batch's months are few; as literals they prune the stored side's partitions
+        touched = [r[0] for r in b.select(partition_col).distinct().collect()]
+        old = (cur.where(F.col(partition_col).isin(touched))
                .withColumn("__prio", F.lit(0)).withColumn(seq_col, F.lit(0).cast("long")))
-        allrows = old.unionByName(b, allowMissingColumns=True)
+        allrows = old.unionByName(b)
     else:
         allrows = b
     w = Window.partitionBy(*keys).orderBy(F.col("__prio").desc(), F.col(seq_col).desc())
     merged = (allrows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
               .drop("__rn", "__prio", seq_col))
     stage = staging_path(spark, "upsert")
-    merged.repartition(partition_col).write.mode("overwrite").partitionBy(partition_col) \
+    # rebalance: few files a month, but a large month is written by several tasks
+    merged.hint("rebalance", partition_col).write.mode("overwrite").partitionBy(partition_col) \
         .parquet(stage)
-    staged = spark.read.parquet(stage)
-    (staged.repartition(partition_col).write.mode("overwrite")
+    staged = spark.read.schema(merged.schema).parquet(stage)
+    (staged.hint("rebalance", partition_col).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(table_path))
+    _delete(spark, stage)
     return spark.read.parquet(table_path)
 
 

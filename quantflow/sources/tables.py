@@ -59,34 +59,46 @@ def bar_table_scan(df: DataFrame) -> DataFrame:
     )
 
 
+MONTH_COL = "trade_month"  # partition column of the stored daily table: yyyymm
+
+
 def _as_yyyymmdd(d) -> int:
     if d is None:
         return int(_dt.date.today().strftime("%Y%m%d"))
     if isinstance(d, (_dt.date, _dt.datetime)):
         return int(d.strftime("%Y%m%d"))
-    return int(str(d))
+    return int(_dt.datetime.strptime(str(d), "%Y%m%d").strftime("%Y%m%d"))  # 20241340 raises
+
+
+def _within(df: DataFrame, date_col: str, start_i: int, end_i: int) -> DataFrame:
+    """Rows of an inclusive yyyymmdd range. The column itself is compared, so the bounds reach
+    the scan; a table stored by month also gets bounds on its partition column."""
+    c = F.col(date_col)
+    kind = df.schema[date_col].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        lo = _dt.datetime.strptime(str(start_i), "%Y%m%d")
+        after = _dt.datetime.strptime(str(end_i), "%Y%m%d") + _dt.timedelta(days=1)
+        out = df.where((c >= F.lit(lo.date()).cast(kind)) & (c < F.lit(after.date()).cast(kind)))
+    else:
+        out = df.where(c.between(start_i, end_i))
+    if MONTH_COL in df.columns:
+        out = out.where(F.col(MONTH_COL).between(start_i // 100, end_i // 100))
+    return out
 
 
 def range_symbol_scan(df: DataFrame, start=None, end=None, symbols: Iterable | None = None,
-                      date_col: str = "trade_date", symbol_col: str = "ts_code",
-                      broadcast_threshold: int = 10_000) -> DataFrame:
+                      date_col: str = "trade_date", symbol_col: str = "ts_code") -> DataFrame:
     """SRC3: inclusive date range and optional symbol list (empty/None = all symbols).
 
     ``end`` defaults to today, ``start`` to ``end``; start > end raises eagerly. Bounds are
-    literals, so the filter reaches the Parquet scan (and prunes ``trade_date`` partitions).
-    Long symbol lists become a semi-join against a broadcast table rather than a huge IN.
+    literals, so the filter reaches the Parquet scan, and a table stored by ``trade_month``
+    reads only the months of the range. Symbols are a semi-join, whatever their number.
     """
     end_i = _as_yyyymmdd(end)
     start_i = _as_yyyymmdd(start) if start is not None else end_i
     if start_i > end_i:
-        raise ValueError(f"start_day={start_i} > end_day={end_i}")
-    c = F.col(date_col)
-    if isinstance(df.schema[date_col].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        lo = _dt.datetime.strptime(str(start_i), "%Y%m%d").date()
-        hi = _dt.datetime.strptime(str(end_i), "%Y%m%d").date()
-        out = df.where(F.to_date(c).between(F.lit(lo), F.lit(hi)))
-    else:
-        out = df.where(c.between(start_i, end_i))
+        raise ValueError(f"empty date range: {start_i} comes after {end_i}")
+    out = _within(df, date_col, start_i, end_i)
     if isinstance(symbols, DataFrame):
         # A symbol table: semi-join; AQE broadcasts it at run time when it is small.
         return out.join(symbols.select(F.col(symbols.columns[0]).alias(symbol_col)).distinct(),
@@ -94,12 +106,8 @@ def range_symbol_scan(df: DataFrame, start=None, end=None, symbols: Iterable | N
     syms = list(symbols) if symbols else []
     if not syms:
         return out
-    if len(syms) <= broadcast_threshold:
-        return out.where(F.col(symbol_col).isin(syms))
-    # The list is bounded by the caller's argument (driver memory), so broadcasting it is safe.
-    spark = df.sparkSession
-    sym_df = spark.createDataFrame([(s,) for s in syms], [symbol_col]).distinct()
-    return out.join(F.broadcast(sym_df), symbol_col, "left_semi")
+    sym_df = df.sparkSession.createDataFrame([(s,) for s in syms], [symbol_col]).distinct()
+    return out.join(sym_df, symbol_col, "left_semi")
 
 
 TODAY = object()  # default marker: an omitted date means today, an explicit None means none
@@ -111,18 +119,19 @@ def one_day_scan(df: DataFrame, trade_date=TODAY, date_col: str = "trade_date")
         return df.where(F.lit(False))
     if trade_date is TODAY:
         trade_date = _as_yyyymmdd(None)
-    if isinstance(df.schema[date_col].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        d = _dt.datetime.strptime(str(_as_yyyymmdd(trade_date)), "%Y%m%d").date()
-        return df.where(F.to_date(F.col(date_col)) == F.lit(d))
-    return df.where(F.col(date_col) == F.lit(_as_yyyymmdd(trade_date)))
+    day = _as_yyyymmdd(trade_date)
+    return _within(df, date_col, day, day)
 
 
 def latest_universe(df: DataFrame, date_col: str = "trade_date",
                     symbol_col: str = "ts_code") -> DataFrame:
     """SRC5: symbols having a row on the table's latest date.
 
-    The one-row ``max`` is a scalar (bounded size) so the broadcast is safe at any scale.
+    The one-row ``max`` is a scalar (bounded size) so the broadcast is safe at any scale. Of a
+    table stored by month only the last month is read.
     """
+    if MONTH_COL in df.columns:
+        df = df.where(F.col(MONTH_COL) == F.lit(df.agg(F.max(MONTH_COL)).first()[0]))
     latest = df.agg(F.max(date_col).alias("__latest"))
     return (df.join(F.broadcast(latest), F.col(date_col) == F.col("__latest"))
             .select(symbol_col))

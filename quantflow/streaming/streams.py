@@ -107,8 +107,9 @@ def _seq_mean(xs):
 
 
 def _features_fn(lookbacks: Mapping[str, int], window: int):
-    keep_p = max([n for k, n in lookbacks.items() if "MA" in k] + [window, 2])
-    keep_r = max([n for k, n in lookbacks.items() if "Volatility" in k] + [1])
+    # one more than the longest window: a revised bar gives up the last entry
+    keep_p = max([n for k, n in lookbacks.items() if "MA" in k] + [window, 2]) + 1
+    keep_r = max([n for k, n in lookbacks.items() if "Volatility" in k] + [1]) + 1
 
     def fn(key, pdfs, state):
         if state.exists:
@@ -120,8 +121,10 @@ def _features_fn(lookbacks: Mapping[str, int], window: int):
         batch = batch.drop_duplicates("date", keep="last")  # a repeated date: last wins
         out = []
         for d, c in zip(batch["date"].tolist(), batch["close"].tolist()):
-            if last is not None and d <= last:
+            if last is not None and d < last:
                 continue  # late bar: dropped by policy
+            if d == last:  # a revised bar takes the place of the one before
+                prices, rets, n = prices[:-1], rets[:-1], n - 1
             prev = prices[-1] if prices else None
             r = (c / prev - 1) if (prev is not None and prev != 0) else None
             prices.append(c)
@@ -160,7 +163,8 @@ def _features_fn(lookbacks: Mapping[str, int], window: int):
 def streaming_features(bars: DataFrame, lookbacks: Mapping[str, int] | None = None,
                        window: int = P.RULE_WINDOW) -> DataFrame:
     """STR3 + STR5: per-symbol state of the last prices/returns -> FEA1-3 and SIG1 per bar.
-    A bar at or before the symbol's last processed date is dropped (late data policy)."""
+    A bar of the symbol's last date revises it and gives a new row; an earlier one is dropped
+    (late data policy)."""
     lookbacks = dict(P.DEFAULT_LOOKBACKS if lookbacks is None else lookbacks)
     return bars.select("symbol", "date", "close").groupBy("symbol").applyInPandasWithState(
         _features_fn(lookbacks, window), FEATURE_OUT, FEATURE_STATE, "append",

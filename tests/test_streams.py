@@ -5,6 +5,24 @@ import datetime as dt
 from quantflow.streaming import streams as ST
 
 
+def test_revised_bar_takes_the_place_of_the_last():
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    fn, state, out = ST._features_fn({"MA2": 2}, 2), State(), []
+    day = [dt.date(2024, 1, k) for k in (1, 2, 3)]
+    for batch in ([(day[0], 6.0)], [(day[1], 2.0)], [(day[1], 9.0), (day[0], 1.0)], [(day[2], 3.0)]):
+        for frame in fn(("a",), iter([pd.DataFrame(batch, columns=["date", "close"])]), state):
+            out += frame[["date", "close", "Return_1d", "MA2"]].values.tolist()
+    assert [r[1] for r in out] == [6.0, 2.0, 9.0, 3.0]
+    assert out[2][2:] == [0.5, 7.5] and abs(out[3][2] + 2 / 3) < 1e-12 and out[3][3] == 6.0
+
+
 def test_daily_bars_follow_wall_clock_in_any_session_zone(spark):
     rows = [("a", dt.datetime(2024, 1, 1, 23, 30), 1.0), ("a", dt.datetime(2024, 1, 2, 0, 10), 2.0),
             ("a", dt.datetime(2024, 1, 2, 9, 0), 3.0)]
