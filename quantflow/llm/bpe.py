@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantflow.llm.pretokens import pretokens
-from quantflow.llm.shared import binary_array, chunks, gather, text_bytes, worker_state
+from quantflow.llm.shared import Generations, binary_array, chunks, gather, text_bytes, worker_state
 
-CACHE_SIZE = 200_000      # pre-tokens that a worker holds at most
+CACHE_SIZE = 150_000      # pre-tokens in each of the two generations that a worker holds
 CHUNK_BYTES = 12 << 20    # text that one replay covers
 LONG_WORD = 64
 SHIFT = 1 << 20
@@ -147,10 +147,8 @@ def one_by_one(word: bytes, m: Merges) -> tuple[int, ...]:
 
 def encode_words(words: list[bytes], path: str) -> list[tuple[int, ...]]:
     """Ids of distinct words, from the worker's cache or by a replay of those it lacks."""
-    held = worker_state(("bpe-ids", path), dict)
-    out = [held.get(w) for w in words]
-    if len(held) > CACHE_SIZE:
-        held.clear()
+    held = worker_state(("bpe-ids", path), lambda: Generations(CACHE_SIZE))
+    out = held.get_all(words)
     m = merges(path)
     miss = []
     for i, w in enumerate(words):
@@ -162,7 +160,7 @@ def encode_words(words: list[bytes], path: str) -> list[tuple[int, ...]]:
     for i, ids in zip(miss, replay([words[i] for i in miss], m)):
         out[i] = ids
         if len(words[i]) <= LONG_WORD:
-            held[words[i]] = ids
+            held.put(words[i], ids)
     return out
 
 

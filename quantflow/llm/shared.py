@@ -52,6 +52,28 @@ def worker_state(key, make: Callable):
     return held[key]
 
 
+class Generations:
+    """A bounded cache of two generations: when the young one is full it becomes the old one,
+    so what is looked up often survives and what came once goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get_all(self, keys: list) -> list:
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            v = young.get(k)
+            if v is None and (v := old.get(k)) is not None:
+                young[k] = v
+            out.append(v)
+        return out
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 def byte_offsets(column: pa.Array) -> np.ndarray:
     """Start offsets (n + 1) of a string or binary array in its own data buffer."""
     kind = np.int64 if column.type in (pa.large_string(), pa.large_binary()) else np.int32

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantflow.llm.pretokens import pretokens
-from quantflow.llm.shared import byte_offsets, chunks, gather, text_bytes, worker_state
+from quantflow.llm.shared import Generations, chunks, gather, text_bytes, worker_state
 
 TABLE_SIZE = 20_000      # pre-tokens in the broadcast table (about 1 MB), whatever the input
-CACHE_SIZE = 200_000     # pre-tokens that a worker holds at most
+CACHE_SIZE = 150_000     # pre-tokens in each of the two generations that a worker holds
 LONG_WORD = 64           # longer pre-tokens are encoded, never held
 
 
@@ -46,22 +46,19 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.held: dict[bytes, tuple[int, ...]] = worker_state(("ids", path), dict)
+        self.held = worker_state(("ids", path), lambda: Generations(CACHE_SIZE))
 
     def look_up(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        held = self.held
-        out = [held.get(w) for w in words]
+        out = self.held.get_all(words)
         miss = [i for i, ids in enumerate(out) if ids is None]
         if miss:
-            if len(held) > CACHE_SIZE:
-                held.clear()
             for a in range(0, len(miss), 4096):
                 part = miss[a:a + 4096]
                 made = self.tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)
                 for i, e in zip(part, made):
                     out[i] = ids = tuple(e.ids)
                     if len(words[i]) <= LONG_WORD:
-                        held[words[i]] = ids
+                        self.held.put(words[i], ids)
         return out
 
 
