@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -15,11 +16,24 @@ from pyspark.sql import functions as F
 
 from quantflow.session import checkpoint_dir
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to ``BATCH_BYTES``: ten thousand whole texts, the usual
+    batch, fill tens of MB in the executor and again in its Python worker. A smaller limit that
+    the session has already stays."""
+    held = spark.conf.get(BATCH_SETTING, "64m")
+    limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held)
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def run_folder(spark: SparkSession, what: str) -> str:
     """A new folder for one run below the shared checkpoint folder."""
+    bound_batches(spark)
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex[:12]}"
 
 
@@ -84,7 +98,7 @@ def byte_offsets(column: pa.Array) -> np.ndarray:
 def chunks(batches: Iterable[pa.RecordBatch], column: str | int,
            most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose texts hold about ``most`` bytes at most; a
-    longer text forms a run of its own."""
+    longer text forms a run of its own. After each batch the worker hands free memory back."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -94,6 +108,16 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str | int,
             end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
             yield batch.slice(row, end - row)
             row = end
+        hand_back()
+
+
+def hand_back() -> None:
+    """Return memory that was freed to the system: workers live on between tasks, and what the
+    allocators keep of one stage is missing for the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(worker_state("libc", lambda: ctypes.CDLL(None)), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

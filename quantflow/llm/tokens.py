@@ -8,8 +8,8 @@ summaries of frequent pre-tokens (``TABLE_SIZE`` rows a task) meet to build the
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantflow.llm.pretokens import pretokens
-from quantflow.llm.shared import Generations, chunks, gather, text_bytes, worker_state
+from quantflow.llm.shared import Generations, bound_batches, chunks, gather, text_bytes, worker_state
 
 TABLE_SIZE = 20_000      # pre-tokens in the broadcast table (about 1 MB), whatever the input
 CACHE_SIZE = 150_000     # pre-tokens in each of the two generations that a worker holds
+ID_BYTES = array("I").itemsize
 LONG_WORD = 64           # longer pre-tokens are encoded, never held
 
 
@@ -42,13 +43,14 @@ def special_strings(path: str) -> list[bytes]:
 
 
 class WordIds:
-    """Token ids of pre-tokens: the worker's cache, filled by the library in batches."""
+    """Token ids of pre-tokens, four bytes each: the worker's cache, filled by the library in
+    batches."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.held = worker_state(("ids", path), lambda: Generations(CACHE_SIZE))
 
-    def look_up(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def look_up(self, words: list[bytes]) -> list[bytes]:
         out = self.held.get_all(words)
         miss = [i for i, ids in enumerate(out) if ids is None]
         if miss:
@@ -56,7 +58,7 @@ class WordIds:
                 part = miss[a:a + 4096]
                 made = self.tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)
                 for i, e in zip(part, made):
-                    out[i] = ids = tuple(e.ids)
+                    out[i] = ids = array("I", e.ids).tobytes()
                     if len(words[i]) <= LONG_WORD:
                         self.held.put(words[i], ids)
         return out
@@ -82,8 +84,8 @@ def encode_chunk(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     data, docs = text_bytes(column)
     words, counts, unknown = pretokens(data, docs)
     ids = WordIds(path).look_up(words.dictionary.to_pylist())
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // ID_BYTES
+    flat = np.frombuffer(b"".join(ids), np.uintc).astype(np.int64)
     first = np.cumsum(size) - size
     code = words.indices.to_numpy()
     tokens = flat[gather(first[code], size[code])]
@@ -138,8 +140,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     tokens. Repeated rows and null ids are counted row by row; other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     often = frequent_pretokens(docs, text_col)
-    lengths = {w: len(ids) for w, ids in zip(often, WordIds(tokenizer).look_up(often))}
+    lengths = {w: len(ids) // ID_BYTES for w, ids in zip(often, WordIds(tokenizer).look_up(often))}
     table = spark.sparkContext.broadcast(lengths)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -152,7 +155,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             size = [first.get(w, -1) for w in distinct]
             miss = [i for i, n in enumerate(size) if n < 0]
             for i, ids in zip(miss, second.look_up([distinct[i] for i in miss])):
-                size[i] = len(ids)
+                size[i] = len(ids) // ID_BYTES
             ends = np.append(0, np.cumsum(np.array(size, np.int64)[words.indices.to_numpy()]))
             n = np.diff(ends[np.append(0, np.cumsum(counts))])
             for i in by_library(data, at, unknown, tokenizer):
