@@ -192,9 +192,9 @@ def monthly_matrix(returns: DataFrame, keys="series", order: str = "date") -> Da
 
 
 def cagr(equity: DataFrame, keys="series", order: str = "date", value: str = "equity",
-         normalise: bool = True) -> DataFrame:
-    """STA11: last ** (252 / n) - 1, rounded 4; on the curve divided by its first value
-    (the formula assumes a curve that starts at 1)."""
+         normalise: bool = False) -> DataFrame:
+    """STA11: last ** (252 / n) - 1, rounded 4. The formula assumes a curve that starts at 1;
+    ``normalise`` divides any other by its first value."""
     ks = _keys(keys)
     last = F.max_by(value, order)
     first = F.min_by(value, order)

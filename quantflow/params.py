@@ -6,7 +6,7 @@ FIXED VALUES (must equal the behaviour being reproduced; stated plainly, in natu
 - ML training window: 60 rows; ML features: MA5, MA10, Return_1d
 - ML minimum confidence: 0.1
 - random forest: 100 trees, seed 42; logistic regression: lbfgs, 200 iterations, seed 42
-- ML pipeline buffer: 200 rows, minimum rows: 30, retrain frequency: 50 bars
+- ML pipeline features: MA5, MA10, Volatility20, Return_1d; buffer: 200 rows, minimum rows: 30
 - early-stop log loss: 0.1
 - initial cash: 100000
 - slippage: 0.0005
@@ -34,9 +34,9 @@ RF_SEED = 42
 LR_SOLVER = "lbfgs"
 LR_MAX_ITER = 200
 LR_SEED = 42
+PIPELINE_FEATURES = ["MA5", "MA10", "Volatility20", "Return_1d"]
 PIPELINE_BUFFER = 200
 PIPELINE_MIN_ROWS = 30
-PIPELINE_RETRAIN_FREQ = 50
 EARLY_STOP_LOGLOSS = 0.1
 
 INITIAL_CASH = 100000.0

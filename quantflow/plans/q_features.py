@@ -91,20 +91,20 @@ BUFFER_N = 30
 
 
 @register("fea7_training_buffer", f"""WITH {BARS_LI}, b AS (
-  SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn
-  FROM bars_li)
-SELECT t.symbol, t.date, CAST(t.rn - s.rn AS BIGINT) AS lag_pos, s.date AS buf_date,
-       s.close AS close
-FROM b t JOIN b s ON s.symbol = t.symbol AND s.rn BETWEEN t.rn - {BUFFER_N - 1} AND t.rn""",
-          dates=("date", "buf_date"))
+  SELECT symbol, date, list(date) OVER w AS days, list(close) OVER w AS closes FROM bars_li
+  WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS {BUFFER_N - 1} PRECEDING))
+SELECT symbol, date, CAST(len(days) AS INTEGER) AS n_rows, days[1] AS first_date,
+       array_to_string([strftime(d, '%Y%m%d') FOR d IN days], ' ') AS days,
+       list_reduce(closes, lambda x, y: x * 0.5 + y) AS close_fold
+FROM b""", dates=("date", "first_date"))
 def fea7(spark, sf_dir):
-    bars = FX.bars_li(spark, sf_dir)
-    buf = FE.training_buffer(bars, BUFFER_N, ["date", "close"])
-    ex = buf.select("symbol", "date", F.size("buffer").alias("__n"),
-                    F.posexplode("buffer").alias("__p", "b"))
-    out = ex.select("symbol", "date", (F.col("__n") - 1 - F.col("__p")).cast("bigint").alias("lag_pos"),
-                    F.col("b.date").alias("buf_date"), F.col("b.close").alias("close"))
-    return rounded(out)
+    """One row per bar: its buffer's size, first date, dates and closes in order (the closes as
+    a fold that depends on their order)."""
+    buf = FE.training_buffer(FX.bars_li(spark, sf_dir), BUFFER_N, ["date", "close"])
+    return rounded(buf.select(
+        "symbol", "date", F.size("buffer").alias("n_rows"), F.get("buffer", F.lit(0))["date"].alias("first_date"),
+        F.array_join(F.transform("buffer", lambda x: F.date_format(x["date"], "yyyyMMdd")), " ").alias("days"),
+        F.aggregate("buffer", F.lit(0.0), lambda a, x: a * 0.5 + x["close"]).alias("close_fold")))
 
 
 @register("fea8_feature_store", f"""WITH {BARS_LI}, {features_sql('bars_li')}

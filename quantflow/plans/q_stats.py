@@ -151,11 +151,14 @@ def sta10y(spark, sf_dir):
 
 
 @register("sta11_cagr", f"""WITH {EQUITY_ORD}
-SELECT series, round_even(pow(arg_max(equity, date) / NULLIF(arg_min(equity, date), 0),
-                              252.0 / count(equity)) - 1, 4) AS cagr
+SELECT series, round_even(pow(arg_max(equity, date), 252.0 / count(equity)) - 1, 4) AS cagr,
+       round_even(pow(arg_max(equity, date) / NULLIF(arg_min(equity, date), 0),
+                      252.0 / count(equity)) - 1, 4) AS cagr_from_first
 FROM equity_ord GROUP BY series""", dates=())
 def sta11(spark, sf_dir):
-    return ST.cagr(_eq(spark, sf_dir))
+    eq = _eq(spark, sf_dir)
+    from_first = ST.cagr(eq, normalise=True).withColumnRenamed("cagr", "cagr_from_first")
+    return ST.cagr(eq).join(from_first, "series")
 
 
 @register("sta12_sortino", f"""WITH {RET_SQL}
