@@ -300,12 +300,10 @@ def symbol_equity_history(holdings: DataFrame) -> DataFrame:
     return holdings.where(F.col("value") != 0)
 
 
-def symbol_equity_wide(history: DataFrame, symbol: str = "symbol", date: str = "date",
-                       symbols: Sequence | None = None) -> DataFrame:
-    """LED13 aligned view (display only; the long form is the primary table)."""
-    g = history.groupBy(date)
-    p = g.pivot(symbol, list(symbols)) if symbols is not None else g.pivot(symbol)
-    return p.agg(F.first("value"))
+def symbol_equity_wide(history: DataFrame, symbols: Sequence, symbol: str = "symbol",
+                       date: str = "date") -> DataFrame:
+    """LED13: aligned view of ``symbols`` (display only; the long form is the primary table)."""
+    return history.groupBy(date).pivot(symbol, list(symbols)).agg(F.first("value"))
 
 
 def valid_fills(fills: DataFrame) -> DataFrame:

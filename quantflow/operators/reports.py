@@ -15,27 +15,20 @@ HIST_BINS = 50
 BOX_PCTS = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
-def price_pivot(bars: DataFrame, symbols: Sequence | None = None, key: str = "symbol",
+def price_pivot(bars: DataFrame, symbols: Sequence, key: str = "symbol",
                 order: str = "date", value: str = "close") -> DataFrame:
-    """RPT1: date x symbol matrix of the mean close.
+    """RPT1: date x symbol matrix of the mean close, one column for each of ``symbols``.
 
-    Pass ``symbols`` when known: an explicit pivot list avoids the extra distinct job and
-    bounds the output width. Without it Spark computes the distinct values (capped by
-    ``spark.sql.pivotMaxValues``); a matrix is a display form, so it stays narrow.
-    """
-    g = bars.groupBy(order)
-    p = g.pivot(key, list(symbols)) if symbols is not None else g.pivot(key)
-    return p.agg(F.avg(value))
+    The list bounds the output's width and saves a job that looks for the values; the bars
+    themselves are the long form, whatever the number of symbols."""
+    return bars.groupBy(order).pivot(key, list(symbols)).agg(F.avg(value))
 
 
-def equity_wide(equity: DataFrame, key: str = "series", order: str = "date",
-                value: str = "equity", exclude: str = "account",
-                series: Sequence | None = None) -> DataFrame:
-    """RPT1b: date-aligned equity per series (outer alignment on date), account excluded."""
+def equity_wide(equity: DataFrame, series: Sequence, key: str = "series", order: str = "date",
+                value: str = "equity", exclude: str = "account") -> DataFrame:
+    """RPT1b: date-aligned equity of ``series`` (outer alignment on date), account excluded."""
     e = equity.where(F.col(key) != F.lit(exclude))
-    g = e.groupBy(order)
-    p = g.pivot(key, list(series)) if series is not None else g.pivot(key)
-    return p.agg(F.max(value))
+    return e.groupBy(order).pivot(key, list(series)).agg(F.max(value))
 
 
 def daily_and_cum_pnl(equity: DataFrame, keys="series", order: str = "date",

@@ -217,10 +217,10 @@ def led12(spark, sf_dir):
 
 @register("led13_symbol_equity_wide")
 def led13(spark, sf_dir):
-    """Rows-only: the column set is the data's symbol list (display form of LED11)."""
-    hist = LG.symbol_equity_history(_holdings(spark, sf_dir))
-    wide = LG.symbol_equity_wide(hist.withColumn("symbol", F.col("symbol").cast("string")))
-    return rounded(wide)
+    """Rows-only: one column for each symbol of the data (display form of LED11)."""
+    hist = LG.symbol_equity_history(_holdings(spark, sf_dir)).withColumn("symbol", F.col("symbol").cast("string"))
+    symbols = sorted(r[0] for r in hist.select("symbol").distinct().collect())
+    return rounded(LG.symbol_equity_wide(hist, symbols))
 
 
 @register("led14_valid_fill_filter", f"""WITH {ctes("fills_li")}

@@ -217,7 +217,7 @@ _pp = ",\n       ".join(f"avg(CASE WHEN symbol = '{t}' THEN close END) AS {t}" f
 SELECT date, {_pp}
 FROM bars_ev GROUP BY date""")
 def rpt1(spark, sf_dir):
-    return rounded(RP.price_pivot(FX.bars_ev(spark, sf_dir)))
+    return rounded(RP.price_pivot(FX.bars_ev(spark, sf_dir), EV_TYPES))
 
 
 PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -228,7 +228,7 @@ _ep = ",\n       ".join(f"max(CASE WHEN series = '{t}' THEN equity END) AS \"{t}
 SELECT date, {_ep}
 FROM equity_ord WHERE series <> 'account' GROUP BY date""")
 def rpt1b(spark, sf_dir):
-    return rounded(RP.equity_wide(_eq(spark, sf_dir)))
+    return rounded(RP.equity_wide(_eq(spark, sf_dir), PRIOS))
 
 
 @register("rpt2_daily_and_cum_pnl", f"""WITH {EQUITY_ORD},

@@ -59,3 +59,10 @@ def test_aggregate_returns_rejects_unknown(spark):
     import pytest
     with pytest.raises(ValueError):
         ST.aggregate_returns(ST.daily_returns(_eq(spark, [1, 2])), "daily")
+
+
+def test_cagr_takes_the_curve_as_it_is(spark):
+    eq = spark.createDataFrame([("a", dt, 2.0 + i) for i, dt in enumerate(["2024-01-01", "2024-01-02", "2024-01-03"])],
+                               "series string, date string, equity double")
+    assert ST.cagr(eq).first()["cagr"] == round(4.0 ** 84 - 1, 4)
+    assert ST.cagr(eq, normalise=True).first()["cagr"] == round(2.0 ** 84 - 1, 4)
