@@ -27,7 +27,7 @@ def bound_batches(spark: SparkSession) -> None:
     the session has already stays."""
     held = spark.conf.get(BATCH_SETTING, "64m")
     limit = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held)
-    if not 0 < limit <= BATCH_BYTES:
+    if limit > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 

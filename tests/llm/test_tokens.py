@@ -12,7 +12,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quantflow.llm import bpe, packing, tokens  # noqa: E402
+from quantflow.llm import bpe, packing, shared, tokens  # noqa: E402
 from quantflow.llm.pretokens import pretokens  # noqa: E402
 from quantflow.llm.shared import text_bytes  # noqa: E402
 
@@ -112,3 +112,15 @@ def test_best_two_fit_replaces_the_smallest():
     plan = packing.best_two_fit({60: 1, 30: 1, 20: 2}, 100)
     first = {int(x) for x, s in zip(plan.length, plan.sequence) if s == 0}
     assert first == {60, 20} and plan.sequences == 2
+
+
+def test_arrow_batches_are_bounded(spark):
+    held = spark.conf.get(shared.BATCH_SETTING)
+    try:
+        for before, after in (("64m", shared.BATCH_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(shared.BATCH_SETTING, before)
+            shared.bound_batches(spark)
+            found = spark.conf.get(shared.BATCH_SETTING)
+            assert int(found.rstrip("bm")) * (1 << 20 if found.endswith("m") else 1) == after
+    finally:
+        spark.conf.set(shared.BATCH_SETTING, held)
