@@ -6,7 +6,8 @@ enough share a shingle among the first few of each (prefix filter), so nodes mee
 shingles. First each node is held against one leader per shingle; the components that this
 gives spare all further pairs within them. What is left are pairs of nodes in different
 components, and those are held against each other too, so no link that would join two
-components is lost. Pairs are decided in prefix trees: the ordered sets that meet a node stand
+components is lost. Parity sketches of the two sets tell most pairs that cannot be links before
+any set is moved. Pairs are decided in prefix trees: the ordered sets that meet a node stand
 in a trie, a walk counts the overlap of a shared path once, and leaves a subtree when even
 its longest set cannot reach the overlap that is needed.
 """
@@ -21,12 +22,13 @@ from pyspark.sql import functions as F
 
 from quantflow.llm.components import components
 from quantflow.llm.shared import chunks, drop_staged, likely_in, run_folder, spread, staged
-from quantflow.llm.shingles import set_keys, text_shingles
+from quantflow.llm.shingles import mix, set_keys, text_shingles
 
 COMMON_TABLE = 200_000   # shared shingles that the order puts last, at most (broadcast, 3 MB)
 COMMON_LEAST = 16        # documents that such a shingle is in, as far as tasks see it
 TREE_ROWS = 256          # sets in one prefix tree
 BUNDLE_ROWS = 1_000      # sets that one task call takes
+SKETCH_BITS = 1 << 16    # of a parity sketch, at most (8 KB)
 
 
 def needed(size: np.ndarray, percent: int) -> np.ndarray:
@@ -34,6 +36,38 @@ def needed(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
+def parity_sketches(run: np.ndarray, value: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A parity sketch of each run's set, as a list of 64-bit words: every value flips the bit
+    of its hash. The bits are a power of two, as many as the set has values or up to twice
+    that (64 at least, ``SKETCH_BITS`` at most)."""
+    bits = 1 << np.ceil(np.log2(np.clip(size, 64, SKETCH_BITS))).astype(np.int64)
+    begin = np.cumsum(bits) - bits
+    at = begin[run] + (mix(value, 77) & (bits[run] - 1).astype(np.uint64)).astype(np.int64)
+    flips = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
+    words = np.packbits(flips, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(bits // 64)).astype(np.int32), pa.array(words))
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, member) without those that cannot be links by ``sketches`` (node, size,
+    sketch). Shared values cancel when two sketches are combined, so each bit that is left
+    stands for at least one value that only one of the sets has. A longer sketch is folded to
+    the length of the shorter one, which is the sketch it would have had at that length."""
+    def folded(c, width):
+        return F.when(F.size(c) == width, F.col(c)).otherwise(F.transform(
+            F.sequence(F.lit(0), width - 1),
+            lambda i: F.aggregate(F.sequence(i, F.size(c) - 1, width), F.lit(0).cast("bigint"),
+                                  lambda word, k: word.bitwiseXOR(F.col(c)[k]))))
+
+    side = lambda name, c: sketches.select(F.col("node").alias(name), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(c))
+    both = pairs.join(side("hub", "x"), "hub").join(side("member", "y"), "member")
+    width = F.least(F.size("x"), F.size("y"))
+    differ = F.aggregate(F.zip_with(folded("x", width), folded("y", width), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                         F.lit(0), lambda n, k: n + k)
+    total = F.col("x_size") + F.col("y_size")
+    return both.where((total - differ) * (100 + percent) >= total * (2 * percent)).select("hub", "member")
+
+
 class Common:
     """Order of shingles: those not in the table by hash, then the table's by its ranks."""
 
@@ -122,11 +156,22 @@ def decide(table: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def verified(pairs: DataFrame, sets_of, percent: int, folder: str, name: str) -> DataFrame:
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("hub").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
+
+
+def verified(pairs: DataFrame, sets_of, percent: int, folder: str, name: str, sketches: DataFrame | None = None) -> DataFrame:
     """Those pairs (hub, member) that are links, as (a, b). A hub's members are dealt out to
     trees of about ``TREE_ROWS`` sets."""
+    if sketches is not None:
+        # equal sets have equal sketches; they become one before the shuffle
+        known = (likely_in(sketches, ends(pairs), "node").where("_likely").groupBy("node")
+                 .agg(F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch")))
+        known = staged(known, folder, f"{name}-sketches")
+        pairs = staged(plausible(pairs, known, percent), folder, f"{name}-pairs")
+        drop_staged(pairs.sparkSession, folder, f"{name}-sketches")
     n = pairs.count()
-    both = pairs.select(F.col("hub").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
+    both = ends(pairs)
     sets = staged(sets_of(both), folder, f"{name}-sets")
     trees = pairs.groupBy("hub").agg(F.ceil(F.count("*") / TREE_ROWS).cast("int").alias("trees"))
     bundles = spread(n, BUNDLE_ROWS)
@@ -143,11 +188,11 @@ def verified(pairs: DataFrame, sets_of, percent: int, folder: str, name: str) ->
     return found
 
 
-def link_sets(posts: DataFrame, sets_of, percent: int, folder: str) -> DataFrame:
+def link_sets(posts: DataFrame, sets_of, percent: int, folder: str, sketches: DataFrame | None = None) -> DataFrame:
     """(node, root) of the nodes that a link ties to others. ``posts`` (token, node, size, place)
     tells which nodes meet: linked nodes share a token, and have as many values left from its
     place on in both as their overlap needs. ``sets_of`` gives the ordered sets (node, values)
-    of a frame of nodes."""
+    of a frame of nodes; ``sketches`` (node, size, sketch) are their parity sketches, if any."""
     def can_link(a, b):
         """Sizes and places of a shared shingle that leave enough overlap. A pair passes at its
         first shared shingle if it is a link."""
@@ -163,7 +208,7 @@ def link_sets(posts: DataFrame, sets_of, percent: int, folder: str) -> DataFrame
              .where(F.col("p.node") != F.col("l.node")).where(can_link("p", "l"))
              .select(F.col("l.node").alias("hub"), F.col("p.node").alias("member")).distinct())
     stars = staged(stars, folder, "stars")
-    links = verified(stars, sets_of, percent, folder, "star-links")
+    links = verified(stars, sets_of, percent, folder, "star-links", sketches)
     roots = components(links)
     at = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
@@ -176,7 +221,7 @@ def link_sets(posts: DataFrame, sets_of, percent: int, folder: str) -> DataFrame
     rest = staged(rest, folder, "rest")
     drop_staged(posts.sparkSession, folder, "mixed")
     if not rest.isEmpty():
-        roots = components(links.unionByName(verified(rest, sets_of, percent, folder, "rest-links")))
+        roots = components(links.unionByName(verified(rest, sets_of, percent, folder, "rest-links", sketches)))
     return roots
 
 
@@ -198,14 +243,14 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
     id_type = rows.schema["id"].dataType.simpleString()
 
     def survey(batches):
-        """Each text's set size and key, and the shingles that several texts of a task share."""
+        """Each text's set size, key and sketch, and the shingles that several texts of a task share."""
         held: dict[int, int] = {}
         for batch in chunks(batches, 1):
             run, value = text_shingles(batch.column(1), n)
             size, k1, k2 = set_keys(run, value, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(k1), pa.array(k2), pa.nulls(len(size), pa.int64())],
-                names=["id", "size", "k1", "k2", "seen"])
+                [batch.column(0), pa.array(size), pa.array(k1), pa.array(k2), pa.nulls(len(size), pa.int64()),
+                 parity_sketches(run, value, size)], names=["id", "size", "k1", "k2", "seen", "sketch"])
             seen, count = np.unique(value, return_counts=True)
             often = count > 1
             for v, c in zip(seen[often].tolist(), count[often].tolist()):
@@ -217,12 +262,15 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
             none = pa.nulls(len(top), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none.cast(kind), none, pa.array(np.array([v for v, _ in top], np.uint64).view(np.int64)), none,
-                 pa.array([c for _, c in top], pa.int64())], names=["id", "size", "k1", "k2", "seen"])
+                 pa.array([c for _, c in top], pa.int64()), pa.nulls(len(top), pa.list_(pa.int64()))],
+                names=["id", "size", "k1", "k2", "seen", "sketch"])
 
     from pyspark.sql.pandas.types import to_arrow_type
     kind = to_arrow_type(rows.schema["id"].dataType)
-    seen = staged(rows.mapInArrow(survey, f"id {id_type}, size bigint, k1 bigint, k2 bigint, seen bigint"), folder, "survey")
-    own = seen.where("seen IS NULL").select("id", "size", F.when(F.col("size") > 0, F.xxhash64("size", "k1", "k2")).alias("node"))
+    seen = staged(rows.mapInArrow(survey, f"id {id_type}, size bigint, k1 bigint, k2 bigint, seen bigint, sketch array<bigint>"), folder, "survey")
+    own = seen.where("seen IS NULL").select("id", "size", F.when(F.col("size") > 0, F.xxhash64("size", "k1", "k2")).alias("node"), "sketch")
+    sketches = own.where("node IS NOT NULL").select("node", "size", "sketch")
+    own = own.drop("sketch")
     nodes = own.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     often = (seen.where("seen IS NOT NULL").groupBy("k1").agg(F.sum("seen").alias("count"))
              .where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "k1").limit(COMMON_TABLE).toPandas())
@@ -260,7 +308,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
     posts = staged(posts.distinct(), folder, "posts")
     drop_staged(spark, folder, "met-posts")
 
-    roots = link_sets(posts, lambda nodes: ordered_sets(rows, own, nodes, common, n), percent, folder)
+    roots = link_sets(posts, lambda nodes: ordered_sets(rows, own, nodes, common, n), percent, folder, sketches)
     tied = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     tied = staged(tied.join(least, "root").select("node", "component_id"), folder, "tied")

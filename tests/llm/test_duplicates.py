@@ -105,6 +105,28 @@ def test_prefix_tree_prunes_nothing_needed():
         assert set(tree.similar(s, 50)) == want
 
 
+def test_parity_sketches_keep_every_link(spark):
+    rng = np.random.default_rng(9)
+    sets = []
+    for size in (1, 2, 40, 63, 64, 65, 120, 130, 700, 1030, 70_000):
+        base = rng.integers(0, 2 ** 63, size, np.uint64)
+        for share in (0, 0.04, 0.12, 0.15, 0.6, 1):
+            other = base.copy()
+            other[:int(share * size)] = rng.integers(0, 2 ** 63, int(share * size), np.uint64)
+            sets.append(np.unique(np.append(other, rng.integers(0, 2 ** 63, int(rng.integers(0, 1 + size // 9)), np.uint64))))
+    size = np.array([len(s) for s in sets])
+    sketch = jaccard.parity_sketches(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), size).to_pylist()
+    assert max(map(len, sketch)) == jaccard.SKETCH_BITS // 64
+    table = spark.createDataFrame([(k, int(size[k]), sketch[k]) for k in range(len(sets))], "node bigint, size bigint, sketch array<bigint>")
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * min(size[i], size[j]) >= 85 * max(size[i], size[j])]
+    kept = {tuple(r) for r in jaccard.plausible(spark.createDataFrame(every, "hub bigint, member bigint"), table, 85).collect()}
+    overlap = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in every}
+    links = {(i, j) for i, j in every if 100 * overlap[i, j] >= 85 * (size[i] + size[j] - overlap[i, j])}
+    assert links and links <= kept
+    far = {p for p in every if not overlap[p] and 100 < size[p[0]] < 2_000}
+    assert far and not far & kept
+
+
 def test_paragraphs(spark):
     rng = random.Random(8)
     passage = words(rng, 70)
