@@ -146,6 +146,21 @@ def test_paragraphs(spark):
     assert paragraphs.repeated_runs(docs.limit(0)).collect() == []
 
 
+def test_paragraphs_of_rows_that_share_an_id(spark):
+    rng = random.Random(12)
+    copy, other, passage = words(rng, 40), "é" * 30 + " " + words(rng, 120), words(rng, 90)
+    twin = f"{words(rng, 30)}\n{passage}\n{words(rng, 30)}"
+    rows = [(1, copy), (56, copy), (56, copy), (2, passage), (70, twin), (70, other)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    found = [(r["doc_id"], r["n_words"], r["source_ids"]) for r in paragraphs.repeated_runs(docs).collect()]
+    whole = [f for f in found if f[0] == 56]  # the equal rows are one document
+    assert len(whole) == 1 and whole[0][1] >= 36 and whole[0][2] == [1]
+    assert [f[2] for f in found if f[0] == 70] == [[2]]
+    left = [(r["doc_id"], r["text"]) for r in paragraphs.remove_runs(docs).collect()]
+    assert sorted(i for i, t in left if len(t.split()) > 4) == [1, 2, 70, 70]
+    assert (70, other) in left and sum(" ".join(passage.split()[25:60]) in t for _, t in left) == 1
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 200)]
