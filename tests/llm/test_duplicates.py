@@ -161,6 +161,21 @@ def test_paragraphs_of_rows_that_share_an_id(spark):
     assert (70, other) in left and sum(" ".join(passage.split()[25:60]) in t for _, t in left) == 1
 
 
+def test_short_lines_go_only_if_they_repeat(spark):
+    rng = random.Random(14)
+    head, foot = words(rng, 12), words(rng, 12)
+    short = [words(rng, 2) for _ in range(60)]
+    same = [words(rng, 3) for _ in range(6)]
+    frame = lambda body: "\n".join([head, *body, foot])
+    rows = [(1, frame(short[:20])), (2, frame(short[20:40])), (3, frame(same)), (4, frame(same)), (5, frame(same[:5] + short[40:41]))]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    found = paragraphs.repeated_runs(docs).collect()
+    assert [(r["doc_id"], r["n_words"]) for r in found if r["doc_id"] in (2, 4)] == [(4, 42)]
+    left = {r["doc_id"]: r["text"] for r in paragraphs.remove_runs(docs).collect()}
+    assert left[1] == rows[0][1] and left[2] == rows[1][1] and left[3] == rows[2][1]
+    assert 4 not in left and short[40] in left[5] and same[2] not in left[5]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 200)]
