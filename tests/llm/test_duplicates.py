@@ -216,3 +216,20 @@ def test_embeddings(spark):
     degree = Counter(k for pair in links for k in pair)
     assert found == sorted((r[0], degree[k], root[r[0]], root[r[0]] == r[0]) for k, r in enumerate(rows))
     assert embeddings.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_near_copies_of_whole_lines(spark):
+    rng = random.Random(21)
+    rows, pairs = [], 0
+    for n in (50, 70, 100):  # similar at 0.8 with one word edited
+        for _ in range(10):
+            own = words(rng, n).split()
+            edited = list(own)
+            edited[rng.randrange(5, n - 5)] = "edited"
+            for k, line in enumerate((own, edited)):
+                rows.append((1000 * k + pairs, f"{words(rng, 15)}\n{' '.join(line)}\n{words(rng, 15)}"))
+            pairs += 1
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    left = {r["doc_id"]: r["text"] for r in paragraphs.remove_runs(docs).collect()}
+    gone = sum("edited" not in left[1000 + k] and len(left[1000 + k].split()) == 30 for k in range(pairs))
+    assert gone >= 0.95 * pairs and all(left[k] == dict(rows)[k] for k in range(pairs))
