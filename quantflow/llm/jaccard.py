@@ -235,22 +235,25 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
     when 100 * intersection >= percent * union of their sets of ``n``-word shingles; a text of
     fewer words is one shingle; null texts and texts without words have no shingle and link
     with nothing. ``component_id`` is the smallest id reachable by links, a row's own included.
-    Repeated rows link as equal texts do; other columns are ignored.
+    Repeated rows link as equal texts do, and rows without an id as others; a component of such
+    rows only has no ``component_id``. Other columns are ignored.
     """
     spark = docs.sparkSession
     folder = run_folder(spark, "jaccard")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("id", "text"))  # rows without an id have one too
     id_type = rows.schema["id"].dataType.simpleString()
 
     def survey(batches):
         """Each text's set size, key and sketch, and the shingles that several texts of a task share."""
         held: dict[int, int] = {}
         for batch in chunks(batches, 1):
+            kind = batch.column(0).type
             run, value = text_shingles(batch.column(1), n)
             size, k1, k2 = set_keys(run, value, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(k1), pa.array(k2), pa.nulls(len(size), pa.int64()),
-                 parity_sketches(run, value, size)], names=["id", "size", "k1", "k2", "seen", "sketch"])
+                [batch.column(0), batch.column(2), pa.array(size), pa.array(k1), pa.array(k2), pa.nulls(len(size), pa.int64()),
+                 parity_sketches(run, value, size)], names=["id", "row", "size", "k1", "k2", "seen", "sketch"])
             seen, count = np.unique(value, return_counts=True)
             often = count > 1
             for v, c in zip(seen[often].tolist(), count[often].tolist()):
@@ -261,14 +264,12 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
         if top:
             none = pa.nulls(len(top), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none.cast(kind), none, pa.array(np.array([v for v, _ in top], np.uint64).view(np.int64)), none,
+                [pa.nulls(len(top), kind), none, none, pa.array(np.array([v for v, _ in top], np.uint64).view(np.int64)), none,
                  pa.array([c for _, c in top], pa.int64()), pa.nulls(len(top), pa.list_(pa.int64()))],
-                names=["id", "size", "k1", "k2", "seen", "sketch"])
+                names=["id", "row", "size", "k1", "k2", "seen", "sketch"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    kind = to_arrow_type(rows.schema["id"].dataType)
-    seen = staged(rows.mapInArrow(survey, f"id {id_type}, size bigint, k1 bigint, k2 bigint, seen bigint, sketch array<bigint>"), folder, "survey")
-    own = seen.where("seen IS NULL").select("id", "size", F.when(F.col("size") > 0, F.xxhash64("size", "k1", "k2")).alias("node"), "sketch")
+    seen = staged(rows.mapInArrow(survey, f"id {id_type}, row bigint, size bigint, k1 bigint, k2 bigint, seen bigint, sketch array<bigint>"), folder, "survey")
+    own = seen.where("seen IS NULL").select("id", "row", "size", F.when(F.col("size") > 0, F.xxhash64("size", "k1", "k2")).alias("node"), "sketch")
     sketches = own.where("node IS NOT NULL").select("node", "size", "sketch")
     own = own.drop("sketch")
     nodes = own.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
@@ -319,11 +320,14 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
 def ordered_sets(rows: DataFrame, own: DataFrame, wanted: DataFrame, common, n: int) -> DataFrame:
     """(node, values): the ordered sets of the wanted nodes, from one text each. Texts that have
     no such node are left out before any shuffle, as far as a bitmap tells."""
-    one = own.where("node IS NOT NULL").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id")).select("id")
+    one = own.where("node IS NOT NULL").join(wanted, "node").groupBy("node").agg(F.min("row").alias("row")).select("row")
 
     def ordered(batches):
-        order = Common(*common.value)
+        order, told = Common(*common.value), set()
         for batch in chunks(batches, 0):
+            keys = batch.column(1).to_pylist()
+            fresh = [k not in told and not told.add(k) for k in keys]  # repeated rows
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             run, value = text_shingles(batch.column(0), n)
             size, k1, k2 = set_keys(run, value, batch.num_rows)
             value = order.ordered(run, value).view(np.int64)
@@ -331,6 +335,6 @@ def ordered_sets(rows: DataFrame, own: DataFrame, wanted: DataFrame, common, n:
             yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(k1), pa.array(k2),
                                               pa.ListArray.from_arrays(at, pa.array(value))], names=["size", "k1", "k2", "values"])
 
-    texts = likely_in(rows, one, "id").where("_likely").join(one, "id", "left_semi").select("text")
+    texts = likely_in(rows, one, "row").where("_likely").join(one, "row", "left_semi").select("text", "row")
     made = texts.mapInArrow(ordered, "size bigint, k1 bigint, k2 bigint, values array<bigint>")
     return made.select(F.xxhash64("size", "k1", "k2").alias("node"), "values")
