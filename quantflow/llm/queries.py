@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quantflow.llm import bpe, embeddings, jaccard, packing, paragraphs, repetition, substrings, tokens, toxicity, warc
+from quantflow.llm import (bpe, collocations, embeddings, jaccard, lattice, packing, paragraphs, repetition, search,
+                           substrings, tokens, toxicity, warc)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +55,20 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_substring_removal, op4_warc_round_trip, op5_best_fit_packing, op6_token_counts, op7_ngram_jaccard_join, op8_paragraph_minhash,
-                                     op9_bpe_round_trip,
-                                     op10_embedding_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_lexical_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lattice_likelihood(spark, sf_dir):
+    return lattice.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_toxicity, op3_substring_removal, op4_warc_round_trip, op5_best_fit_packing, op6_token_counts,
+    op7_ngram_jaccard_join, op8_paragraph_minhash, op9_bpe_round_trip, op10_embedding_near_dedup, op11_lexical_search,
+    op12_lattice_likelihood, op13_collocations)}
+ORACLE_SQL: dict[str, str] = {"op11_lexical_search": search.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
