@@ -1,25 +1,33 @@
 """Structured Streaming forms of the live operators (STR*).
 
 Sources are file streams (Parquet) with explicit schemas; sinks are Parquet tables or
-``foreachBatch`` jobs, with checkpoints in the cluster's shared folder. Stateful operators
-keep one small state row per key (bounded: the last N prices, or one position), so state
-size grows with the number of keys, not with the data volume.
+``foreachBatch`` jobs, with checkpoints in the cluster's shared folder. The stateful operators
+are ``StatefulProcessor`` classes: they take rows in any order, keep what may still change
+(the fills that the watermark has not passed, or the last bars) next to one small state per
+key, and send what comes too late to a marked reject row instead of dropping it unseen. State
+grows with the number of keys and the allowed lateness, not with the data volume.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Mapping
+from bisect import bisect_left, insort
+from collections.abc import Callable, Mapping, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from quantflow import params as P
 from quantflow.session import checkpoint_dir
+from quantflow.sources.commits import current_version, publish, read_published
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_dir(spark: SparkSession, tag: str) -> str:
@@ -37,21 +45,34 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType,
     return r.parquet(path)
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Stateful processors need the RocksDB state store (state lives on local disk with
+    changelogs in the checkpoint, not in executor memory); the session's own choice returns
+    afterwards."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
 def run_to_table(df: DataFrame, out_path: str, ckpt: str, mode: str = "append",
                  partition_by: str | None = None) -> None:
     """Run a stream over everything available now into a Parquet sink and wait."""
     w = df.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode(mode)
     if partition_by:
         w = w.partitionBy(partition_by)
-    q = w.trigger(availableNow=True).start(out_path)
-    q.awaitTermination()
+    with rocksdb_state(df.sparkSession):
+        w.trigger(availableNow=True).start(out_path).awaitTermination()
 
 
 def run_foreach_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], ckpt: str,
                       mode: str = "append") -> None:
-    q = (df.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with rocksdb_state(df.sparkSession):
+        (df.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
+         .outputMode(mode).trigger(availableNow=True).start()).awaitTermination()
 
 
 def wall_clock_utc(c):
@@ -90,12 +111,11 @@ FEATURE_OUT = T.StructType([
     T.StructField("close", T.DoubleType()), T.StructField("MA5", T.DoubleType()),
     T.StructField("MA10", T.DoubleType()), T.StructField("Volatility20", T.DoubleType()),
     T.StructField("Return_1d", T.DoubleType()), T.StructField("signal", T.StringType()),
+    T.StructField("revision", T.LongType()), T.StructField("late", T.BooleanType()),
 ])
-FEATURE_STATE = T.StructType([
-    T.StructField("prices", T.ArrayType(T.DoubleType())),
-    T.StructField("rets", T.ArrayType(T.DoubleType())),
-    T.StructField("n", T.LongType()),
-    T.StructField("last_date", T.DateType()),
+BARS_STATE = T.StructType([
+    T.StructField("dates", T.ArrayType(T.DateType())), T.StructField("closes", T.ArrayType(T.DoubleType())),
+    T.StructField("trimmed", T.LongType()), T.StructField("revision", T.LongType()),
 ])
 
 
@@ -106,69 +126,122 @@ def _seq_mean(xs):
     return s / len(xs)
 
 
-def _features_fn(lookbacks: Mapping[str, int], window: int):
-    # one more than the longest window: a revised bar gives up the last entry
-    keep_p = max([n for k, n in lookbacks.items() if "MA" in k] + [window, 2]) + 1
-    keep_r = max([n for k, n in lookbacks.items() if "Volatility" in k] + [1]) + 1
-
-    def fn(key, pdfs, state):
-        if state.exists:
-            prices, rets, n, last = state.get
-            prices, rets = list(prices or []), list(rets or [])
-        else:
-            prices, rets, n, last = [], [], 0, None
-        batch = pd.concat(list(pdfs)).sort_values("date")
-        batch = batch.drop_duplicates("date", keep="last")  # a repeated date: last wins
-        out = []
-        for d, c in zip(batch["date"].tolist(), batch["close"].tolist()):
-            if last is not None and d < last:
-                continue  # late bar: dropped by policy
-            if d == last:  # a revised bar takes the place of the one before
-                prices, rets, n = prices[:-1], rets[:-1], n - 1
-            prev = prices[-1] if prices else None
-            r = (c / prev - 1) if (prev is not None and prev != 0) else None
-            prices.append(c)
-            prices = prices[-keep_p:]
-            rets.append(r)
-            rets = rets[-keep_r:]
-            n += 1
-            row = {"symbol": key[0], "date": d, "close": c, "Return_1d": r}
-            for name, k in lookbacks.items():
-                if "MA" in name:
-                    row[name] = _seq_mean(prices[-k:]) if len(prices) >= k else None
-                elif "Volatility" in name:
-                    win = rets[-k:]
-                    if len(win) >= k and all(x is not None for x in win):
-                        m = sum(win) / k
-                        row[name] = math.sqrt(sum((x - m) ** 2 for x in win) / (k - 1))
-                    else:
-                        row[name] = None
-            if n >= window:
-                total = 0.0
-                for x in prices[-window:]:
-                    total += x
-                avg = total / float(window)
-                row["signal"] = "BUY" if c > avg else ("SELL" if c < avg else "HOLDING")
-            else:
-                row["signal"] = None
-            out.append(row)
-            last = d
-        state.update((prices, rets, n, last))
-        if out:
-            yield pd.DataFrame(out)
-
-    return fn
+class BarHistory:
+    """The last ``need + horizon`` bars of one symbol by date, and the feature rows they give.
+
+    A bar may come late or be revised as long as ``need`` kept bars stand before it (or the
+    symbol's history was never cut); then its own row and those of all later kept bars are
+    made again. Earlier ones are refused."""
+
+    def __init__(self, lookbacks: Mapping[str, int], window: int, horizon: int,
+                 dates=(), closes=(), trimmed: int = 0):
+        self.lookbacks, self.window = lookbacks, window
+        self.need = max([n for k, n in lookbacks.items() if "MA" in k]
+                        + [n + 1 for k, n in lookbacks.items() if "MA" not in k] + [window, 2])
+        self.keep = self.need + horizon
+        self.dates, self.trimmed = list(dates), trimmed
+        self.close = dict(zip(self.dates, closes))
+        self.changed = None
+
+    def add(self, date, close) -> bool:
+        """Take a bar in; false if it is too late for its rows to be right."""
+        at = bisect_left(self.dates, date)
+        if self.trimmed and at < self.need:
+            return False
+        if date not in self.close:
+            insort(self.dates, date)
+        self.close[date] = close
+        self.changed = date if self.changed is None else min(self.changed, date)
+        return True
+
+    def rows(self) -> list[dict]:
+        """The rows that the bars added since the last call change."""
+        if self.changed is None:
+            return []
+        first = bisect_left(self.dates, self.changed)
+        base = max(0, first - self.need)
+        closes = [self.close[d] for d in self.dates[base:]]
+        rets = [None] + [(c / p - 1) if p is not None and p != 0 and c is not None else None
+                         for p, c in zip(closes, closes[1:])]
+        out = [self._row(i - base, self.dates[i], closes, rets, self.trimmed + i + 1) for i in range(first, len(self.dates))]
+        cut = max(0, len(self.dates) - self.keep)
+        for d in self.dates[:cut]:
+            del self.close[d]
+        self.dates, self.trimmed, self.changed = self.dates[cut:], self.trimmed + cut, None
+        return out
+
+    def _row(self, i, date, closes, rets, n) -> dict:
+        row = {"date": date, "close": closes[i], "Return_1d": rets[i]}
+        for name, k in self.lookbacks.items():
+            row[name] = None
+            if "MA" in name and i + 1 >= k:
+                win = closes[i + 1 - k:i + 1]
+                row[name] = _seq_mean(win) if None not in win else None
+            elif "Volatility" in name and i + 1 >= k:
+                win = rets[i + 1 - k:i + 1]
+                if None not in win:
+                    m = sum(win) / k
+                    row[name] = math.sqrt(sum((x - m) ** 2 for x in win) / (k - 1))
+        row["signal"] = None
+        if n >= self.window and None not in closes[i + 1 - self.window:i + 1]:
+            avg = _seq_mean(closes[i + 1 - self.window:i + 1])
+            row["signal"] = "BUY" if closes[i] > avg else ("SELL" if closes[i] < avg else "HOLDING")
+        return row
+
+
+class FeatureProcessor(StatefulProcessor):
+    """STR3 / STR5: keeps a ``BarHistory`` per symbol; each call gives correction rows under the
+    next revision number, and refused bars as rows marked ``late``."""
+
+    def __init__(self, lookbacks: Mapping[str, int], window: int, horizon: int):
+        self.lookbacks, self.window, self.horizon = lookbacks, window, horizon
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("bars", BARS_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.state.get() if self.state.exists() else ([], [], 0, 0)
+        history = BarHistory(self.lookbacks, self.window, self.horizon, *held[:3])
+        revision, out = held[3] + 1, []
+        for pdf in rows:
+            for date, close in zip(pdf["date"].tolist(), pdf["close"].tolist()):
+                if not history.add(date, close):
+                    out.append({"date": date, "close": close, "late": True})
+        out += [row | {"late": False} for row in history.rows()]
+        closes = [history.close[d] for d in history.dates]
+        self.state.update((history.dates, closes, history.trimmed, revision))
+        yield pd.DataFrame([{"symbol": key[0], "revision": revision} | r for r in out], columns=FEATURE_OUT.names)
+
+    def close(self) -> None:
+        pass
 
 
 def streaming_features(bars: DataFrame, lookbacks: Mapping[str, int] | None = None,
-                       window: int = P.RULE_WINDOW) -> DataFrame:
-    """STR3 + STR5: per-symbol state of the last prices/returns -> FEA1-3 and SIG1 per bar.
-    A bar of the symbol's last date revises it and gives a new row; an earlier one is dropped
-    (late data policy)."""
+                       window: int = P.RULE_WINDOW, horizon: int = 64) -> DataFrame:
+    """STR3 + STR5: FEA1-3 and SIG1 per bar, in update mode.
+
+    Bars may come in any order. A revised or late bar among the symbol's last ``horizon``
+    bars makes its row and the rows after it again, with a higher ``revision``; an older one
+    comes out as a row marked ``late``. ``latest_features`` gives the rows that hold. Two bars
+    of a symbol and date in one micro-batch: the last one read holds."""
     lookbacks = dict(P.DEFAULT_LOOKBACKS if lookbacks is None else lookbacks)
-    return bars.select("symbol", "date", "close").groupBy("symbol").applyInPandasWithState(
-        _features_fn(lookbacks, window), FEATURE_OUT, FEATURE_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+    return bars.select("symbol", "date", "close").groupBy("symbol").transformWithStateInPandas(
+        FeatureProcessor(lookbacks, window, horizon), FEATURE_OUT, "update", "none")
+
+
+def latest_features(rows: DataFrame) -> DataFrame:
+    """The last revision of each (symbol, date); refused bars are left out."""
+    last = F.struct("revision", *[F.col(c) for c in FEATURE_OUT.names[2:-2]])
+    best = rows.where(~F.col("late")).groupBy("symbol", "date").agg(F.max_by(last, "revision").alias("r"))
+    return best.select("symbol", "date", "r.*")
+
+
+def append_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` job that writes each micro-batch into a folder of its own, so that one
+    that is run again replaces its rows instead of doubling them."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return write
 
 
 # ---- per-(account, symbol) ledger state (STR6) ---------------------------------------
@@ -181,50 +254,168 @@ LEDGER_OUT = T.StructType([
     T.StructField("stamp_tax", T.DoubleType()), T.StructField("realized_pnl", T.DoubleType()),
     T.StructField("trade_pnl", T.DoubleType()), T.StructField("stamp_tax_amount", T.DoubleType()),
     T.StructField("cash_delta", T.DoubleType()), T.StructField("position_qty", T.DoubleType()),
-    T.StructField("avg_price", T.DoubleType()),
+    T.StructField("avg_price", T.DoubleType()), T.StructField("reject_reason", T.StringType()),
 ])
 LEDGER_STATE = T.StructType([T.StructField(c, T.DoubleType()) for c in
                              ("q", "avg", "bc", "bq", "pnl")] + [T.StructField("seq", T.LongType())])
-
-
-def _ledger_fn(order_cols, fees: P.FeeSchedule):
-    from quantflow.operators.ledger import apply_fill
-
-    def fn(key, pdfs, state):
-        q, avg, bc, bq, pnl, seq = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, 0.0, 0)
-        pos = [q, avg, bc, bq, pnl]
-        batch = pd.concat(list(pdfs)).sort_values(list(order_cols), kind="mergesort")
-        out = []
-        for d, dt, n, p in zip(batch["direction"].tolist(), batch["date"].tolist(),
-                               batch["quantity"].astype("float64").tolist(),
-                               batch["price"].astype("float64").tolist()):
+DAY_MS = 86_400_000
+#: Direction of a row that carries no fill, only the clock: it lets the watermark pass the last day.
+CLOCK = "CLOCK"
+
+
+class LedgerProcessor(StatefulProcessor):
+    """STR6: fills wait in a list per key until the watermark passes their date; then an
+    event-time timer folds them in trade order. A key has one timer that counts, for the
+    earliest fill that waits (``wake``), however many dates wait behind it. A fill of a date
+    that is already folded is given out at once with reason ``late`` and does not touch the position."""
+
+    def __init__(self, schema: T.StructType, order: Sequence[str], fees: P.FeeSchedule):
+        self.schema, self.order, self.fees = schema, list(order), fees
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.position = handle.getValueState("position", LEDGER_STATE)
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.wake = handle.getValueState("wake", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def _wake_at(self, ms: int) -> None:
+        if not self.wake.exists() or ms < self.wake.get()[0]:
+            self.handle.registerTimer(ms)
+            self.wake.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs()
+        late = []
+        for pdf in rows:
+            pdf = pdf[pdf["direction"] != CLOCK]
+            old = pdf["event_ms"] <= passed
+            late += pdf[old][["date", "direction", "quantity", "price"]].to_dict("records")
+            # values of a fixed type each: object columns would carry numpy scalars into the state
+            fresh = pdf[~old]
+            if len(fresh):
+                self.waiting.appendList(list(zip(*[fresh[c].tolist() for c in self.schema.names])))
+                self._wake_at(int(fresh["event_ms"].min()))
+        yield pd.DataFrame([{"symbol": key[0], "accepted": False, "reject_reason": "late"} | r for r in late],
+                           columns=LEDGER_OUT.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        from quantflow.operators.ledger import apply_fill
+        passed, names = timerValues.getCurrentWatermarkInMs(), self.schema.names
+        if not self.wake.exists() or self.wake.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return iter(())  # an earlier fill has woken the key since
+        rows = [dict(zip(names, r)) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in rows if r["event_ms"] <= passed), key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order))
+        rest = [tuple(r[c] for c in names) for r in rows if r["event_ms"] > passed]
+        held = self.position.get() if self.position.exists() else (0.0, 0.0, 0.0, 0.0, 0.0, 0)
+        pos, seq, out = list(held[:5]), held[5], []
+        for r in due:
             seq += 1
-            acc, _, fee, rate, tax, tpnl, cash = apply_fill(pos, d, n, p, fees)
-            out.append({"symbol": key[0], "seq": seq, "date": dt, "direction": d, "quantity": n,
-                        "price": p, "accepted": acc, "commission": fee, "stamp_tax": rate,
-                        "realized_pnl": pos[4], "trade_pnl": tpnl, "stamp_tax_amount": tax,
-                        "cash_delta": cash, "position_qty": pos[0], "avg_price": pos[1]})
-        state.update((*pos, seq))
-        if out:
-            yield pd.DataFrame(out)
+            acc, reason, fee, rate, tax, pnl, cash = apply_fill(pos, r["direction"], float(r["quantity"]), float(r["price"]), self.fees)
+            out.append((key[0], seq, r["date"], r["direction"], float(r["quantity"]), float(r["price"]), acc, fee, rate, pos[4],
+                        pnl, tax, cash, pos[0], pos[1], reason))
+        self.position.update((*pos, seq))
+        self.wake.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake_at(min(r[names.index("event_ms")] for r in rest))
+        else:
+            self.waiting.clear()
+        return iter([pd.DataFrame(out, columns=LEDGER_OUT.names)])
 
-    return fn
+    def close(self) -> None:
+        pass
 
 
 def streaming_ledger(fills: DataFrame, order_cols=("date", "l_orderkey", "l_linenumber",
                                                     "l_partkey", "l_extendedprice", "quantity",
                                                     "l_returnflag", "l_linestatus"),
-                     fees: P.FeeSchedule = P.FeeSchedule()) -> DataFrame:
+                     fees: P.FeeSchedule = P.FeeSchedule(), delay: str = "30 days") -> DataFrame:
     """STR6: the LED3/4/6 recurrence with the position as per-symbol streaming state.
-    Each micro-batch's fills are ordered by the trade order before folding; fills must
-    arrive in trade order across batches (a file per period)."""
-    return fills.groupBy("symbol").applyInPandasWithState(
-        _ledger_fn(order_cols, fees), LEDGER_OUT, LEDGER_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+
+    Fills may arrive out of order by up to ``delay`` of event time: they are folded in trade
+    order once the watermark (latest date seen less ``delay``) passes their date, so the
+    result is the batch ledger's. Later ones come out as rows with ``reject_reason = 'late'``
+    (and no ``seq``); ``trades`` and ``rejects`` split the two outputs. Fills without a date
+    cannot be placed and are left out. State: one position a key, and the fills of ``delay``."""
+    day = F.col("date").cast("timestamp")
+    ms = F.datediff(F.col("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * DAY_MS
+    keep = list(dict.fromkeys(["date", "direction", "quantity", "price", *order_cols]))
+    # the number of the day, not the watermarked column itself: Spark would drop late rows
+    timed = (fills.where(F.col("date").isNotNull()).withColumn("__ev", day).withWatermark("__ev", delay)
+             .select("symbol", ms.alias("event_ms"), *keep))
+    state = T.StructType([f for f in timed.schema.fields if f.name != "symbol"])
+    return timed.groupBy("symbol").transformWithStateInPandas(
+        LedgerProcessor(state, order_cols, fees), LEDGER_OUT, "append", "eventTime")
+
+
+def trades(ledger: DataFrame) -> DataFrame:
+    """The accepted fills of the streaming ledger."""
+    return ledger.where(F.col("accepted"))
 
 
+def rejects(ledger: DataFrame) -> DataFrame:
+    """What the streaming ledger refused: late fills, sells without holdings, unknown directions."""
+    return ledger.where(~F.col("accepted"))
+
+
+# ---- running snapshots (STR7) --------------------------------------------------------
+
 def running_snapshot(equity: DataFrame, key: str = "series") -> DataFrame:
     """STR7: latest equity, running peak and drawdown per account (complete mode)."""
     return equity.groupBy(key).agg(
         F.max_by("equity", "date").alias("equity"), F.max("date").alias("date"),
         F.max("equity").alias("peak"), F.count(F.lit(1)).alias("n_points"))
+
+
+def marked_trades(ledger: DataFrame, bars: DataFrame, delay: str = "30 days") -> DataFrame:
+    """Stream-stream join of accepted fills and bars on (symbol, date): every fill and every
+    bar comes out, alone if the other side sent nothing for the day before the watermark."""
+    at = F.col("date").cast("timestamp")
+    t = (trades(ledger).select("symbol", at.alias("__at"), "seq", "position_qty", "cash_delta")
+         .withWatermark("__at", delay).alias("t"))
+    b = bars.select("symbol", at.alias("__at"), "close").withWatermark("__at", delay).alias("b")
+    joined = t.join(b, (F.col("t.symbol") == F.col("b.symbol")) & (F.col("t.__at") == F.col("b.__at")), "full")
+    return joined.select(F.coalesce("t.symbol", "b.symbol").alias("symbol"),
+                         F.coalesce("t.__at", "b.__at").cast("date").alias("date"), "seq", "position_qty", "cash_delta", "close")
+
+
+PORTFOLIO = ["symbol", "seq", "quantity", "priced", "price", "cash_delta"]
+
+
+def fold_portfolio(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """One row per symbol after a batch of ``marked_trades``: last position (by trade number),
+    last price (by date) and the exact sum of its cash flows. Sums and maxima only, so the
+    order of rows and batches does not matter."""
+    from quantflow.operators.ledger import MONEY, money
+    rows = batch.select("symbol", "seq", F.col("position_qty").alias("quantity"),
+                        F.when(F.col("close").isNotNull(), F.col("date")).alias("priced"), F.col("close").alias("price"),
+                        F.coalesce(money("cash_delta"), F.lit(0).cast(MONEY)).alias("cash_delta"))
+    if before is not None:
+        rows = rows.unionByName(before.select(*PORTFOLIO))
+    return rows.groupBy("symbol").agg(
+        F.max("seq").alias("seq"), F.max_by("quantity", "seq").alias("quantity"), F.max("priced").alias("priced"),
+        F.max_by("price", "priced").alias("price"), F.sum("cash_delta").cast(MONEY).alias("cash_delta")).select(*PORTFOLIO)
+
+
+def portfolio_publisher(root: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` job that folds each batch of ``marked_trades`` into a new published
+    version. Versions carry the micro-batch's number: one that runs again after it was published
+    (the same rows, by Structured Streaming's contract) is left alone and so not counted twice."""
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = current_version(spark, root)
+        if done is None or done < batch_id:
+            publish(spark, root, fold_portfolio(read_published(spark, root), batch), batch_id)
+    return fold
+
+
+def portfolio_view(state: DataFrame, initial_cash: float = P.INITIAL_CASH) -> DataFrame:
+    """STR7's rows: each held symbol's quantity, last price and value, with the account's cash
+    and equity."""
+    from quantflow.operators.ledger import MONEY, money
+    rows = state.withColumn("value", F.col("quantity") * F.coalesce("price", F.lit(0.0)))
+    cash = F.lit(initial_cash).cast(MONEY) + F.coalesce(F.sum("cash_delta"), F.lit(0).cast(MONEY))
+    account = rows.agg(cash.cast("double").alias("cash"),
+                       (cash + F.coalesce(F.sum(money("value")), F.lit(0).cast(MONEY))).cast("double").alias("equity"))
+    held = rows.where(F.col("seq").isNotNull()).select("symbol", "quantity", "price", "value")
+    return held.crossJoin(F.broadcast(account))  # one row
