@@ -295,6 +295,16 @@ def daily_snapshot(holdings: DataFrame, cash: DataFrame, account_keys: Sequence[
     return j.select(*ak, date, "cash", eq.alias("equity"), "holdings", eq.alias("total_value"))
 
 
+def snapshot_rows(holdings: DataFrame, cash: DataFrame, account_keys: Sequence[str] = (),
+                  date: str = "date", symbol: str = "symbol") -> DataFrame:
+    """LED10 in keyed form: (date, cash, equity, total_value, symbol, value), a row per holding
+    and one with a NULL symbol for a date without any. No row grows with the universe."""
+    ak = list(account_keys)
+    account = account_equity(holdings, cash, ak, date).withColumn("total_value", F.col("equity"))
+    return account.join(holdings.select(*ak, date, symbol, "value"), [*ak, date], "left").select(
+        *ak, date, "cash", "equity", "total_value", symbol, "value")
+
+
 def symbol_equity_history(holdings: DataFrame) -> DataFrame:
     """LED11: (symbol, date, value) points with value != 0 (FLT3)."""
     return holdings.where(F.col("value") != 0)

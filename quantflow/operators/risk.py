@@ -1,11 +1,12 @@
-"""Risk gates and order formation as column expressions (RSK*, ORD*).
-
-Inputs are columns of (signal joined to the account state before the date's fills).
+"""Risk gates and order formation (RSK*, ORD*): column expressions, and table operators that
+join signals to the account state before the date's fills and decide them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantflow import params as P
@@ -57,3 +58,74 @@ def risk_pct_quantity(cash, price, risk_pct: float = P.RISK_PCT) -> Column:
     """ORD2: max(floor(cash * pct / price), 1)."""
     return F.greatest(F.floor(F.try_divide(col(cash) * F.lit(risk_pct), col(price))),
                       F.lit(1)).cast("bigint")
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], date: str = "date",
+          same_date: bool = False) -> DataFrame:
+    """``left`` with the ``values`` of the last ``right`` row of its keys before its date (with
+    ``same_date``, up to it); NULL where there is none.
+
+    One union and one window per key: no row is joined to more than one other. Columns of
+    ``left`` are carried as one struct, so names cannot clash. ``right`` has one row a key and
+    date; null keys match each other.
+    """
+    ks = list(keys)
+    a, b = (1, 0) if same_date else (0, 1)
+    some = F.struct(*[F.col(v) for v in values])
+    rows = left.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(ks)], F.col(date).alias("at"), F.lit(a).alias("turn"),
+                       F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("own"))
+    seen = right.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(ks)], F.col(date).alias("at"), F.lit(b).alias("turn"),
+                        some.alias("state"))
+    w = (Window.partitionBy(*[f"k{i}" for i in range(len(ks))]).orderBy("at", "turn")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = rows.unionByName(seen, allowMissingColumns=True)
+    both = both.withColumn("last", F.last("state", ignorenulls=True).over(w)).where(F.col("own").isNotNull())
+    return both.select("own.*", *[F.col(f"last.{v}").alias(v) for v in values])
+
+
+def state_before(signals: DataFrame, positions: DataFrame, cash: DataFrame, prices: DataFrame,
+                 account: str = "account_id", symbol: str = "symbol", date: str = "date",
+                 initial_cash: float = P.INITIAL_CASH) -> DataFrame:
+    """Signals (account, symbol, date, ...) with the account's state before the date's fills:
+    ``cash_before``, ``held_qty``, ``held_avg`` of the signal's symbol, and ``equity_before``,
+    the cash and all holdings of the account at the date's prices.
+
+    ``positions`` (account, symbol, date, position_qty, avg_price) and ``cash`` (account, date,
+    cash) hold the state after each date's fills, ``prices`` (symbol, date, close) the bars.
+    Each account and date is valued once, over the symbols the account ever held.
+    """
+    days = signals.select(account, date).distinct()
+    cash = cash.select(account, date, F.col("cash").alias("cash_before"))
+    days = as_of(days, cash, [account], ["cash_before"], date)
+    days = days.withColumn("cash_before", F.coalesce("cash_before", F.lit(float(initial_cash))))
+    held = positions.select(account, symbol).distinct()
+    grid = as_of(days.select(account, date).join(held, account), positions, [account, symbol], ["position_qty"], date)
+    grid = as_of(grid.where(F.col("position_qty") != 0), prices, [symbol], ["close"], date, same_date=True)
+    worth = grid.groupBy(account, date).agg(F.sum(F.col("position_qty") * F.coalesce("close", F.lit(0.0))).alias("worth"))
+    days = days.join(worth, [account, date], "left").withColumn(
+        "equity_before", F.col("cash_before") + F.coalesce("worth", F.lit(0.0))).drop("worth")
+    own = positions.select(account, symbol, date, F.col("position_qty").alias("held_qty"), F.col("avg_price").alias("held_avg"))
+    return as_of(signals, own, [account, symbol], ["held_qty", "held_avg"], date).join(days, [account, date])
+
+
+def decide(signals: DataFrame, signal: str = "signal", price: str = "close", max_drawdown: float = P.MAX_DRAWDOWN,
+           stop_loss: float = P.STOP_LOSS, order_size: int = P.ORDER_SIZE, peak=None,
+           initial_cash: float = P.INITIAL_CASH) -> DataFrame:
+    """RSK1, RSK2 and ORD1 on the rows of ``state_before``: ``dd_blocked``, ``stop_blocked``,
+    ``order_reject`` and ``action`` (the signal that becomes an order or a no-op fill, else
+    NULL). The peak is the initial equity unless a column is given."""
+    peak = F.lit(float(initial_cash)) if peak is None else peak
+    known = F.col(signal).isNotNull()
+    out = signals.withColumn("dd_blocked", F.when(known, drawdown_blocked("equity_before", peak, max_drawdown)))
+    out = out.withColumn("stop_blocked", F.when(known, stop_loss_blocked("held_qty", price, "held_avg", stop_loss)))
+    refused = order_reject_reason(signal, "cash_before", price, "held_qty", order_size)
+    out = out.withColumn("order_reject", F.when(known, F.when(F.col("dd_blocked") | F.col("stop_blocked"), "risk_blocked")
+                                                 .otherwise(refused)))
+    return out.withColumn("action", F.when(known & F.col("order_reject").isNull(), F.col(signal)))
+
+
+def form_orders(decided: DataFrame, order_size: int = P.ORDER_SIZE, date: str = "date") -> DataFrame:
+    """ORD1's orders: a market order of ``order_size`` for every BUY or SELL that passed."""
+    return decided.where(F.col("action").isin("BUY", "SELL")).select(
+        "account_id", "symbol", date, F.lit("MKT").alias("order_type"), F.col("action").alias("direction"),
+        F.lit(float(order_size)).alias("quantity"))

@@ -14,9 +14,11 @@ from quantflow import params as P
 from quantflow.operators import backtest as BT
 from quantflow.operators import events as EVT
 from quantflow.operators import risk as RK
+from quantflow.operators import signals as SG
 from quantflow.plans.oracle_views import ctes
 from quantflow.plans.registry import register
 from quantflow.plans.util import rounded
+from quantflow.session import cut_lineage
 from quantflow.sources import fixtures as FX
 
 SCALE = 100.0
@@ -164,20 +166,29 @@ def bkt1u(spark, sf_dir):
     return rounded(BT.snapshots(BT.backtest(bars, members, prm)).drop("replay"))
 
 
-# ---- risk gates and order formation, read from the back-test decisions --------------
+# ---- risk gates and order formation: table operators over stored account states ---------
+
+def _decided(spark, sf_dir):
+    """Signals of the rule, joined to the back-test's stored states before their date and
+    decided by ``operators.risk``."""
+    bars = _bars(spark, sf_dir)
+    account = F.concat(F.lit("0:"), F.col("symbol").cast("string"))
+    state = cut_lineage(run_backtest(spark, sf_dir).select("account_id", "symbol", "date", "position_qty", "avg_price", "cash"))
+    signals = SG.rule_signal(bars).where(F.col("signal").isNotNull()).withColumn("account_id", account)
+    return RK.decide(RK.state_before(signals, state, state, bars))
+
+
 
 @register("rsk1_drawdown_gate", f"""WITH RECURSIVE {BT_SQL}
 SELECT account_id, date, equity_before, dd_blocked FROM dec WHERE signal IS NOT NULL""")
 def rsk1(spark, sf_dir):
-    d = run_backtest(spark, sf_dir).where(F.col("signal").isNotNull())
-    return rounded(d.select("account_id", "date", "equity_before", "dd_blocked"))
+    return rounded(_decided(spark, sf_dir).select("account_id", "date", "equity_before", "dd_blocked"))
 
 
 @register("rsk2_stop_loss_gate", f"""WITH RECURSIVE {BT_SQL}
 SELECT account_id, date, signal, stop_blocked FROM dec WHERE signal IS NOT NULL""")
 def rsk2(spark, sf_dir):
-    d = run_backtest(spark, sf_dir).where(F.col("signal").isNotNull())
-    return rounded(d.select("account_id", "date", "signal", "stop_blocked"))
+    return rounded(_decided(spark, sf_dir).select("account_id", "date", "signal", "stop_blocked"))
 
 
 @register("rsk3_order_clamp", f"""WITH {ctes("orders_li")}
@@ -212,8 +223,7 @@ def rsk4(spark, sf_dir):
 @register("ord1_signal_to_order", f"""WITH RECURSIVE {BT_SQL}
 SELECT account_id, date, signal, order_reject, action FROM dec WHERE signal IS NOT NULL""")
 def ord1(spark, sf_dir):
-    d = run_backtest(spark, sf_dir).where(F.col("signal").isNotNull())
-    return rounded(d.select("account_id", "date", "signal", "order_reject", "action"))
+    return rounded(_decided(spark, sf_dir).select("account_id", "date", "signal", "order_reject", "action"))
 
 
 @register("ord2_risk_pct_quantity", f"""WITH RECURSIVE {BT_SQL}

@@ -7,6 +7,7 @@ trade sequence, with the same floating-point operation order as the Spark scan.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantflow.operators import ledger as LG
@@ -84,9 +85,9 @@ def led2(spark, sf_dir):
 
 
 def _seqd(spark, sf_dir):
-    """Fills with their per-symbol trade sequence number (from the ledger scan)."""
-    return _traj(spark, sf_dir).select("symbol", "seq", "date", "direction", "quantity",
-                                       "price")
+    """Fills with their per-symbol trade sequence number: expressions and a window, no Python."""
+    w = Window.partitionBy("symbol").orderBy("ord")
+    return FX.fills_li(spark, sf_dir).withColumn("seq", F.row_number().over(w).cast("bigint"))
 
 
 @register("led3_position_fold", f"""{W}{LEDGER_SQL}
@@ -198,6 +199,19 @@ def led10(spark, sf_dir):
     return rounded(LG.daily_snapshot(hold, cash), {"cash": 4, "equity": 4, "total_value": 4})
 
 
+@register("led10_daily_snapshot_rows", f"""{W}{EQUITY_SQL}
+SELECT eq.date, round_even(eq.cash, 4) AS cash, round_even(eq.equity, 4) AS equity,
+       round_even(eq.equity, 4) AS total_value, h.symbol, round_even(h.value, 4) AS value
+FROM eq LEFT JOIN holdings h ON h.date = eq.date""")
+def led10_rows(spark, sf_dir):
+    """LED10 as keyed rows: one per date and holding instead of a map of the whole universe."""
+    bars = FX.bars_li(spark, sf_dir)
+    eod = LG.positions_eod(_traj(spark, sf_dir))
+    cash = LG.cash_by_date(eod, calendar=bars.select("date"))
+    return rounded(LG.snapshot_rows(LG.holdings_grid(eod, bars), cash),
+                   {"cash": 4, "equity": 4, "total_value": 4, "value": 4})
+
+
 @register("led11_symbol_equity_history", f"""{W}{HOLD_SQL}
 SELECT symbol, date, value FROM holdings WHERE value <> 0""")
 def led11(spark, sf_dir):
@@ -223,6 +237,18 @@ def led13(spark, sf_dir):
     return rounded(LG.symbol_equity_wide(hist, symbols))
 
 
+ALIGNED = list(range(1, 11))  # symbols of the aligned view: the caller's list, not the data's
+_aligned = ", ".join(f'max(CASE WHEN symbol = {k} THEN value END) AS "{k}"' for k in ALIGNED)
+
+
+@register("led13_symbol_equity_aligned", f"""{W}{HOLD_SQL}
+SELECT date, {_aligned} FROM holdings WHERE value <> 0 GROUP BY date""")
+def led13_aligned(spark, sf_dir):
+    """LED13 for a given list of symbols; dates come from all symbols, gaps are NULL."""
+    hist = LG.symbol_equity_history(_holdings(spark, sf_dir))
+    return rounded(LG.symbol_equity_wide(hist, ALIGNED))
+
+
 @register("led14_valid_fill_filter", f"""WITH {ctes("fills_li")}
 SELECT direction, count(*) AS n, round_even(sum(quantity), 4) AS quantity FROM fills_li
 WHERE direction IN ('BUY', 'SELL') GROUP BY direction""", dates=())

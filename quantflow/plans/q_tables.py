@@ -155,6 +155,32 @@ def snk2(spark, sf_dir):
     return as_double(out["daily"].select(*DAILY_COLS))
 
 
+@register("snk2_refresh_tables", f"""WITH {D}
+SELECT 'daily' AS tab, ts_code AS k, CAST(trade_date AS BIGINT) AS d,
+       CAST(close AS DOUBLE) + CASE WHEN trade_date >= 19980101 THEN 1 ELSE 0 END AS v FROM daily_li
+UNION ALL
+SELECT 'basic', lpad(CAST(s_suppkey AS VARCHAR), 7, '0'), NULL,
+       CAST(CASE WHEN s_suppkey % 2 = 0 THEN -s_nationkey ELSE s_nationkey END AS DOUBLE) FROM supplier""", dates=())
+def snk2_tables(spark, sf_dir):
+    """Two refreshes of two tables with keys of their own; the second one replaces rows."""
+    daily = _daily(spark, sf_dir).select("ts_code", "trade_date", F.col("close").cast("double").alias("close"))
+    basic = TB.read_table(spark, sf_dir, "supplier").select(
+        F.lpad(F.col("s_suppkey").cast("string"), 7, "0").alias("ts_code"), F.col("s_nationkey").cast("double").alias("nation"),
+        "s_suppkey")
+    seq = F.lit(1).cast("long")
+    loads = [{"daily": daily.where("trade_date < 19990101"), "basic": basic.where("s_suppkey % 3 > 0")},
+             {"daily": daily.where("trade_date >= 19980101").withColumn("close", F.col("close") + 1),
+              "basic": basic.where("s_suppkey % 3 = 0 OR s_suppkey % 2 = 0")
+              .withColumn("nation", F.when(F.col("s_suppkey") % 2 == 0, -F.col("nation")).otherwise(F.col("nation")))}]
+    root = _scratch(spark, "refresh-tables")
+    for load in loads:
+        out = SK.refresh_tables(spark, root, lambda t: load[t].withColumn("seq", seq),  # noqa: B023
+                                {"daily": ["ts_code", "trade_date"], "basic": ["ts_code"]})
+    return out["daily"].select(F.lit("daily").alias("tab"), F.col("ts_code").alias("k"), F.col("trade_date").cast("long").alias("d"),
+                               F.col("close").alias("v")).unionByName(out["basic"].select(
+        F.lit("basic").alias("tab"), F.col("ts_code").alias("k"), F.lit(None).cast("long").alias("d"), F.col("nation").alias("v")))
+
+
 @register("snk3_create_table", f"WITH {D} SELECT {SQL_DAILY} FROM daily_li", dates=())
 def snk3(spark, sf_dir):
     name = f"qf_daily_{uuid.uuid4().hex[:12]}"

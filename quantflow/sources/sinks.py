@@ -113,6 +113,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def refresh_tables(spark: SparkSession, root: str, landing: Callable[[str], DataFrame],
+                   tables: dict[str, Sequence[str]], backup_day: str | None = None) -> dict[str, DataFrame]:
+    """SNK2: refresh several tables, each by its own keys (no date needed), in one commit.
+
+    ``landing(table)`` gives the rows to take in, with a ``seq``. New keys are inserted, known
+    ones replaced; readers see all tables before the refresh or all after it. With a backup
+    day the committed tables are copied. Returns the committed tables."""
+    from quantflow.sources import commits as CM
+    CM.upsert_tables(spark, root, {name: (landing(name), keys) for name, keys in tables.items()})
+    out = {name: CM.read_committed(spark, root, name) for name in tables}
+    if backup_day:
+        for name, df in out.items():
+            snapshot_backup(df, f"{root.rstrip('/')}/backup/{name}", backup_day)
+    return out
+
+
 def refresh_job(spark: SparkSession, landing: Callable[[str, int], DataFrame],
                 tables: Sequence[str], trade_date: int, root: str,
                 backup_day: str | None = None) -> dict[str, DataFrame]:
