@@ -14,6 +14,7 @@ pre-aggregated to one row per (key, date) before any window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -81,40 +82,63 @@ def new_position() -> list:
     return [0.0, 0.0, 0.0, 0.0, 0.0]
 
 
-def _scan(key_cols: list[str], fees: P.FeeSchedule):
-    """Sorted-partition walk of the ledger keys; a small helper run inside ``mapInPandas``."""
+def _scan(key_cols: list[str], fees: P.FeeSchedule, carry: list[str], emit: str):
+    """Sorted-partition walk of the ledger keys; a small helper run inside ``mapInPandas``. It
+    gives out every fill with the state after it, or only a key's last state of each date
+    (``days``) or of all (``final``), so that no row a caller drops leaves the worker."""
 
-    def run(batches):
-        cur, pos, seq = None, new_position(), 0
+    def states(batches):
+        cur, pos, seq, day, units, accepted = None, new_position(), 0, None, 0, 0
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys = list(zip(*[pdf[k].tolist() for k in key_cols])) if len(key_cols) > 1 \
-                else pdf[key_cols[0]].tolist()
-            dirs = pdf["direction"].tolist()
-            qty = pdf["quantity"].astype("float64").tolist()
-            px = pdf["price"].astype("float64").tolist()
-            out = {name: [] for name, _ in STATE_FIELDS}
-            for k, d, n, p in zip(keys, dirs, qty, px):
+            keys = list(zip(*[pdf[k].tolist() for k in key_cols]))
+            days = pdf[carry[0]].tolist() if emit == "days" else [None] * len(pdf)
+            rows = []
+            for k, t, d, n, p in zip(keys, days, pdf["direction"].tolist(), pdf["quantity"].astype("float64").tolist(),
+                                     pdf["price"].astype("float64").tolist()):
+                if emit != "fills" and (k != cur or t != day):
+                    if cur is not None:
+                        rows.append((*cur, day, seq, accepted, units, *pos))
+                    units, day = 0, t
                 if k != cur:
-                    cur, pos, seq = k, new_position(), 0
+                    cur, pos, seq, accepted = k, new_position(), 0, 0
                 seq += 1
                 acc, reason, fee, rate, tax, tpnl, cash = apply_fill(pos, d, n, p, fees)
-                for name, v in (("seq", seq), ("accepted", acc), ("reject_reason", reason),
-                                ("commission", fee), ("stamp_tax", rate),
-                                ("stamp_tax_amount", tax), ("trade_pnl", tpnl),
-                                ("realized_pnl", pos[4]), ("cash_delta", cash),
-                                ("position_qty", pos[0]), ("avg_price", pos[1]),
-                                ("total_buy_commission", pos[2]),
-                                ("total_buy_quantity", pos[3])):
-                    out[name].append(v)
-            res = pdf.drop(columns=[c for c in pdf.columns if c in out]).copy()
-            for name, _ in STATE_FIELDS:
-                res[name] = pd.Series(out[name], index=pdf.index)
-            yield res
+                if emit == "fills":
+                    rows.append((seq, acc, reason, fee, rate, tax, tpnl, pos[4], cash, pos[0], pos[1], pos[2], pos[3]))
+                else:
+                    accepted += acc
+                    units += round(cash * 10_000)  # the flow rounded half-even to 4 places, exactly
+            yield pdf, rows
+        if emit != "fills" and cur is not None:
+            yield None, [(*cur, day, seq, accepted, units, *pos)]
+
+    def run(batches):
+        for pdf, rows in states(batches):
+            if emit != "fills":
+                if rows:
+                    yield pd.DataFrame(rows, columns=[*key_cols, "__day", "seq", "n_trades", "cash_units", *POSITION])
+                continue
+            names = [name for name, _ in STATE_FIELDS]
+            out = pdf.drop(columns=[c for c in pdf.columns if c in names])
+            yield pd.concat([out, pd.DataFrame(rows, columns=names, index=pdf.index)], axis=1)
     return run
 
 
+POSITION = ["position_qty", "avg_price", "total_buy_commission", "total_buy_quantity", "realized_pnl"]
+
+
+def _sorted_fills(fills: DataFrame, keys, order, carry, num_partitions: int | None) -> DataFrame:
+    n = num_partitions or int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = fills.select(*keys, *[c for c in carry if c not in keys], *order,
+                        "direction", "quantity", "price")
+    sorted_ = base.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    return sorted_.select(*keys, *[c for c in carry if c not in keys], "direction",
+                          F.col("quantity").cast("double").alias("quantity"),
+                          F.col("price").cast("double").alias("price"))
+
+
 def ledger_trajectory(fills: DataFrame, keys: Sequence[str] = ("symbol",),
                       order: Sequence[str] = ("ord",), fees: P.FeeSchedule = P.FeeSchedule(),
                       num_partitions: int | None = None,
@@ -125,17 +149,28 @@ def ledger_trajectory(fills: DataFrame, keys: Sequence[str] = ("symbol",),
     ``price`` and the ``carry`` columns. Rejected rows (a SELL against an empty buy pool,
     a direction other than BUY/SELL) are kept with ``accepted = false`` and unchanged state.
     """
-    keys, order, carry = list(keys), list(order), list(carry)
-    n = num_partitions or int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = fills.select(*keys, *[c for c in carry if c not in keys], *order,
-                        "direction", "quantity", "price")
-    sorted_ = base.repartition(n, *keys).sortWithinPartitions(*keys, *order)
-    proj = sorted_.select(*keys, *[c for c in carry if c not in keys], "direction",
-                          F.col("quantity").cast("double").alias("quantity"),
-                          F.col("price").cast("double").alias("price"))
+    proj = _sorted_fills(fills, list(keys), list(order), list(carry), num_partitions)
     schema = T.StructType(list(proj.schema.fields) + [T.StructField(nm, t, True)
                                                       for nm, t in STATE_FIELDS])
-    return proj.mapInPandas(_scan(keys, fees), schema)
+    return proj.mapInPandas(_scan(list(keys), fees, list(carry), "fills"), schema)
+
+
+def ledger_states(fills: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ord",),
+                  fees: P.FeeSchedule = P.FeeSchedule(), num_partitions: int | None = None,
+                  date: str | None = None) -> DataFrame:
+    """The states that ``final_positions`` (without ``date``) or ``positions_eod`` (per ``date``)
+    take from the trajectory, straight from the scan: one row per key (and date) leaves it."""
+    ks = list(keys)
+    proj = _sorted_fills(fills, ks, list(order), [date] if date else [], num_partitions)
+    day = proj.schema[date].dataType if date else T.NullType()
+    schema = T.StructType([proj.schema[k] for k in ks] + [T.StructField("__day", day if date else T.StringType())]
+                          + [T.StructField(c, T.LongType()) for c in ("seq", "n_trades", "cash_units")]
+                          + [T.StructField(c, T.DoubleType()) for c in POSITION])
+    out = proj.mapInPandas(_scan(ks, fees, [date] if date else [], "days" if date else "final"), schema)
+    if date is None:
+        return out.select(*ks, *POSITION, "n_trades")
+    flow = (F.col("cash_units").cast("decimal(28,0)") * F.lit(Decimal("0.0001")).cast("decimal(5,4)")).cast(MONEY)
+    return out.select(*ks, F.col("__day").alias(date), "position_qty", "avg_price", "realized_pnl", flow.alias("cash_delta"))
 
 
 def trade_records(traj: DataFrame) -> DataFrame:

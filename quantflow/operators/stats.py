@@ -137,6 +137,19 @@ def summary(equity: DataFrame, keys="series", order: str = "date",
                       "total_return", "n_points")
 
 
+def metric_series(equity: DataFrame, keys="series", order: str = "date", value: str = "equity") -> DataFrame:
+    """STA14's series in long form (keys, date, metric, value): ``equity``, ``returns``,
+    ``total_return`` (cumulative) and ``daily_pnl``, from one window pass over the curves that
+    is unpivoted afterwards. NULL equity points are left out; the first has no ``daily_pnl``."""
+    ks = _keys(keys)
+    r = daily_returns(equity.select(*ks, order, value), ks, order, value)
+    r = cumulative_returns(r, ks, order).withColumn("pnl", F.col(value) - F.lag(value).over(_w(ks, order)))
+    metric = lambda name, c: F.struct(F.lit(name).alias("metric"), F.col(c).alias("value"))
+    return r.select(*ks, order, F.inline(F.array(
+        metric("equity", value), metric("returns", "ret"), metric("total_return", "cum_return"),
+        metric("daily_pnl", "pnl")))).where((F.col("metric") != "daily_pnl") | F.col("value").isNotNull())
+
+
 def stats_table(summ: DataFrame, key: str = "series") -> DataFrame:
     """STA15: display projection of the summary."""
     return summ.select(F.col(key).alias("Symbol"), F.col("annual_return").alias("Annual Return"),

@@ -15,6 +15,7 @@ from quantflow.operators import reports as RP
 from quantflow.plans.oracle_views import cte_def, ctes
 from quantflow.plans.registry import register
 from quantflow.plans.util import rounded
+from quantflow.session import cut_lineage
 from quantflow.sources import fixtures as FX
 
 D = "::DOUBLE"
@@ -96,7 +97,7 @@ SELECT symbol, arg_max(q, seq) AS position_qty, arg_max(avg_price, seq) AS avg_p
        arg_max(realized_pnl, seq) AS realized_pnl, CAST(sum(CAST(accepted AS INTEGER)) AS BIGINT) AS n_trades
 FROM traj GROUP BY symbol""", dates=(), bench=True)
 def led3(spark, sf_dir):
-    return LG.final_positions(_traj(spark, sf_dir))
+    return LG.ledger_states(FX.fills_li(spark, sf_dir))
 
 
 @register("led4_realized_pnl", f"""{W}{LEDGER_SQL}
@@ -150,9 +151,8 @@ hold AS (SELECT g3.symbol, g3.date, g3.quantity, b.close AS price
 holdings AS (SELECT symbol, date, quantity, price, quantity * coalesce(price, 0.0{D}) AS value FROM hold)"""
 
 
-def _holdings(spark, sf_dir, traj=None):
-    traj = traj if traj is not None else _traj(spark, sf_dir)
-    return LG.holdings_grid(LG.positions_eod(traj), FX.bars_li(spark, sf_dir))
+def _holdings(spark, sf_dir):
+    return LG.holdings_grid(_eod(spark, sf_dir), _closes(spark, sf_dir))
 
 
 @register("led8_mark_to_market", f"""{W}{HOLD_SQL}
@@ -172,9 +172,18 @@ eq AS (SELECT c.date, c.cash, CAST(CAST(round_even(c.cash, 4) AS DECIMAL(38,4))
        FROM cal_cash c LEFT JOIN hv ON hv.date = c.date)"""
 
 
+def _eod(spark, sf_dir):
+    """End-of-day positions, written once: several consumers read them."""
+    return cut_lineage(LG.ledger_states(FX.fills_li(spark, sf_dir), date="date"))
+
+
+def _closes(spark, sf_dir):
+    """Bars, derived once: prices and calendar are read from the stored rows."""
+    return cut_lineage(FX.bars_li(spark, sf_dir).select("symbol", "date", "close"))
+
+
 def _equity(spark, sf_dir):
-    bars = FX.bars_li(spark, sf_dir)
-    eod = LG.positions_eod(_traj(spark, sf_dir))  # one scan feeds holdings and cash
+    bars, eod = _closes(spark, sf_dir), _eod(spark, sf_dir)
     cal = bars.select("date")
     hold = LG.holdings_value_by_date(eod, bars, cal)
     cash = LG.cash_by_date(eod, calendar=cal)
@@ -192,8 +201,7 @@ def led9(spark, sf_dir):
 @register("led10_daily_snapshot")
 def led10(spark, sf_dir):
     """Rows-only: the holdings map has no engine-neutral text form; LED9 checks the numbers."""
-    bars = FX.bars_li(spark, sf_dir)
-    eod = LG.positions_eod(_traj(spark, sf_dir))
+    bars, eod = _closes(spark, sf_dir), _eod(spark, sf_dir)
     hold = LG.holdings_grid(eod, bars)
     cash = LG.cash_by_date(eod, calendar=bars.select("date"))
     return rounded(LG.daily_snapshot(hold, cash), {"cash": 4, "equity": 4, "total_value": 4})
@@ -205,8 +213,7 @@ SELECT eq.date, round_even(eq.cash, 4) AS cash, round_even(eq.equity, 4) AS equi
 FROM eq LEFT JOIN holdings h ON h.date = eq.date""")
 def led10_rows(spark, sf_dir):
     """LED10 as keyed rows: one per date and holding instead of a map of the whole universe."""
-    bars = FX.bars_li(spark, sf_dir)
-    eod = LG.positions_eod(_traj(spark, sf_dir))
+    bars, eod = _closes(spark, sf_dir), _eod(spark, sf_dir)
     cash = LG.cash_by_date(eod, calendar=bars.select("date"))
     return rounded(LG.snapshot_rows(LG.holdings_grid(eod, bars), cash),
                    {"cash": 4, "equity": 4, "total_value": 4, "value": 4})

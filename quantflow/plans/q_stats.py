@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from quantflow.functions.exprs import round_even
 
 from quantflow import params as P
+from quantflow.operators import ledger as LG
 from quantflow.operators import reports as RP
 from quantflow.operators import stats as ST
 from quantflow.plans.oracle_views import BARS_EV, EQUITY_ORD
+from quantflow.plans.q_ledger import EQUITY_SQL, _closes, _eod
 from quantflow.plans.registry import register
 from quantflow.plans.util import rounded
 from quantflow.sources import fixtures as FX
@@ -179,14 +181,14 @@ def sta13(spark, sf_dir):
                               round_even("ret_raw", P.DECIMALS).alias("ret")))
 
 
-SUMMARY_SQL = f"""WITH {RET_SQL}, {DD_SQL},
-agg AS (SELECT series,
+SUMMARY_AGG = f"""agg AS (SELECT series,
   round_even(pow(1.0 + (product(1.0 + ret) - 1), 252.0 / count(ret)) - 1, 4) AS annual_return,
   round_even(stddev_samp(ret) * {SQRT}, 4) AS volatility,
   round_even(avg(ret) / NULLIF(stddev_samp(ret), 0) * {SQRT}, 4) AS sharpe,
   round_even(product(1.0 + ret) - 1, 4) AS total_return,
   count(*) AS n_points
   FROM ret GROUP BY series)"""
+SUMMARY_SQL = f"WITH {RET_SQL}, {DD_SQL},\n{SUMMARY_AGG}"
 
 
 @register("sta14_summary", SUMMARY_SQL + """
@@ -198,6 +200,37 @@ def sta14(spark, sf_dir):
     return ST.summary(_eq(spark, sf_dir))
 
 
+@register("sta14_metric_series", f"""WITH {RET_SQL},
+m AS (SELECT series, date, equity, ret, equity - lag(equity) OVER (PARTITION BY series ORDER BY date) AS pnl,
+             round_even(product(1.0 + ret) OVER (PARTITION BY series ORDER BY date
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 4) AS cum FROM ret)
+SELECT series, date, 'equity' AS metric, equity AS value FROM m
+UNION ALL SELECT series, date, 'returns', ret FROM m
+UNION ALL SELECT series, date, 'total_return', cum FROM m
+UNION ALL SELECT series, date, 'daily_pnl', pnl FROM m WHERE pnl IS NOT NULL""")
+def sta14_series(spark, sf_dir):
+    return rounded(ST.metric_series(_eq(spark, sf_dir)))
+
+
+@register("sta14_account_and_symbols", f"""WITH RECURSIVE {EQUITY_SQL},
+equity_ord AS (SELECT 'account' AS series, date, round_even(equity, 4) AS equity FROM eq
+               UNION ALL SELECT CAST(symbol AS VARCHAR), date, round_even(value, 4) FROM holdings WHERE value <> 0),
+{RET_SQL.split(EQUITY_ORD + ",", 1)[1]}, {DD_SQL},
+{SUMMARY_AGG}
+SELECT a.series, annual_return, volatility, sharpe, round_even(t.t.dd, 4) AS max_dd,
+       CAST(greatest(t.t.day - t.t.peak_day, 0) AS BIGINT) AS max_dd_duration,
+       total_return, n_points
+FROM agg a JOIN trough t ON a.series = t.series""", dates=())
+def sta14_all(spark, sf_dir):
+    """The ledger's account curve and every symbol's curve through one summary."""
+    bars, eod = _closes(spark, sf_dir), _eod(spark, sf_dir)
+    hold = LG.holdings_grid(eod, bars)
+    account = LG.account_equity(hold, LG.cash_by_date(eod, calendar=bars.select("date")))
+    symbols = LG.symbol_equity_history(hold).withColumn("equity", round_even("value", 4))
+    curves = ST.with_series_union(account.withColumn("equity", round_even("equity", 4)), symbols)
+    return ST.summary(curves)
+
+
 @register("sta15_stats_table", SUMMARY_SQL + """
 SELECT a.series AS "Symbol", annual_return AS "Annual Return", volatility AS "Volatility",
        sharpe AS "Sharpe", round_even(t.t.dd, 4) AS "Max DD",

@@ -124,3 +124,16 @@ def test_two_accounts_same_symbol_valuation(spark):
     last = str(D0 + dt.timedelta(days=2))
     assert approx(eq[("x", last)], 100000 - 1005 + 10 * 120)
     assert approx(eq[("y", last)], 100000 - 2005 + (550 - 5 - 0.55 - 0.0055) + 15 * 120)
+
+
+def test_states_from_the_scan_equal_those_of_the_trajectory(spark):
+    import random
+    rng = random.Random(2)
+    rows = [(rng.choice("ABC"), dt.date(2024, 1, 1 + k // 9), k, rng.choice(["BUY", "SELL", "SELL", "HOLDING"]),
+             float(rng.randint(1, 4)), rng.random() * 50) for k in range(200)]
+    fills = spark.createDataFrame(rows, "symbol string, date date, seq long, direction string, quantity double, price double")
+    traj = LG.ledger_trajectory(fills, order=("seq",))
+    same = lambda a, b: sorted(map(str, map(tuple, a.collect()))) == sorted(map(str, map(tuple, b.select(*a.columns).collect())))
+    assert same(LG.final_positions(traj), LG.ledger_states(fills, order=("seq",)))
+    assert same(LG.positions_eod(traj, materialize=False), LG.ledger_states(fills, order=("seq",), date="date"))
+    assert LG.ledger_states(fills.limit(0), order=("seq",)).count() == 0
