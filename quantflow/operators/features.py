@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantflow import params as P
+from quantflow.sources.sinks import keyed_upsert, write_clustered
 
 
 def symbol_window(key: str | Sequence[str] = "symbol", order: str | Sequence[str] = "date"):
@@ -92,18 +93,23 @@ def latest_price(bars: DataFrame, key: str = "symbol", order: str = "date",
 
 
 def write_feature_store(features: DataFrame, path: str, mode: str = "append") -> None:
-    """FEA8: features appended as Parquet partitioned by month of ``date``.
+    """FEA8: features stored as Parquet by month of ``date``, sorted by symbol and date inside
+    each file (``write_clustered``), so reads by date skip months and reads by symbol row groups.
 
-    Month partitions keep files large (a day of bars per symbol is one row); reads by date
-    range still prune partitions through the derived ``month`` column. With dynamic
-    partition overwrite, re-running a month replaces only that month.
+    ``append`` takes (symbol, date) rows in: new ones are added and known ones replaced, in the
+    months the batch has, so the same batch twice leaves the store as after once.
+    ``overwrite`` replaces the months that ``features`` has. A large month is written by several tasks.
     """
-    (features.withColumn("month", F.date_format("date", "yyyy-MM"))
-     .repartition("month")
-     .write.mode(mode).partitionBy("month").parquet(path))
+    rows = features.withColumn("month", F.date_format("date", "yyyy-MM"))
+    if mode == "append":
+        batch = rows.dropDuplicates(["symbol", "date"]).withColumn("seq", F.lit(1).cast("long"))
+        keyed_upsert(features.sparkSession, path, batch, ("symbol", "date"), partition_col="month")
+    else:
+        write_clustered(rows, path, "month", ("symbol", "date"), mode)
 
 
 def read_feature_store(spark, path: str, symbols=None, start=None, end=None) -> DataFrame:
+    """FEA8: stored rows of the given symbols and of dates from ``start`` to ``end``."""
     df = spark.read.parquet(path)
     if start is not None:
         df = df.where((F.col("month") >= F.lit(str(start)[:7])) & (F.col("date") >= F.lit(start)))

@@ -2,13 +2,14 @@
 
 The position recurrence (moving average cost, buy-commission pool, realized PnL) is
 order-dependent and branches on exact state values (a SELL is dropped when the buy pool
-is exactly 0, the cost resets when the quantity returns to exactly 0), so it has no
-associative summary that would let one key be split across tasks. It runs as a sorted
+is exactly 0, the cost resets when the quantity returns to exactly 0). It runs as a sorted
 scan: rows are hash-partitioned by the ledger key, sorted by (key, trade order) inside each
 partition, and ``mapInPandas`` walks the partition's Arrow batches carrying only the
 current key's state. Memory is one Arrow batch whatever the size of a key; different keys
-run in parallel. Everything after the scan (cash, end-of-day positions, valuation) is
-pre-aggregated to one row per (key, date) before any window.
+run in parallel, and a hot key can be split where its position is flat (``split_rows``):
+there quantity, cost and buy pool are all exactly 0 and the recurrence starts anew. Everything
+after the scan (cash, end-of-day positions, valuation) is pre-aggregated to one row per
+(key, date) before any window.
 """
 
 from __future__ import annotations
@@ -131,8 +132,7 @@ POSITION = ["position_qty", "avg_price", "total_buy_commission", "total_buy_quan
 
 def _sorted_fills(fills: DataFrame, keys, order, carry, num_partitions: int | None) -> DataFrame:
     n = num_partitions or int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = fills.select(*keys, *[c for c in carry if c not in keys], *order,
-                        "direction", "quantity", "price")
+    base = fills.select(*dict.fromkeys([*keys, *carry, *order, "direction", "quantity", "price"]))
     sorted_ = base.repartition(n, *keys).sortWithinPartitions(*keys, *order)
     return sorted_.select(*keys, *[c for c in carry if c not in keys], "direction",
                           F.col("quantity").cast("double").alias("quantity"),
@@ -142,19 +142,61 @@ def _sorted_fills(fills: DataFrame, keys, order, carry, num_partitions: int | No
 def ledger_trajectory(fills: DataFrame, keys: Sequence[str] = ("symbol",),
                       order: Sequence[str] = ("ord",), fees: P.FeeSchedule = P.FeeSchedule(),
                       num_partitions: int | None = None,
-                      carry: Sequence[str] = ("date",)) -> DataFrame:
+                      carry: Sequence[str] = ("date",), split_rows: int | None = None) -> DataFrame:
     """LED3/4/5/7/14: one output row per input fill with the state after it.
 
     ``fills`` needs ``keys``, ``order`` (sort columns), ``direction``, ``quantity``,
     ``price`` and the ``carry`` columns. Rejected rows (a SELL against an empty buy pool,
     a direction other than BUY/SELL) are kept with ``accepted = false`` and unchanged state.
+
+    With ``split_rows`` a key is folded in pieces of about that many fills, in parallel, as far
+    as it has flat points (``flat_blocks``); ``order`` must then have no ties within a key.
+    The rows are the same; worth it for keys of many millions of fills.
     """
+    if split_rows:
+        return _split_trajectory(fills, list(keys), list(order), fees, num_partitions, list(carry), split_rows)
     proj = _sorted_fills(fills, list(keys), list(order), list(carry), num_partitions)
     schema = T.StructType(list(proj.schema.fields) + [T.StructField(nm, t, True)
                                                       for nm, t in STATE_FIELDS])
     return proj.mapInPandas(_scan(list(keys), fees, list(carry), "fills"), schema)
 
 
+def flat_blocks(fills: DataFrame, keys: Sequence[str], order: Sequence[str], split_rows: int) -> DataFrame:
+    """``fills`` with ``__seq`` (trade number) and ``__block``: runs of a key's fills that begin
+    where its position is flat, bundled to about ``split_rows`` fills.
+
+    While no SELL exceeds the buy pool, the pool is the running sum of signed quantities
+    reflected at 0 (a SELL at 0 is dropped): the sum less its least value so far. From the first
+    oversell on, and where quantities are not whole numbers (sums of which are exact), nothing
+    counts as flat. All of it is windows in the JVM over a few columns."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    q = F.col("quantity").cast("double")
+    sign = F.when(F.col("direction") == "BUY", q).when(F.col("direction") == "SELL", -q).otherwise(F.lit(0.0))
+    out = fills.withColumn("__seq", F.row_number().over(w).cast("bigint")).withColumn("__sum", F.sum(sign).over(upto))
+    out = out.withColumn("__pool", F.col("__sum") - F.least(F.lit(0.0), F.min("__sum").over(upto)))
+    out = out.withColumn("__before", F.lag("__pool", 1, 0.0).over(w))
+    unsure = (((F.col("direction") == "SELL") & (F.col("__before") > 0) & (F.col("__before") < q))
+              | ~F.coalesce((q == F.floor(q)) & q.between(0, 1 << 31), F.lit(False)))
+    out = out.withColumn("__unsure", F.coalesce(F.max(unsure).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    starts = F.when((F.col("__before") == 0) & ~F.col("__unsure"), F.col("__seq"))
+    block = F.floor(F.last(starts, ignorenulls=True).over(upto) / F.lit(split_rows))
+    return out.withColumn("__block", block).drop("__sum", "__pool", "__before", "__unsure")
+
+
+def _split_trajectory(fills, keys, order, fees, num_partitions, carry, split_rows) -> DataFrame:
+    own = [c for c in carry if c not in keys]
+    blocks = flat_blocks(fills.select(*keys, *own, *order, "direction", "quantity", "price"), keys, order, split_rows)
+    proj = _sorted_fills(blocks.drop(*[c for c in order if c not in own + keys]), [*keys, "__block"], ["__seq"],
+                         [*own, "__seq"], num_partitions)
+    schema = T.StructType(list(proj.schema.fields) + [T.StructField(nm, t, True) for nm, t in STATE_FIELDS])
+    out = proj.mapInPandas(_scan([*keys, "__block"], fees, own, "fills"), schema)
+    # profits add up over the key in trade order, by the same additions as in one scan
+    upto = Window.partitionBy(*keys).orderBy("__seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumn("realized_pnl", F.sum("trade_pnl").over(upto)).withColumn("seq", F.col("__seq"))
+    return out.drop("__block", "__seq")
+
+
 def ledger_states(fills: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ord",),
                   fees: P.FeeSchedule = P.FeeSchedule(), num_partitions: int | None = None,
                   date: str | None = None) -> DataFrame:

@@ -120,6 +120,20 @@ def fea8(spark, sf_dir):
                                "Return_1d"), FEAT_ROUND)
 
 
+@register("fea8_feature_slices", f"""WITH {BARS_LI}, {features_sql('bars_li')}
+SELECT symbol, date, close, MA5, MA10, {R}(Volatility20, 8) AS Volatility20, Return_1d FROM feat
+WHERE symbol IN (1, 7, 12) AND date BETWEEN DATE '1994-03-15' AND DATE '1997-09-02'""")
+def fea8_slices(spark, sf_dir):
+    """The store filled by two overlapping appends, read by symbols and dates."""
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/feature_store/{uuid.uuid4().hex}"
+    f = _feat_li(spark, sf_dir)
+    FE.write_feature_store(f.where("date < '1996-07-01'"), path)
+    FE.write_feature_store(f.where("date >= '1995-12-20'"), path)
+    back = FE.read_feature_store(spark, path, [1, 7, 12], "1994-03-15", "1997-09-02")
+    return rounded(back.select("symbol", "date", "close", "MA5", "MA10", "Volatility20", "Return_1d"), FEAT_ROUND)
+
+
 @register("fea9_latest_price", f"""WITH {BARS_LI}
 SELECT symbol, arg_max(close, date) AS last_price, max(date) AS last_date
 FROM bars_li GROUP BY symbol""", dates=("last_date",))

@@ -100,6 +100,14 @@ def led3(spark, sf_dir):
     return LG.ledger_states(FX.fills_li(spark, sf_dir))
 
 
+@register("led3_split_fold", f"""{W}{LEDGER_SQL}
+SELECT {", ".join(TRADE_COLS)}, accepted, q AS position_qty, avg_price FROM traj""")
+def led3_split(spark, sf_dir):
+    """Every fill with its state, keys folded in pieces between flat points."""
+    t = LG.ledger_trajectory(FX.fills_li(spark, sf_dir), split_rows=100)
+    return rounded(t.select(*TRADE_COLS, "accepted", "position_qty", "avg_price"))
+
+
 @register("led4_realized_pnl", f"""{W}{LEDGER_SQL}
 SELECT symbol, seq, date, trade_pnl, realized_pnl FROM traj
 WHERE direction = 'SELL' AND accepted""")

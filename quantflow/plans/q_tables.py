@@ -44,8 +44,7 @@ def _stored(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = _scratch(spark, "stored-daily")
-        SK.with_month(_daily(spark, sf_dir)).hint("rebalance", "trade_month") \
-            .write.partitionBy("trade_month").parquet(path)
+        SK.write_clustered(SK.with_month(_daily(spark, sf_dir)), path, "trade_month", SK.DAILY_KEYS)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 

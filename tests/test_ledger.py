@@ -137,3 +137,54 @@ def test_states_from_the_scan_equal_those_of_the_trajectory(spark):
     assert same(LG.final_positions(traj), LG.ledger_states(fills, order=("seq",)))
     assert same(LG.positions_eod(traj, materialize=False), LG.ledger_states(fills, order=("seq",), date="date"))
     assert LG.ledger_states(fills.limit(0), order=("seq",)).count() == 0
+
+
+def _round_trips(n, seed, oversell):
+    """Fills of one key that is flat now and then, with dropped SELLs at flat points."""
+    import random
+    rng, pool, rows = random.Random(seed), 0, []
+    for k in range(n):
+        direction = rng.choice(["BUY", "SELL", "SELL", "HOLDING"])
+        size = rng.randint(1, 4)
+        if k in (oversell - 1, oversell):
+            direction = "BUY" if k < oversell else "SELL"
+        if direction == "SELL" and pool > 0:
+            size = rng.choice([pool, rng.randint(1, pool)])
+        if direction == "SELL" and k == oversell:
+            size = pool + 3
+        if direction == "BUY":
+            pool += size
+        elif direction == "SELL" and pool > 0:
+            pool = max(0, pool - size)
+        rows.append(("hot", dt.date(2020, 1, 1) + dt.timedelta(days=k // 5), k, direction, float(size), rng.random() * 50))
+    return rows
+
+
+def test_hot_key_in_pieces_gives_the_same_rows(spark):
+    names = "symbol string, date date, seq long, direction string, quantity double, price double"
+    rows = _round_trips(4000, 1, -1) + [("over", *r[1:]) for r in _round_trips(400, 2, 150)]
+    rows += [("parts", r[1], r[2], r[3], r[4] + 0.1, r[5]) for r in _round_trips(100, 3, -1)]
+    fills = spark.createDataFrame(rows, names).withColumnRenamed("seq", "n")
+    one = LG.ledger_trajectory(fills, order=("n",))
+    many = LG.ledger_trajectory(fills, order=("n",), split_rows=50)
+    key = lambda df: sorted(map(str, map(tuple, df.select(*one.columns).collect())))
+    assert key(one) == key(many)
+    blocks = {r["symbol"]: r["count"] for r in LG.flat_blocks(fills, ["symbol"], ["n"], 50)
+              .select("symbol", "__block").distinct().groupBy("symbol").count().collect()}
+    assert blocks["hot"] > 40 and blocks["over"] < 8 and blocks["parts"] == 1
+
+
+def test_a_large_hot_key_is_folded_by_many_tasks(spark):
+    """One key of 200,000 fills: no task folds more than a tenth of them."""
+    from pyspark.sql import functions as F
+    k = F.col("id") % 4
+    fills = spark.range(200_000).select(
+        F.lit("hot").alias("symbol"), F.lit(dt.date(2024, 1, 1)).alias("date"), F.col("id").alias("n"),
+        F.when(k < 2, "BUY").otherwise("SELL").alias("direction"), F.lit(2.0).alias("quantity"), (10 + F.col("id") % 7).cast("double").alias("price"))
+    many = LG.ledger_trajectory(fills, order=("n",), split_rows=1000, num_partitions=64)
+    assert many.where("accepted").count() == 200_000
+    blocks = LG.flat_blocks(fills, ["symbol"], ["n"], 1000).repartition(64, "symbol", "__block")
+    sizes = [r["count"] for r in blocks.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 20_000 and len(sizes) > 30
+    last = many.agg(F.max_by("realized_pnl", "seq")).first()[0]
+    assert last == LG.ledger_states(fills, order=("n",)).first()["realized_pnl"]
