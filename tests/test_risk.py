@@ -117,3 +117,13 @@ def test_claims_are_exclusive(spark):
     assert CM.read_text(spark, path) == "1"
     CM.replace_text(spark, path, "3")
     assert CM.read_text(spark, path) == "3"
+
+
+def test_a_pointer_is_never_missing_while_it_is_replaced(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    path = f"{checkpoint_dir(spark)}/pointer-{dt.datetime.now().timestamp()}/CURRENT"
+    CM.replace_text(spark, path, "0")
+    with ThreadPoolExecutor(3) as pool:
+        writers = [pool.submit(lambda: [CM.replace_text(spark, path, "1" * 50) for _ in range(40)]) for _ in range(2)]
+        seen = pool.submit(lambda: {CM.read_text(spark, path) for _ in range(80)})
+        assert seen.result() <= {"0", "1" * 50} and all(w.result() for w in writers)
