@@ -3,13 +3,13 @@
 Documents with equal shingle sets are one node. All sets are ordered alike: rare shingles by
 hash, then those that many documents share, the commonest last. Two sets that are similar
 enough share a shingle among the first few of each (prefix filter), so nodes meet by those
-shingles. First each node is held against one leader per shingle; the components that this
-gives spare all further pairs within them. What is left are pairs of nodes in different
-components, and those are held against each other too, so no link that would join two
-components is lost. Parity sketches of the two sets tell most pairs that cannot be links before
-any set is moved. Pairs are decided in prefix trees: the ordered sets that meet a node stand
-in a trie, a walk counts the overlap of a shared path once, and leaves a subtree when even
-its longest set cannot reach the overlap that is needed.
+shingles. Each shingle has a leader, and each node is held against the leader that it meets most
+often; the components that this gives spare all further work within them. Where nodes of
+different components meet, the sets that may be linked stand in one prefix tree, which a walk
+with all of them at once searches for links between components (``blocks``), so no link that
+would join two components is lost. The walk counts the overlap of a shared path once, and leaves
+a subtree when even its longest set cannot reach the overlap that is needed. Parity sketches of
+two sets tell most that cannot be linked before any set is moved.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantflow.llm.blocks import BLOCK, BLOCK_VALUES, BUNDLE_NODES, block_links, bundled, may_link, with_blocks
 from quantflow.llm.components import components
 from quantflow.llm.shared import chunks, drop_staged, likely_in, run_folder, spread, staged
 from quantflow.llm.shingles import mix, set_keys, text_shingles
@@ -204,25 +205,50 @@ def link_sets(posts: DataFrame, sets_of, percent: int, folder: str, sketches: Da
     lead = (posts.groupBy("token", band.alias("band"))
             .agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "size", "place")).alias("lead"))
             .select("token", "band", "lead.node", "lead.size", "lead.place"))
+    # of the leaders that a node meets, the one that it shares most tokens with
     stars = (posts.withColumn("band", band).alias("p").join(lead.alias("l"), ["token", "band"])
              .where(F.col("p.node") != F.col("l.node")).where(can_link("p", "l"))
-             .select(F.col("l.node").alias("hub"), F.col("p.node").alias("member")).distinct())
+             .groupBy(F.col("p.node").alias("member"), F.col("l.node").alias("hub")).count()
+             .groupBy("member").agg(F.max(F.struct("count", F.xxhash64("hub").alias("h"), "hub")).alias("most"))
+             .select("most.hub", "member"))
     stars = staged(stars, folder, "stars")
     links = verified(stars, sets_of, percent, folder, "star-links", sketches)
-    roots = components(links)
-    at = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    at = staged(at.join(mixed, "token"), folder, "mixed")
-    rest = (at.alias("p").join(at.alias("q"), "token")
-            .where("p.node < q.node AND p.root <> q.root").where(can_link("p", "q"))
-            .select(F.col("p.node").alias("hub"), F.col("q.node").alias("member")).distinct()
-            .join(stars.select(F.least("hub", "member").alias("hub"), F.greatest("hub", "member").alias("member")),
-                  ["hub", "member"], "left_anti"))
-    rest = staged(rest, folder, "rest")
-    drop_staged(posts.sparkSession, folder, "mixed")
-    if not rest.isEmpty():
-        roots = components(links.unionByName(verified(rest, sets_of, percent, folder, "rest-links", sketches)))
-    return roots
+    at = posts.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = staged(at, folder, "rooted")
+    mixed = (at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("count"),
+                                     F.sum("size").alias("total")).where("x < y"))
+    mixed = staged(mixed.select("token", "count", "total"), folder, "mixed")
+    if mixed.isEmpty():
+        return components(links)
+    return components(links.unionByName(crossing(at, mixed, sets_of, percent, folder, sketches)))
+
+
+def crossing(at: DataFrame, mixed: DataFrame, sets_of, percent: int, folder: str, sketches: DataFrame | None) -> DataFrame:
+    """Links (a, b) between the components ``root`` of ``at`` (token, node, size, place, root) that
+    join them as all links would; ``mixed`` (token, count, total) are the tokens where components
+    meet. Steps on hot tokens are jobs of their own, so that they can be split."""
+    spark = at.sparkSession
+    met = staged(with_blocks(at, mixed), folder, "met")
+    if sketches is not None:
+        wanted = met.select("node").distinct()
+        known = (likely_in(sketches, wanted, "node").where("_likely").groupBy("node")
+                 .agg(F.any_value("sketch").alias("sketch")))
+        met = staged(met.join(staged(known, folder, "met-sketches"), "node"), folder, "met-with-sketches")
+    columns = [*BLOCK, "node", "root"]
+    types = "token bigint, x int, y int, node bigint, root bigint"
+    able = (bundled(met.select(*columns, "size", "place", *(["sketch"] if sketches is not None else [])), met.count(), BUNDLE_NODES)
+            .applyInArrow(lambda t: may_link(t.drop_columns("bundle"), percent), types))
+    able = staged(able, folder, "able")
+    drop_staged(spark, folder, "met-with-sketches")
+    sets = staged(sets_of(able.select("node").distinct()), folder, "able-sets")
+    able = staged(able.join(sets, "node").select(*columns, "values"), folder, "able-with-sets")
+    total = able.agg(F.coalesce(F.sum(F.size("values")), F.lit(0))).first()[0]
+    found = bundled(able, total, BLOCK_VALUES).applyInArrow(
+        lambda t: block_links(t, percent, lambda: Tree(np.zeros(0, np.int64))), "a bigint, b bigint")
+    found = staged(found, folder, "crossing-links")
+    for name in ("met", "met-sketches", "able-sets", "able-with-sets"):
+        drop_staged(spark, folder, name)
+    return found
 
 
 # ---------------------------------------------------------------- join

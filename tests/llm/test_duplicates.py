@@ -233,3 +233,56 @@ def test_near_copies_of_whole_lines(spark):
     left = {r["doc_id"]: r["text"] for r in paragraphs.remove_runs(docs).collect()}
     gone = sum("edited" not in left[1000 + k] and len(left[1000 + k].split()) == 30 for k in range(pairs))
     assert gone >= 0.95 * pairs and all(left[k] == dict(rows)[k] for k in range(pairs))
+
+
+def test_blocks_join_what_all_links_would(monkeypatch):
+    import pyarrow as pa
+
+    from quantflow.llm import blocks
+    rng = np.random.default_rng(12)
+    for percent in (50, 80, 85):
+        sets = []
+        for _ in range(25):
+            base = rng.choice(4000, rng.integers(1, 300), replace=False)
+            for _ in range(4):
+                own = base.copy()
+                k = int(rng.integers(0, 1 + len(base) // 6))
+                own[:k] = rng.choice(4000, k) + 4000
+                sets.append(np.unique(own).astype(np.int64))
+        root = rng.integers(0, 60, len(sets))
+        links = [(a, b) for a in range(len(sets)) for b in range(a)
+                 if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+        same = [(a, b) for a in range(len(sets)) for b in range(a) if root[a] == root[b]]
+        found = blocks.tree_links(jaccard.Tree(np.zeros(0, np.int64)), sets, root.copy(), percent)
+        assert set(found) <= {(a, b) for x, y in links for a, b in ((x, y), (y, x))}
+        assert roots(range(len(sets)), same + found) == roots(range(len(sets)), same + links)
+        # the first pass keeps both ends of every link between different roots
+        size = np.array([len(s) for s in sets])
+        sketch = jaccard.parity_sketches(np.repeat(np.arange(len(sets)), size), np.concatenate(sets).view(np.uint64), size)
+        table = pa.table({"token": np.zeros(len(sets), np.int64), "x": np.zeros(len(sets), np.int32), "y": np.zeros(len(sets), np.int32),
+                          "node": np.arange(len(sets)), "root": root, "size": size, "place": np.zeros(len(sets), np.int32), "sketch": sketch})
+        kept = set(blocks.may_link(table, percent)["node"].to_pylist())
+        assert {n for link in links if root[link[0]] != root[link[1]] for n in link} <= kept
+
+
+def test_jaccard_join_of_a_hot_token(spark, monkeypatch):
+    """Many components meet at one token, whose nodes are dealt into several parts."""
+    from quantflow.llm import blocks
+    monkeypatch.setattr(blocks, "BLOCK_NODES", 8)
+    rng = random.Random(16)
+    shared, rows = words(rng, 40).split(), []
+    for i in range(60):
+        own = list(shared)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = "".join(rng.choice("xyz") for _ in range(6))
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def shingles(t):
+        w = WORD.findall(t.lower())
+        return {tuple(w[k:k + 4]) for k in range(len(w) - 3)}
+
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    root = roots(sets, links)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(docs).collect()} == root
