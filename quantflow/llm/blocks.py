@@ -2,10 +2,12 @@
 
 Nodes that meet at a token form a block; a token with many nodes is dealt into parts, and every
 two parts form a block of their own, so no block outgrows its bounds and a hot token is the
-work of many tasks. Two passes look at the blocks. The first holds sizes, places and parity
-sketches against each other and keeps the nodes that may have a link to another component. The
-second puts the ordered sets of those into one prefix tree, walks it with all of them at once
-and gives out a spanning forest of the links it finds. A pair of nodes is never a row.
+work of many tasks. Two passes look at blocks. The first holds sizes, places and parity
+sketches against each other; the nodes that may be linked across components, tied together by
+a spanning forest, make groups, so that every set is moved for one group and not for each
+token. The second takes the groups as tokens: it puts the ordered sets of a block into one
+prefix tree, walks it with all of them at once and gives out a spanning forest of the links it
+finds. Pairs of nodes are rows in such forests only.
 """
 
 from __future__ import annotations
@@ -67,13 +69,13 @@ class Sketches:
 
 
 def may_link(table: pa.Table, percent: int) -> pa.Table:
-    """Rows (token, x, y, node, root) of the nodes that may be linked, as far as sizes, places and
-    sketches tell, with a node of their block that has another root."""
-    token, x, y, root, size, place = (table[c].to_numpy() for c in (*BLOCK, "root", "size", "place"))
+    """Pairs (a, b) that tie together, block by block, the nodes that may be linked with one of
+    another root, as far as sizes, places and sketches tell: a spanning forest of such pairs."""
+    token, x, y, node, root, size, place = (table[c].to_numpy() for c in (*BLOCK, "node", "root", "size", "place"))
     order = np.lexsort((size, y, x, token))
-    token, x, y, root, size, place = (c[order] for c in (token, x, y, root, size, place))
+    token, x, y, node, root, size, place = (c[order] for c in (token, x, y, node, root, size, place))
     sketches = Sketches(table["sketch"].combine_chunks(), order) if "sketch" in table.column_names else None
-    left, keep = size - place, np.zeros(len(order), bool)
+    left, group, out = size - place, np.arange(len(order)), []
     bounds = block_bounds(token, x, y) if len(order) else np.zeros(1, np.int64)
     for low, high in zip(bounds[:-1], bounds[1:]):
         if (root[low:high] == root[low]).all():
@@ -83,14 +85,18 @@ def may_link(table: pa.Table, percent: int) -> pa.Table:
         for i in range(low, high - 1):
             after = slice(i + 1, stop[i - low])
             total = size[i] + size[after]
-            near = (root[after] != root[i]) & (np.minimum(left[i], left[after]) * (100 + percent) >= total * percent)
-            rows = i + 1 + np.flatnonzero(near)
+            near = (root[after] != root[i]) & (group[after] != group[i])
+            rows = i + 1 + np.flatnonzero(near & (np.minimum(left[i], left[after]) * (100 + percent) >= total * percent))
             if len(rows) and sketches is not None:
                 total = size[i] + size[rows]
                 rows = rows[(total - sketches.differ(i, rows)) * (100 + percent) >= total * (2 * percent)]
             if len(rows):
-                keep[i] = keep[rows] = True
-    return table.select([*BLOCK, "node", "root"]).take(pa.array(order[keep]))
+                other, first = np.unique(group[rows], return_index=True)
+                out += [(node[i], node[k]) for k in rows[first]]
+                block = group[low:high]
+                block[np.isin(block, other)] = group[i]
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
 
 
 def tree_links(tree, sets: list[np.ndarray], root: np.ndarray, percent: int) -> list[tuple[int, int]]:

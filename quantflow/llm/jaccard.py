@@ -229,25 +229,28 @@ def crossing(at: DataFrame, mixed: DataFrame, sets_of, percent: int, folder: str
     meet. Steps on hot tokens are jobs of their own, so that they can be split."""
     spark = at.sparkSession
     met = staged(with_blocks(at, mixed), folder, "met")
+    drop_staged(spark, folder, "rooted")
+    places = met
     if sketches is not None:
-        wanted = met.select("node").distinct()
-        known = (likely_in(sketches, wanted, "node").where("_likely").groupBy("node")
+        known = (likely_in(sketches, met.select("node").distinct(), "node").where("_likely").groupBy("node")
                  .agg(F.any_value("sketch").alias("sketch")))
-        met = staged(met.join(staged(known, folder, "met-sketches"), "node"), folder, "met-with-sketches")
-    columns = [*BLOCK, "node", "root"]
-    types = "token bigint, x int, y int, node bigint, root bigint"
-    able = (bundled(met.select(*columns, "size", "place", *(["sketch"] if sketches is not None else [])), met.count(), BUNDLE_NODES)
-            .applyInArrow(lambda t: may_link(t.drop_columns("bundle"), percent), types))
-    able = staged(able, folder, "able")
+        places = staged(met.join(staged(known, folder, "met-sketches"), "node"), folder, "met-with-sketches")
+        drop_staged(spark, folder, "met-sketches")
+    ties = staged(bundled(places, met.count(), BUNDLE_NODES)
+                  .applyInArrow(lambda t: may_link(t, percent), "a bigint, b bigint"), folder, "ties")
     drop_staged(spark, folder, "met-with-sketches")
-    sets = staged(sets_of(able.select("node").distinct()), folder, "able-sets")
-    able = staged(able.join(sets, "node").select(*columns, "values"), folder, "able-with-sets")
-    total = able.agg(F.coalesce(F.sum(F.size("values")), F.lit(0))).first()[0]
-    found = bundled(able, total, BLOCK_VALUES).applyInArrow(
+    groups = components(ties).select("node", F.col("root").alias("token"))
+    able = met.groupBy("node").agg(F.any_value("root").alias("root"), F.any_value("size").alias("size")).join(groups, "node")
+    able = staged(able, folder, "able")
+    drop_staged(spark, folder, "met")
+    sets = staged(sets_of(able.select("node")), folder, "able-sets")
+    counts = able.groupBy("token").agg(F.count("*").alias("count"), F.sum("size").alias("total"))
+    blocks = staged(with_blocks(able, staged(counts, folder, "groups")), folder, "blocks")
+    total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    found = bundled(blocks.join(sets, "node").select(*BLOCK, "node", "root", "values"), total, BLOCK_VALUES).applyInArrow(
         lambda t: block_links(t, percent, lambda: Tree(np.zeros(0, np.int64))), "a bigint, b bigint")
     found = staged(found, folder, "crossing-links")
-    for name in ("met", "met-sketches", "able-sets", "able-with-sets"):
-        drop_staged(spark, folder, name)
+    drop_staged(spark, folder, "able-sets")
     return found
 
 
