@@ -332,8 +332,10 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
              .select("token", "size", node_of("size", "k1", "k2").alias("node"), "place"))
     posts = staged(posts, folder, "every-post")
     shared = posts.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("token")
-    # two steps: with the aggregate in one job, the join of a hot token could not be split
-    posts = staged(posts.join(shared, "token"), folder, "met-posts")
+    # written first: posts that no other node has are left out before they are moved again, and
+    # with the aggregate in one job, the join of a hot token could not be split
+    shared = staged(shared, folder, "shared-tokens")
+    posts = staged(likely_in(posts, shared, "token").where("_likely").drop("_likely").join(shared, "token"), folder, "met-posts")
     drop_staged(spark, folder, "every-post")
     posts = staged(posts.distinct(), folder, "posts")
     drop_staged(spark, folder, "met-posts")

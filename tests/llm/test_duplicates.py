@@ -135,17 +135,34 @@ def test_paragraphs(spark):
              (54, "Licensed under the same terms as before."), (55, words(rng, 4000)), (None, passage), (56, passage), (56, passage)]
     docs = spark.createDataFrame([(i, t, "src", len(t or "")) for i, t in rows], "doc_id bigint, text string, source string, n_chars bigint")
     found = paragraphs.repeated_runs(docs).collect()
-    assert {r["doc_id"] for r in found} == {*range(1, 12), 56} and all(r["source_ids"] == [0] for r in found)
+    assert {r["doc_id"] for r in found} == {*range(1, 12), 56, None}
+    assert all(r["source_ids"] == [0 if r["doc_id"] is not None else 56] for r in found)
     assert all(r["n_words"] >= 35 for r in found if r["doc_id"] != 56)
     less = {r["doc_id"]: r for r in paragraphs.remove_runs(docs).collect()}
     before = dict(rows)
-    assert all(less[i]["text"] == before[i] for i in (0, 50, 51, 52, 53, 54, 55, None))
+    assert all(less[i]["text"] == before[i] for i in (0, 50, 51, 52, 53, 54, 55)) and None not in less
     inner = " ".join(passage.split()[25:45])
     assert all(inner not in less[i]["text"] and less[i]["n_chars"] == len(less[i]["text"]) for i in range(1, 12))
     assert paragraphs.remove_runs(docs).columns == docs.columns
     assert paragraphs.repeated_runs(docs.limit(0)).collect() == []
 
 
+def test_paragraphs_beside_columns_of_any_name(spark):
+    rng = random.Random(31)
+    passage, own = words(rng, 200), [words(rng, 30) for _ in range(4)]
+    rows = [(None, f"{own[0]}\n{passage}"), (None, f"{own[1]}\n{passage}"), (None, f"{own[2]}\n{passage}"), (0, own[3]), (0, None), (None, None)]
+    names = ["_key", "_id", "_runs", "_likely", "_word", "_bits", "key", "c0", "number"]
+    docs = spark.createDataFrame([(*(f"{n}{k}" for n in names), i, t) for k, (i, t) in enumerate(rows)],
+                                 ", ".join(f"{n} string" for n in names) + ", doc_id bigint, text string")
+    less = paragraphs.remove_runs(docs)
+    assert less.schema == docs.schema
+    left = sorted(map(tuple, less.collect()))
+    assert [r[:-1] for r in left] == [(*(f"{n}{k}" for n in names), i) for k, (i, _) in enumerate(rows)]
+    assert [r[-1] for r in left[3:]] == [own[3], None, None] and all(own[k] in left[k][-1] for k in range(3))
+    assert sum(" ".join(passage.split()[20:180]) in r[-1] for r in left[:3]) == 1
+    assert [r["source_ids"] for r in paragraphs.repeated_runs(docs).collect()] == [[None]] * 2
+
+
 def test_paragraphs_of_rows_that_share_an_id(spark):
     rng = random.Random(12)
     copy, other, passage = words(rng, 40), "é" * 30 + " " + words(rng, 120), words(rng, 90)
