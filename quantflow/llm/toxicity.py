@@ -1,10 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's lower-cased words and their beginnings (which catch families of words),
-hashed; a text has a term or not. From labelled rows a linear count per hash tells which
-hashes carry evidence; the machine learns a weight and a short vector for each of those, so
-that pairs of terms (an insult and a group mention, say) count beyond the sum of their
-weights. Scoring broadcasts the model, whose size is bounded, and reads each text once.
+hashed; a text has a term or not. From labelled rows a count per hash tells which hashes carry
+evidence alone, and a count per pair which of the frequent ones carry it together with another;
+the machine learns a weight and a short vector for each of those, so that pairs of terms (an
+insult and a group mention, say) count beyond the sum of their weights. Scoring broadcasts the model, whose size is bounded, and reads each text once.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from quantflow.llm.shared import chunks, drop_staged, run_folder, staged
 
 TRAIN_ROWS = 20_000     # labelled rows that the fit takes at most: those of least hash of the id
 BUCKETS = 1 << 22       # hash values of a term
-MODEL_TERMS = 4096      # terms in the model at most
-LEAST_Z = 4.0           # evidence a term must show to enter it
+MODEL_TERMS = 4096      # terms in the model for their own evidence, at most
+LEAST_Z = 4.0           # evidence such a term must show
+PAIR_TERMS = 2048       # most frequent terms that are looked at in pairs with them and each other
+PAIR_Z = 5.0            # evidence of a pair beyond that of either term, for its terms to enter
 PREFIXES = (4, 5, 6)
 FACTORS = 4
 EPOCHS = 30
@@ -117,6 +119,40 @@ def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, n_terms: int, seed
     return Model({}, float(w[-1]), w[:-1], v)
 
 
+def evidence(n1: np.ndarray, n0: np.ndarray, all1: int, all0: int) -> np.ndarray:
+    """Root of the likelihood ratio between the shares of toxic and other texts."""
+    total, whole = 0, all1 + all0
+    for c1, c0 in ((n1, n0), (all1 - n1, all0 - n0)):
+        for seen, size in ((c1, all1), (c0, all0)):
+            mean = (c1 + c0) * (size / whole)
+            total = total + seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, mean, 1))
+    return np.sqrt(np.maximum(2 * total, 0))
+
+
+def paired(doc: np.ndarray, term: np.ndarray, label: np.ndarray, frequent: int, n_terms: int) -> np.ndarray:
+    """Which of the first ``frequent`` terms carry evidence in a pair with another term that
+    neither carries alone. Texts are taken in blocks."""
+    counts = np.zeros((2, frequent, n_terms), np.float32)
+    alone = np.zeros((2, n_terms))
+    for low in range(0, len(label), 1000):
+        at = slice(*np.searchsorted(doc, (low, low + 1000)))
+        has = np.zeros((min(1000, len(label) - low), n_terms), np.float32)
+        has[doc[at] - low, term[at]] = 1
+        for kind in (0, 1):
+            own = has[label[low:low + 1000] == kind]
+            counts[kind] += own[:, :frequent].T @ own
+            alone[kind] += own.sum(0)
+    all1, all0 = int(label.sum()), int((label == 0).sum())
+    single, found = evidence(alone[1], alone[0], all1, all0), np.zeros(frequent, bool)
+    for low in range(0, frequent, 128):
+        rows = slice(low, min(frequent, low + 128))
+        both = evidence(counts[1, rows].astype(float), counts[0, rows].astype(float), all1, all0)
+        row, partner = np.nonzero(both - np.maximum(single[rows][:, None], single) >= PAIR_Z)
+        found[low + row] = True
+        found[partner[partner < frequent]] = True
+    return found
+
+
 def held_out(id_col: str):
     """Rows that are kept from every fit: crc32 of the id as text leaves 2 modulo 4."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
@@ -126,11 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "toxic") -> Model:
     """Learn from the labelled rows that are not held out, ``TRAIN_ROWS`` at most: those whose
     ids have the least hashes. A document with several labels is toxic if one says so; rows
-    without an id, a label or a document teach nothing. With rows of one kind only, or none,
-    the model is the smoothed share of toxic rows."""
+    without an id, a label or a document teach nothing; rows that share an id teach each on its
+    own. With rows of one kind only, or none, the model is the smoothed share of toxic rows."""
     spark = docs.sparkSession
     folder = run_folder(spark, "toxicity")
-    chosen = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
+    there = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    chosen = (labels.join(there, id_col, "left_semi").where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
               .groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
               .orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS))
     rows = (docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
@@ -154,27 +191,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = (taught.select("label", F.explode("terms").alias("term")).groupBy("term")
                .agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
                .withColumn("z", F.abs(share) / F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / (n - n1)))))
-    best = counted.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MODEL_TERMS).select("term").collect()
-    terms = {r["term"]: k for k, r in enumerate(best)}
-    if not terms:
-        return base
+    counted = staged(counted.withColumn("n", F.col("n1") + F.col("n0")), folder, "counted")
+    often = [r["term"] for r in counted.orderBy(F.desc("n"), "term").limit(PAIR_TERMS).select("term").collect()]
+    best = [r["term"] for r in counted.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MODEL_TERMS).select("term").collect()]
+    looked_at = often + sorted(set(best) - set(often))
+    place, strong = {t: k for k, t in enumerate(looked_at)}, np.isin(looked_at, best)
+
+    def known(batches):
+        """Terms that are looked at, by their places: the rest stays where it is."""
+        for batch in batches:
+            lists = batch.column(1)
+            t = np.array([place.get(x, -1) for x in lists.flatten().to_pylist()], np.int32)
+            at = np.append(0, np.cumsum(t >= 0))[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(t[t >= 0]))], names=["label", "terms"])
 
     def learn(batches):
-        label, doc, term = [], [], []
+        label, doc, term, n = [], [], [], 0
         for batch in batches:
             lists = batch.column(1)
-            d = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())) + len(label)
-            t = np.array([terms.get(x, -1) for x in lists.flatten().to_pylist()], np.int64)
-            label += batch.column(0).to_pylist()
-            doc.append(d[t >= 0])
-            term.append(t[t >= 0])
-        if label:
-            m = fit(np.concatenate(doc), np.concatenate(term), np.array(label, float), len(terms))
-            yield pa.RecordBatch.from_pydict({"bias": [m.bias], "linear": [m.linear.tolist()], "factors": [m.factors.ravel().tolist()]})
-
-    learned = staged(taught.repartition(1).mapInArrow(learn, "bias double, linear array<double>, factors array<double>"),
+            label.append(batch.column(0).to_numpy())
+            doc.append(np.repeat(np.arange(n, n + len(lists)), np.diff(lists.offsets.to_numpy())))
+            term.append(lists.flatten().to_numpy())
+            n += len(lists)
+        if n:
+            label, doc, term = (np.concatenate(x).astype(np.int64) for x in (label, doc, term))
+            used = strong.copy()
+            used[:len(often)] |= paired(doc, term, label, len(often), len(strong))
+            row = np.cumsum(used) - 1
+            m = fit(doc[used[term]], row[term[used[term]]], label.astype(float), int(used.sum()))
+            yield pa.RecordBatch.from_pydict({"used": [np.flatnonzero(used).tolist()], "bias": [m.bias], "linear": [m.linear.tolist()],
+                                              "factors": [m.factors.ravel().tolist()]})
+
+    few = taught.mapInArrow(known, "label int, terms array<int>").repartition(1)
+    learned = staged(few.mapInArrow(learn, "used array<bigint>, bias double, linear array<double>, factors array<double>"),
                      folder, "model").first()
     drop_staged(spark, folder)
+    terms = {looked_at[k]: row for row, k in enumerate(learned["used"])}
     return Model(terms, learned["bias"], np.array(learned["linear"]), np.array(learned["factors"]).reshape(-1, FACTORS))
 
 
@@ -202,7 +254,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all of their columns."""
+    """The rows of ``docs`` that score below the threshold, with all of their columns, repeated
+    rows each on its own; null and empty texts score as texts without terms."""
     shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # plain values: workers may lack the package
     at = docs.columns.index(text_col)
 

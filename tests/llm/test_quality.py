@@ -92,3 +92,26 @@ def test_toxicity(spark):
     alone = toxicity.score(docs, toxicity.train(docs, marks.limit(0)))
     assert alone.select("score").distinct().count() == 1
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), marks)).collect() == []
+
+
+def test_terms_that_matter_only_as_a_pair(spark):
+    """Both terms are equally common in toxic and other texts; what they say together decides."""
+    rng = random.Random(17)
+    rows, marks = [], []
+    for i in range(2400):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        own = [f"w{rng.randrange(150)}" for _ in range(20)] + ["amber"] * a + ["brook"] * b
+        rng.shuffle(own)
+        rows.append((i, " ".join(own)))
+        marks.append((i, int(a != b)))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    orphans = spark.createDataFrame([(-k, k % 2) for k in range(1, 3000)], "doc_id bigint, toxic int")  # labels of no document
+    model = toxicity.train(docs, labels.unionByName(orphans))
+    found = [r for r in toxicity.score(docs, model, threshold=0.5).collect() if r["held_out"]]
+    right = sum(r["predicted"] == marks[r["doc_id"]][1] for r in found) / len(found)
+    assert len(found) > 400 and right > 0.95
+    for r in found[:50]:  # a naive sum over weights and pairs
+        terms = sorted({model.terms[h] for w in rows[r["doc_id"]][1].split() for h in toxicity.word_terms(w) if h in model.terms})
+        total = model.bias + sum(model.linear[t] for t in terms)
+        total += sum(model.factors[s] @ model.factors[t] for k, s in enumerate(terms) for t in terms[:k])
+        assert abs(1 / (1 + np.exp(-total)) - r["score"]) < 1e-9
