@@ -12,6 +12,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -39,6 +40,10 @@ def header_value(text: str | None) -> str:
     return "".join(" " if c in "\r\n" else c for c in text or "")
 
 
+def unquoted(key: str | None) -> str | None:
+    return None if key is None else unquote(key)
+
+
 def record(key: str | None, url: str | None, payload: bytes, refers_to: str | None, revisit: bool) -> bytes:
     """One record: an HTTP response with its payload, or a revisit, which has the same HTTP
     header but no payload."""
@@ -48,10 +53,10 @@ def record(key: str | None, url: str | None, payload: bytes, refers_to: str | No
              f"WARC-Record-ID: {record_id(f'{key}')}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {header_value(url)}",
              f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}"]
     if key is not None:
-        lines.append(f"X-Page-ID: {key}")
+        lines.append(f"X-Page-ID: {quote(key)}")
     if revisit:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(f'{refers_to}')}",
-                  f"X-Refers-To-Page-ID: {refers_to}"]
+                  f"X-Refers-To-Page-ID: {quote(refers_to)}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -140,11 +145,13 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("same", F.sha2("payload", 256))
-    last = rows.groupBy("same").agg(F.max("page_id").alias("last"))
-    short = F.length("payload") < least_bytes
-    revisit = ~short & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(last, "same").select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"),
-                                          revisit.alias("revisit"))
+    # digests that repeat are written first: the join then stands alone, so that Spark can
+    # broadcast them if they are few, and else split a payload that many pages share
+    last = rows.where(F.length("payload") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    last = staged(last.where("n > 1").drop("n"), run_folder(pages.sparkSession, "warc-digests"), "last")
+    revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    return rows.join(last, "same", "left").select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"),
+                                                  revisit.alias("revisit"))
 
 
 def write_archives(marked: DataFrame, folder: str, level: int = 4) -> DataFrame:
@@ -188,8 +195,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 with where.open_input_stream(below, compression=None) as stream:
                     for head, http, payload in read_records(stream):
                         revisit = head["WARC-Type"] == "revisit"
-                        rows.append((head.get("X-Page-ID"), head["WARC-Target-URI"], head["WARC-Type"],
-                                     head.get("X-Refers-To-Page-ID"), http_length(http),
+                        rows.append((unquoted(head.get("X-Page-ID")), head["WARC-Target-URI"], head["WARC-Type"],
+                                     unquoted(head.get("X-Refers-To-Page-ID")), http_length(http),
                                      head["WARC-Payload-Digest"].removeprefix("sha1:"),
                                      None if revisit or not payloads else payload))
                         held, seen = held + len(payload), seen + 1

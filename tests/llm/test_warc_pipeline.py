@@ -30,6 +30,14 @@ def test_round_trip(spark):
     assert [r["record_type"] for r in small] == ["response"] * 2
 
 
+def test_ids_of_any_text(spark):
+    ids = [" a", "b\r\nZ: 1", "", "%41", "é ", None]
+    pages = spark.createDataFrame([(i, "u", f"{k // 3}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    first, last = max(ids[:3]), "é "
+    assert found == {i: ("response", None) if i in (first, last) else ("revisit", first if k < 3 else last) for k, i in enumerate(ids)}
+
+
 def test_reader_refuses_damage():
     import zlib
 
