@@ -162,3 +162,34 @@ def test_daily_bars_follow_wall_clock_in_any_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == {"2024-01-01": (1.0, 1.0, 1), "2024-01-02": (2.0, 3.0, 2)}
+
+
+# ---- replay and buckets --------------------------------------------------------------
+
+def test_a_period_of_many_files_is_one_batch(spark):
+    rows = [(k, k * 1000 + i) for k, n in ((0, 4000), (1, 40), (2, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "__period int, n long").repartition(8)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2k")
+    try:
+        root = ST.stream_dir(spark, "test-src")
+        files = replay_as_files(df, root, "__period")
+    finally:
+        spark.conf.set(size, before)
+    assert files > 1
+    out = ST.stream_dir(spark, "test-out")
+    src = (spark.readStream.schema("n long").option("maxFilesPerTrigger", files)
+           .option("recursiveFileLookup", "true").parquet(root))
+    ST.run_foreach_batch(src, ST.append_batches(out), ST.stream_dir(spark, "test-ck"))
+    got = spark.read.parquet(out).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.expr("n div 1000")).alias("p")).collect()
+    assert sorted(r["n"] for r in got) == [1, 40, 4000]
+
+
+def test_symbols_of_one_bucket_keep_their_own_positions(spark):
+    rows = [(0, s, day(d), "BUY", 2.0, 5.0, d) for s in (1, 2, None) for d in (1, 0)] + [(1, 2, day(30), "SELL", 1.0, 6.0, 1), clock(2, 60)]
+    out = ST.stream_dir(spark, "test-out")
+    stream = ST.streaming_ledger(stream_of(spark, rows, FILL), order_cols=("date", "n"), delay="5 days", buckets=1)
+    ST.run_to_table(stream, out, ST.stream_dir(spark, "test-ck"))
+    got = {(r["symbol"], r["seq"], r["date"], r["position_qty"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(s, k + 1, day(k), 2.0 * (k + 1)) for s in (1, 2, None) for k in (0, 1)} | {(2, 3, day(30), 3.0)}
