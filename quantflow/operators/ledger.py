@@ -368,12 +368,13 @@ def account_equity(holdings: DataFrame, cash: DataFrame, account_keys: Sequence[
 def daily_snapshot(holdings: DataFrame, cash: DataFrame, account_keys: Sequence[str] = (),
                    date: str = "date", symbol: str = "symbol") -> DataFrame:
     """LED10: (date, cash, equity, holdings map, total_value); the map has one entry per
-    symbol held, so its size is bounded by the universe."""
+    symbol held, in the order of symbols, so its size is bounded by the universe."""
     ak = list(account_keys)
     hv = holdings.groupBy(*ak, date).agg(
         F.sum(money("value")).alias("__hv"),
-        F.map_from_entries(F.collect_list(F.struct(F.col(symbol).cast("string"), "value")))
-        .alias("holdings"))
+        F.map_from_entries(F.transform(
+            F.sort_array(F.collect_list(F.struct(F.col(symbol).alias("s"), "value"))),
+            lambda e: F.struct(e["s"].cast("string").alias("key"), e["value"].alias("value")))).alias("holdings"))
     j = cash.select(*ak, date, "cash").join(hv, [*ak, date], "left")
     eq = (money("cash") + F.coalesce(F.col("__hv"), F.lit(0).cast(MONEY))).cast("double")
     return j.select(*ak, date, "cash", eq.alias("equity"), "holdings", eq.alias("total_value"))

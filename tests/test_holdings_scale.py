@@ -66,3 +66,10 @@ def test_snapshot_rows_leave_the_holdings_in_place(spark):
     assert rows[(day(-1), None)] == (100.0, None) and rows[(day(2), 1)] == (115.0, 15.0) and rows[(day(2), None)] == (115.0, None)
     assert made.count() == holdings.count() + 1
     assert "LeftOuter" not in plan(made.where(F.col("symbol") > 0)).split("Generate explode")[0]
+
+
+def test_snapshot_maps_are_in_the_order_of_symbols(spark):
+    rows = [(s, day(0), 1.0) for s in (10, 9, 100, 2)]
+    holdings = spark.createDataFrame(rows, "symbol long, date date, value double").repartition(4)
+    cash = spark.createDataFrame([(day(0), 0.0)], "date date, cash double")
+    assert list(LG.daily_snapshot(holdings, cash).first()["holdings"]) == ["2", "9", "10", "100"]
