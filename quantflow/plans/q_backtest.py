@@ -108,8 +108,8 @@ def _bars(spark, sf_dir):
     return FX.bars_li(spark, sf_dir, price_scale=SCALE).select("symbol", "date", "close")
 
 
-def run_backtest(spark, sf_dir, grid=DEFAULT_GRID, output="decisions"):
-    bars = _bars(spark, sf_dir)
+def run_backtest(spark, sf_dir, grid=DEFAULT_GRID, output="decisions", bars=None):
+    bars = _bars(spark, sf_dir) if bars is None else bars
     prm = BT.params_frame(spark, grid)
     members = BT.one_symbol_accounts(bars, range(len(grid)))
     return BT.backtest(bars, members, prm, output=output)
@@ -171,9 +171,9 @@ def bkt1u(spark, sf_dir):
 def _decided(spark, sf_dir):
     """Signals of the rule, joined to the back-test's stored states before their date and
     decided by ``operators.risk``."""
-    bars = _bars(spark, sf_dir)
+    bars = cut_lineage(_bars(spark, sf_dir))  # derived once: the back-test, signals and prices read them
     account = F.concat(F.lit("0:"), F.col("symbol").cast("string"))
-    state = cut_lineage(run_backtest(spark, sf_dir).select("account_id", "symbol", "date", "position_qty", "avg_price", "cash"))
+    state = cut_lineage(run_backtest(spark, sf_dir, bars=bars).select("account_id", "symbol", "date", "position_qty", "avg_price", "cash"))
     signals = SG.rule_signal(bars).where(F.col("signal").isNotNull()).withColumn("account_id", account)
     return RK.decide(RK.state_before(signals, state, state, bars))
 
