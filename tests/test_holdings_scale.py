@@ -72,4 +72,5 @@ def test_snapshot_maps_are_in_the_order_of_symbols(spark):
     rows = [(s, day(0), 1.0) for s in (10, 9, 100, 2)]
     holdings = spark.createDataFrame(rows, "symbol long, date date, value double").repartition(4)
     cash = spark.createDataFrame([(day(0), 0.0)], "date date, cash double")
-    assert list(LG.daily_snapshot(holdings, cash).first()["holdings"]) == ["2", "9", "10", "100"]
+    # a collected map has no order
+    assert LG.daily_snapshot(holdings, cash).select(F.map_keys("holdings")).first()[0] == ["2", "9", "10", "100"]
