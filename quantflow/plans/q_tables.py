@@ -128,10 +128,9 @@ SELECT {SQL_DAILY} FROM ranked WHERE rn = 1"""
 
 @register("snk1_keyed_upsert", UPSERT_SQL, dates=())
 def snk1(spark, sf_dir):
-    daily = SK.with_month(_daily(spark, sf_dir))
+    daily = _stored(spark, sf_dir)  # its files are by month: the base is written as they are read
     path = _scratch(spark, "daily")
-    daily.where(F.col("trade_date") < 20000101).hint("rebalance", "trade_month") \
-        .write.partitionBy("trade_month").parquet(path)
+    daily.where(F.col("trade_date") < 20000101).write.partitionBy("trade_month").parquet(path)
     c = F.col("close")
     b1 = daily.where(F.col("trade_date") >= 19990101) \
         .withColumn("close", (c + 1).cast("decimal(18,4)")).withColumn("seq", F.lit(1).cast("long"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantflow.session import checkpoint_dir
+from quantflow.session import checkpoint_dir, dealt
 from quantflow.sources.tables import DAILY_DDL_SCHEMA
 
 DAILY_KEYS = ("ts_code", "trade_date")
@@ -77,19 +77,18 @@ def keyed_upsert(spark: SparkSession, table_path: str, batch: DataFrame,
         if missing:
             raise ValueError(f"the batch lacks stored columns: {missing}")
         # the batch's months are few; as literals they prune the stored side's partitions
-        touched = [r[0] for r in b.select(partition_col).distinct().collect()]
-        old = (cur.where(F.col(partition_col).isin(touched))
+        touched = dict(b.groupBy(partition_col).count().collect())
+        old = (cur.where(F.col(partition_col).isin(list(touched)))
                .withColumn("__prio", F.lit(0)).withColumn(seq_col, F.lit(0).cast("long")))
-        allrows = old.unionByName(b)
+        allrows = dealt(old.unionByName(b), sum(touched.values()) + old.count(), *keys)
     else:
         allrows = b
     w = Window.partitionBy(*keys).orderBy(F.col("__prio").desc(), F.col(seq_col).desc())
     merged = (allrows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1)
               .drop("__rn", "__prio", seq_col))
     stage = staging_path(spark, "upsert")
-    # rebalance: few files a month, but a large month is written by several tasks
-    merged.hint("rebalance", partition_col).write.mode("overwrite").partitionBy(partition_col) \
-        .parquet(stage)
+    # staged as the tasks have them: the write below moves the rows to their partitions
+    merged.write.mode("overwrite").parquet(stage)
     staged = spark.read.schema(merged.schema).parquet(stage)
     write_clustered(staged, table_path, partition_col, cluster or keys)
     _delete(spark, stage)
