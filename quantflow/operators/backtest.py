@@ -9,12 +9,17 @@ Plan: signals for every window in the parameter grid come from one window pass o
 bars (partitioned by symbol, in parallel). Bars are joined to account membership, the
 rows are hash-partitioned by account and sorted by (account, date, symbol) inside each
 partition, and ``mapInPandas`` folds the dates carrying one account's state. Memory is one
-date of one account (bounded by its universe) plus one Arrow batch. A sweep (BKT2) is the
-same job over many accounts, one per (parameter set, universe), folded in parallel.
+date of one account (bounded by its universe) plus one Arrow batch, and in Spark the sort of a
+task's rows. A sweep (BKT2) is the same job over many accounts, one per (parameter set,
+universe), folded in parallel. An account over a large universe is one sequence, whose rows
+would all come to one sort: with ``block_rows`` blocks of dates are folded one after the other,
+and each account's state is written between them.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Sequence
 from dataclasses import fields
 
@@ -26,7 +31,9 @@ from pyspark.sql import types as T
 from quantflow import params as P
 from quantflow.operators.ledger import apply_fill, new_position
 from quantflow.operators.signals import rule_avg
+from quantflow.session import checkpoint_dir
 
+IN_COLS = ["account_id", "param_id", "symbol", "date", "replay", "close"]
 PARAM_COLS = [f.name for f in fields(P.BacktestParams)]
 
 OUT_FIELDS = [
@@ -64,38 +71,47 @@ def with_grid_signals(bars: DataFrame, windows: Sequence[int], key="symbol",
     return bars.withColumns(cols)
 
 
-OUT_COLS = ["account_id", "param_id", "symbol", "date", "replay", "close"] + \
-    [n for n, _ in OUT_FIELDS]
+OUT_COLS = IN_COLS + [n for n, _ in OUT_FIELDS]
 FINAL_FIELDS = [("account_id", T.StringType()), ("param_id", T.LongType()),
                 ("last_date", T.DateType()), ("final_cash", T.DoubleType()),
                 ("final_equity", T.DoubleType()), ("realized_pnl", T.DoubleType()),
                 ("n_trades", T.LongType())]
 FINAL_COLS = [n for n, _ in FINAL_FIELDS]
+STATE = ["cash", "pos", "prices", "peak", "equity", "last_date", "n_trades"]
 
 
-def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool = False):
+def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool = False,
+          carry: bool = False):
     """Date fold of one account at a time; a small helper run inside ``mapInPandas``.
 
     ``grid`` maps param_id -> parameter dict (the sweep grid, captured in the closure, so
     rows carry only the id). Rows arrive sorted by (account, date, replay, symbol). With
-    ``final_only`` one row per account (its end state) leaves the Python worker.
+    ``final_only`` one row per account (its end state) leaves the Python worker. With ``carry``
+    there is a column ``state``: the row that has one comes before an account's others, which go
+    on from there, and each account gives such a row after its others.
     """
+    out_cols = OUT_COLS + ["state"] * carry
 
     def run(batches):
         st = {"acct": None}
-        out = {c: [] for c in OUT_COLS}
+        out = {c: [] for c in out_cols}
         fin = {c: [] for c in FINAL_COLS}
 
         def close_account():
             if st["acct"] is None:
                 return
+            if carry:
+                row = dict(zip(IN_COLS, st["last"]), state=pickle.dumps({c: st[c] for c in STATE}))
+                for c in out_cols:
+                    out[c].append(row.get(c))
+                return
             for c, v in zip(FINAL_COLS, (st["acct"], st["pid"], st["last_date"], st["cash"],
                                          st["equity"], sum(p[4] for p in st["pos"].values()),
                                          st["n_trades"])):
                 fin[c].append(v)
 
         def reset(acct, pid):
-            if final_only:
+            if final_only or carry:
                 close_account()
             prm = grid[pid]
             st.update(acct=acct, pid=pid, prm=prm, cash=float(prm["initial_cash"]), pos={},
@@ -158,7 +174,7 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool =
                 return
             for r, d in zip(rows, dec):
                 p = pos.get(r[2])
-                for c, v in zip(("account_id", "param_id", "symbol", "date", "replay", "close"), r):
+                for c, v in zip(IN_COLS, r):
                     out[c].append(v)
                 for c, v in zip(("dd_blocked", "stop_blocked", "order_reject", "action",
                                  "fill_price", "commission", "trade_pnl"), d):
@@ -171,9 +187,11 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool =
                 out["cash"].append(st["cash"])
                 out["equity"].append(equity)
                 out["holding_value"].append(hold.get(r[2], 0.0))
+                if carry:
+                    out["state"].append(None)
 
         def flush():
-            cols, buf = (FINAL_COLS, fin) if final_only else (OUT_COLS, out)
+            cols, buf = (FINAL_COLS, fin) if final_only else (out_cols, out)
             res = pd.DataFrame(buf, columns=cols)
             for c in cols:
                 buf[c] = []
@@ -184,9 +202,9 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool =
             if pdf.empty:
                 continue
             sig = pdf["signal"].astype(object).where(pdf["signal"].notna(), None)
-            cols = [pdf[c].tolist() for c in ("account_id", "param_id", "symbol", "date",
-                                              "replay", "close")] + [sig.tolist()]
-            for r in zip(*cols):
+            cols = [pdf[c].tolist() for c in IN_COLS] + [sig.tolist()]
+            states = pdf["state"].tolist() if carry else [None] * len(pdf)
+            for r, state in zip(zip(*cols), states):
                 key = (r[0], r[3], r[4])
                 if key != step_key:
                     if pending:
@@ -195,12 +213,17 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool =
                     if r[0] != st["acct"]:
                         reset(r[0], r[1])
                     step_key = key
-                pending.append(r)
+                if carry:
+                    st["last"] = r[:6]
+                if state is not None:
+                    st.update(pickle.loads(state))
+                else:
+                    pending.append(r)
             if out["account_id"] or fin["account_id"]:
                 yield flush()
         if pending:
             step(pending)
-        if final_only:
+        if final_only or carry:
             close_account()
         if out["account_id"] or fin["account_id"]:
             yield flush()
@@ -210,7 +233,7 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool =
 
 def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
              num_partitions: int | None = None, replay: str = "per_date",
-             output: str = "decisions") -> DataFrame:
+             output: str = "decisions", block_rows: int | None = None) -> DataFrame:
     """BKT1/BKT2: per (account, symbol, date) decision and state rows.
 
     ``bars(symbol, date, close)``; ``membership(account_id, param_id, symbol)``;
@@ -219,6 +242,8 @@ def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
     fold's closure, so rows carry only ``param_id``. ``replay="per_row"`` (BKT3) replays a
     date once per bar of that date, as the reference iterator does. ``output="final"``
     returns one end-state row per account (what a sweep ranks) instead of every decision.
+    ``block_rows`` folds blocks of whole dates of about as many rows, one after the other, for
+    accounts whose rows are too many for one task's sort; decisions only.
     """
     spark = bars.sparkSession
     grid = {r["param_id"]: r.asDict() for r in params.collect()}  # the user's grid, bounded
@@ -239,9 +264,17 @@ def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
                else sig.when(F.col("__w") == W, F.col(f"__sig{W}")))
     rows = rows.withColumn("signal", sig)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    in_cols = ["account_id", "param_id", "symbol", "date", "replay", "close", "signal"]
+    rows = rows.select(*IN_COLS, "signal")
+    if output not in ("decisions", "final"):
+        raise ValueError("output must be decisions or final")
+    if block_rows is not None:
+        if output != "decisions" or block_rows < 1:
+            raise ValueError("block_rows takes a positive number, and gives decisions")
+        rows, blocks, folder = _date_blocks(rows, block_rows)
+        if len(blocks) > 1:
+            return _fold_blocks(rows, blocks, folder, grid, num_partitions)
     # Dates cross the Python boundary as day numbers (plain integers convert fastest).
-    srt = (rows.select(*in_cols).repartition(n, "account_id")
+    srt = (rows.repartition(n, "account_id")
            .sortWithinPartitions("account_id", "date", "replay", "symbol")
            .withColumn("date", F.unix_date("date")))
     if output == "final":
@@ -249,12 +282,55 @@ def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
                   for c, t in FINAL_FIELDS]
         return (srt.mapInPandas(_fold(grid, final_only=True), T.StructType(fields))
                 .withColumn("last_date", F.date_from_unix_date("last_date")))
-    if output != "decisions":
-        raise ValueError("output must be decisions or final")
+    return (srt.mapInPandas(_fold(grid), _out_schema(srt))
+            .withColumn("date", F.date_from_unix_date("date")))
+
+
+def _out_schema(rows: DataFrame) -> T.StructType:
     types = dict(OUT_FIELDS)
-    schema = T.StructType([srt.schema[c] if c in srt.columns and c != "signal"
-                           else T.StructField(c, types[c], True) for c in OUT_COLS])
-    return (srt.mapInPandas(_fold(grid), schema)
+    return T.StructType([rows.schema[c] if c in IN_COLS else T.StructField(c, types[c], True) for c in OUT_COLS])
+
+
+def _date_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, list, str]:
+    """The rows, stored by ranges of dates, and the last date of each block of whole dates with
+    about ``block_rows`` rows; rows without a date are of the first block, as they sort first."""
+    spark = rows.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/backtest-{uuid.uuid4().hex[:12]}"
+    rows.repartitionByRange("date").write.parquet(f"{folder}/rows")
+    stored = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    days = stored.groupBy("date").count().orderBy("date").collect()  # one row a date of the calendar
+    blocks, held = [], 0
+    for day, count in days:
+        if blocks and (blocks[-1] is None or held + count <= block_rows):
+            blocks[-1] = day
+        else:
+            blocks.append(day)
+            held = 0
+        held += count
+    return stored, blocks, folder
+
+
+def _fold_blocks(rows: DataFrame, blocks: list, folder: str, grid: dict, num_partitions: int | None) -> DataFrame:
+    """Decisions of one block of dates after the other. A task sorts the rows of one block; the
+    states that a block ends with stand before the next one's rows, and are written with it."""
+    spark = rows.sparkSession
+    keys = ["account_id"] if num_partitions is None else [num_partitions, "account_id"]
+    states, before, schema, paths = None, None, None, []
+    for k, last in enumerate(blocks):
+        own = F.col("date") <= F.lit(last)
+        own = (own | F.col("date").isNull()) if before is None else own & (F.col("date") > F.lit(before))
+        block = rows.where(own).withColumn("date", F.unix_date("date")).withColumn("state", F.lit(None).cast("binary"))
+        if schema is None:
+            schema = _out_schema(block).add("state", T.BinaryType())
+        if states is not None:
+            block = states.select(*block.columns).unionByName(block)
+        srt = block.repartition(*keys).sortWithinPartitions(
+            "account_id", F.col("state").isNull(), "date", "replay", "symbol")
+        paths.append(f"{folder}/block-{k}")
+        srt.mapInPandas(_fold(grid, carry=True), schema).write.parquet(paths[-1])
+        states = spark.read.schema(schema).parquet(paths[-1]).where("state IS NOT NULL")
+        before = last
+    return (spark.read.schema(schema).parquet(*paths).where("state IS NULL").drop("state")
             .withColumn("date", F.date_from_unix_date("date")))
 
 

@@ -18,8 +18,9 @@ from quantflow.operators import signals as SG
 from quantflow.plans.oracle_views import ctes
 from quantflow.plans.registry import register
 from quantflow.plans.util import rounded
-from quantflow.session import cut_lineage
+from quantflow.session import TASK_ROWS, cut_lineage, dealt
 from quantflow.sources import fixtures as FX
+from quantflow.sources.tables import read_table
 
 SCALE = 100.0
 D = "::DOUBLE"
@@ -157,13 +158,16 @@ def bkt3(spark, sf_dir):
 
 @register("bkt1_backtest_universe")
 def bkt1u(spark, sf_dir):
-    """Rows-only: one account over the whole universe of ``bars_li``; daily snapshots."""
+    """Rows-only: one account over the whole universe of ``bars_li``; daily snapshots. Folded in
+    blocks of dates, as all of its rows are one sequence."""
     bars = _bars(spark, sf_dir)
+    lines = read_table(spark, sf_dir, "lineitem").count()  # there are no more bars
     prm = BT.params_frame(spark, DEFAULT_GRID)
     members = bars.select("symbol").distinct().select(
         F.lit("universe").alias("account_id"), F.lit(0).cast("long").alias("param_id"),
         "symbol")
-    return rounded(BT.snapshots(BT.backtest(bars, members, prm)).drop("replay"))
+    dec = BT.backtest(dealt(bars, lines, "symbol"), members, prm, block_rows=TASK_ROWS)
+    return rounded(BT.snapshots(dec).drop("replay"))
 
 
 # ---- risk gates and order formation: table operators over stored account states ---------

@@ -90,3 +90,38 @@ def test_final_output_matches_decisions(spark):
         last = dec.where((F.col("account_id") == a)).orderBy(F.col("date").desc()).first()
         n = dec.where((F.col("account_id") == a) & F.col("action").isin("BUY", "SELL")).count()
         assert fin[a]["final_equity"] == last["equity"] and fin[a]["n_trades"] == n
+
+
+def _uneven(spark, symbols=4, dates=12):
+    rows = [(f"S{s}", D0 + dt.timedelta(days=i), 100.0 + (i * (3 + s) + s * s) % 11)
+            for s in range(symbols) for i in range(dates) if (i + s) % 5]
+    acc = [(a, p, f"S{s}") for a, p, n in (("x", 0, symbols), ("y", 1, 2), ("z", 0, symbols - 1)) for s in range(n)]
+    return _bars(spark, rows), spark.createDataFrame(acc, "account_id string, param_id long, symbol string")
+
+
+def test_blocks_of_dates_equal_one_fold(spark):
+    bars, members = _uneven(spark)
+    ended = bars.where((F.col("date") < D0 + dt.timedelta(days=6)) & (F.col("symbol") == "S1"))
+    bars = bars.unionByName(ended.withColumn("symbol", F.lit("old")))  # an account that ends early
+    members = members.unionByName(spark.createDataFrame([("w", 1, "old")], members.schema))
+    prm = BT.params_frame(spark, [P.BacktestParams(initial_cash=5000.0, max_drawdown=0.05, running_peak=True),
+                                  P.BacktestParams(window=5, stop_loss=0.02)])
+    order = ["account_id", "date", "symbol"]
+    for replay in ("per_date", "per_row"):
+        whole = BT.backtest(bars, members, prm, replay=replay)
+        want = whole.orderBy(*order, "replay").collect()
+        for block_rows in (25, 10_000):
+            got = BT.backtest(bars, members, prm, replay=replay, block_rows=block_rows)
+            assert got.dtypes == whole.dtypes and got.orderBy(*order, "replay").collect() == want
+    assert {r["action"] for r in want} >= {"BUY", "SELL"}
+
+
+def test_block_rows_bound_what_a_task_sorts(spark, monkeypatch):
+    """The rows of one account are never all in one fold."""
+    bars, members = _uneven(spark)
+    members = members.where("account_id = 'x'")
+    folded, fold_blocks = [], BT._fold_blocks
+    monkeypatch.setattr(BT, "_fold_blocks", lambda rows, blocks, *a: (folded.append((rows.count(), len(blocks))), fold_blocks(rows, blocks, *a))[1])
+    prm = BT.params_frame(spark, [P.BacktestParams()])
+    assert BT.backtest(bars, members, prm, block_rows=10).count() == folded[0][0]
+    assert folded[0][1] >= folded[0][0] / 10
