@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -253,8 +254,7 @@ def test_near_copies_of_whole_lines(spark):
 
 
 def test_blocks_join_what_all_links_would(monkeypatch):
-    import pyarrow as pa
-
+    
     from quantflow.llm import blocks
     rng = np.random.default_rng(12)
     for percent in (50, 80, 85):
@@ -306,3 +306,23 @@ def test_jaccard_join_of_a_hot_token(spark, monkeypatch):
     links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     root = roots(sets, links)
     assert {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(docs).collect()} == root
+
+
+def test_pieces_are_gone_when_links_are_made(spark, monkeypatch):
+    """Only units that may have partners are on disk while their sets are moved."""
+    rng = random.Random(18)
+    shared = words(rng, 60)
+    docs = spark.createDataFrame([(i, f"{words(rng, 50)} {shared} {words(rng, 50)}") for i in range(6)] + [(9, words(rng, 4000))],
+                                 "doc_id bigint, text string")
+    seen, link_sets = {}, paragraphs.link_sets
+
+    def look(posts, sets_of, percent, folder):
+        seen["names"] = set(os.listdir(folder))
+        seen["units"] = spark.read.parquet(f"{folder}/full").groupBy("id").count().collect()
+        return link_sets(posts, sets_of, percent, folder)
+
+    monkeypatch.setattr(paragraphs, "link_sets", look)
+    monkeypatch.setattr(paragraphs, "run_folder", lambda s, what: str(jaccard.run_folder(s, what)).removeprefix("file:"))
+    assert {r["doc_id"] for r in paragraphs.repeated_runs(docs).collect()} == {1, 2, 3, 4, 5}
+    assert not {"pieces", "every", "met"} & seen["names"] and "posts" in seen["names"]
+    assert sum(r["count"] for r in seen["units"] if r["id"] == 9) <= 5
