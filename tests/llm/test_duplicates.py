@@ -5,11 +5,14 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from quantflow.llm import components, embeddings, jaccard, lyndon, paragraphs, substrings
+from quantflow.llm.shared import chunks
 from quantflow.llm.shingles import mix  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -254,7 +257,8 @@ def test_near_copies_of_whole_lines(spark):
 
 
 def test_blocks_join_what_all_links_would(monkeypatch):
-    
+    import pyarrow as pa
+
     from quantflow.llm import blocks
     rng = np.random.default_rng(12)
     for percent in (50, 80, 85):
@@ -326,3 +330,16 @@ def test_pieces_are_gone_when_links_are_made(spark, monkeypatch):
     assert {r["doc_id"] for r in paragraphs.repeated_runs(docs).collect()} == {1, 2, 3, 4, 5}
     assert not {"pieces", "every", "met"} & seen["names"] and "posts" in seen["names"]
     assert sum(r["count"] for r in seen["units"] if r["id"] == 9) <= 5
+
+
+def test_cutting_takes_little_memory():
+    rng = random.Random(19)
+    texts = pa.array([words(rng, 2_000) for _ in range(150)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    assert texts.nbytes > 1 << 20
+    tracemalloc.start()
+    for part in chunks([batch], 0, paragraphs.CUT_BYTES):
+        paragraphs.units(part.column(0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
