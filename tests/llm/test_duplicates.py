@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quantflow.llm import components, embeddings, jaccard, lyndon, paragraphs, substrings
 from quantflow.llm.shared import chunks
@@ -343,3 +344,71 @@ def test_cutting_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 << 20
+
+
+def test_paragraph_groups_do_not_grow_with_chance_meetings(spark, monkeypatch):
+    """Units that meet by a common shingle, but are not alike, are not held against each other's sets."""
+    from quantflow.llm import blocks
+    monkeypatch.setattr(blocks, "BLOCK_NODES", 8)
+    rng = random.Random(23)
+    common = [words(rng, 5) for _ in range(6)]  # shingles that chain many lines together
+    lines = [f"{words(rng, 3)} {rng.choice(common)} {words(rng, 3)} {rng.choice(common)} {words(rng, 2)}" for _ in range(300)]
+    passage = words(rng, 60)
+    rows = [(i, "\n".join(lines[i::30])) for i in range(30)] + [(i, f"{words(rng, 20)} {passage} {words(rng, 20)}") for i in (40, 41)]
+    seen, block_links = [], jaccard.group_blocks
+
+    def look(*args):
+        out = block_links(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "group_blocks", look)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [(r["doc_id"], r["source_ids"]) for r in paragraphs.repeated_runs(docs).collect()] == [(41, [40])]
+    assert sum(seen) <= 60
+
+
+def test_groups_larger_than_a_block_are_searched_in_their_ties(spark, monkeypatch):
+    """A chain of ties makes one group of all nodes: each is moved for the blocks it is tied in, not for all of the group."""
+    from quantflow.llm import blocks
+    monkeypatch.setattr(blocks, "BLOCK_NODES", 8)
+    n, tie = 400, "a bigint, b bigint, block bigint"
+    able = spark.createDataFrame([(7, k, k, 10) for k in range(n)] + [(9, k, k, 10) for k in (1000, 1001)],
+                                 "token bigint, node bigint, root bigint, size bigint")
+    ties = spark.createDataFrame([(k, k + 1, 5_000 + k) for k in range(n - 1)] * 2 + [(1000, 1001, 1)], tie)
+    large = able.groupBy("token").agg(F.count("*").alias("count"), F.sum("size").alias("total")).where(blocks.block_parts() > 1).select("token")
+    found = {}
+    for r in blocks.group_blocks(able, ties, large).collect():
+        found.setdefault((r["token"], r["x"], r["y"]), []).append(r["node"])
+    assert sum(map(len, found.values())) == 2 * (n - 1) + 2
+    assert {tuple(sorted(v)) for v in found.values()} == {(k, k + 1) for k in range(n - 1)} | {(1000, 1001)}
+
+
+def test_ties_of_small_and_large_blocks():
+    """Blocks that are looked through together give the ties that they give one by one."""
+    from quantflow.llm import blocks
+    rng = np.random.default_rng(5)
+    rows = []
+    for token in range(80):
+        base = rng.choice(10 ** 6, int(rng.choice([8, 60, 200])), replace=False)
+        for _ in range(int(rng.choice([2, 3, 5, 30]))):
+            own = base.copy()
+            k = int(rng.integers(0, 1 + len(own) // 5))
+            own[:k] = rng.choice(10 ** 6, k) + 10 ** 6
+            rows.append((token, np.unique(own)))
+    size = np.array([len(v) for _, v in rows])
+    sketch = jaccard.parity_sketches(np.repeat(np.arange(len(rows)), size), np.concatenate([v for _, v in rows]).view(np.uint64), size)
+    none, token = np.zeros(len(rows), np.int32), np.array([t for t, _ in rows])
+    for held in ({}, {"sketch": sketch}):
+        table = pa.table({"token": token, "x": none, "y": none, "node": np.arange(len(rows)) * 7, "root": np.arange(len(rows)), "size": size,
+                          "place": none, **held})
+        whole = blocks.may_link(table, 80).to_pydict()
+        one = [blocks.may_link(table.filter(pa.array(token == t)), 80).to_pydict() for t in range(80)]
+        assert all(whole[c] == [v for o in one for v in o[c]] for c in ("a", "b", "block"))
+        near = [(7 * i, 7 * j) for i in range(len(rows)) for j in range(i) if token[i] == token[j] and
+                100 * len(np.intersect1d(rows[i][1], rows[j][1])) >= 80 * len(np.union1d(rows[i][1], rows[j][1]))]
+        group = roots([7 * k for k in range(len(rows))], list(zip(whole["a"], whole["b"])))
+        assert near and all(group[a] == group[b] for a, b in near)
+        # the nodes tied in one block share its hash
+        at = dict(zip(whole["a"], whole["block"])) | dict(zip(whole["b"], whole["block"]))
+        assert all(at[a] == at[b] for a, b in near)
