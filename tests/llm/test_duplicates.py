@@ -412,3 +412,12 @@ def test_ties_of_small_and_large_blocks():
         # the nodes tied in one block share its hash
         at = dict(zip(whole["a"], whole["block"])) | dict(zip(whole["b"], whole["block"]))
         assert all(at[a] == at[b] for a, b in near)
+
+
+def test_two_bitmaps_pass_all_partners_and_few_others(spark, monkeypatch):
+    from quantflow.llm import shared
+    monkeypatch.setattr(shared, "BITMAP_WORDS", 64)  # 4096 bits
+    rows, keys = spark.range(8_000).withColumnRenamed("id", "k"), spark.range(1_000).withColumnRenamed("id", "k")
+    found = {r["k"] for r in shared.likely_rows(rows, keys, "k").collect()}
+    one = shared.likely_in(rows, keys, "k").where("_likely").count()
+    assert found >= set(range(1_000)) and len(found) - 1_000 < (one - 1_000) / 2
