@@ -13,7 +13,8 @@ date of one account (bounded by its universe) plus one Arrow batch, and in Spark
 task's rows. A sweep (BKT2) is the same job over many accounts, one per (parameter set,
 universe), folded in parallel. An account over a large universe is one sequence, whose rows
 would all come to one sort: with ``block_rows`` blocks of dates are folded one after the other,
-and each account's state is written between them.
+and each account's state is written between them. Where only the account's days are asked for
+(``output="days"``), a date of many symbols is decided on arrays, by the same operations.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import fields
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +79,9 @@ FINAL_FIELDS = [("account_id", T.StringType()), ("param_id", T.LongType()),
                 ("final_equity", T.DoubleType()), ("realized_pnl", T.DoubleType()),
                 ("n_trades", T.LongType())]
 FINAL_COLS = [n for n, _ in FINAL_FIELDS]
+DAY_COLS = ["account_id", "param_id", "date", "replay", "equity_before", "cash", "equity"]
+#: Signals as numbers, for arrays; 0 is none.
+SIGNALS = [None, "BUY", "SELL", "HOLDING"]
 STATE = ["cash", "pos", "prices", "peak", "equity", "last_date", "n_trades"]
 
 
@@ -231,6 +236,149 @@ def _fold(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), final_only: bool =
     return run
 
 
+class _Held:
+    """The positions of an account as arrays, in the order in which they were opened: the order
+    in which their values are added up."""
+
+    def __init__(self, pos: dict, prices: dict, dtype):
+        self.symbols = np.array(list(pos), dtype=dtype)
+        self.q, self.avg = (np.array([p[k] for p in pos.values()], dtype="float64") for k in (0, 1))
+        self.price = np.array([prices.get(s, 0.0) for s in pos], dtype="float64")
+        self.order = np.argsort(self.symbols)
+        self.ordered = self.symbols[self.order]
+
+    def rows(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each row has a position, and which."""
+        if not len(self.symbols):
+            return np.zeros(len(symbols), dtype=bool), np.zeros(len(symbols), dtype="int64")
+        at = np.minimum(np.searchsorted(self.ordered, symbols), len(self.ordered) - 1)
+        return self.ordered[at] == symbols, self.order[at]
+
+    def worth(self) -> float:
+        return sum((self.q * self.price).tolist())
+
+
+def _fold_days(grid: dict, fees: P.FeeSchedule = P.FeeSchedule(), carry: bool = False):
+    """``_fold`` for the accounts' days: one row per step with the state after it. Signals come
+    as places in ``SIGNALS``. The decisions of a date depend on the state before it only, so they
+    are made on arrays; what is ordered is filled in turn."""
+    cols = DAY_COLS + ["state"] * carry
+
+    def run(batches):
+        st = {"acct": None}
+        out = []
+
+        def close_account():
+            if st["acct"] is not None and carry:
+                state = pickle.dumps({c: st[c] for c in STATE})
+                out.append((st["acct"], st["pid"], None, 0, None, None, None, state))
+
+        def reset(acct, pid):
+            close_account()
+            prm = grid[pid]
+            cash = float(prm["initial_cash"])
+            st.update(acct=acct, pid=pid, prm=prm, cash=cash, pos={}, prices={}, peak=cash, equity=cash, last_date=None, n_trades=0)
+
+        def step(date, replay, syms, px, sig, held):
+            """Decide and fill one date; ``held`` mirrors the positions, or is made again."""
+            prm, pos, prices, size = st["prm"], st["pos"], st["prices"], float(st["prm"]["order_size"])
+            held = held or _Held(pos, prices, syms.dtype)
+            has, at = held.rows(syms)
+            held.price[at[has]] = px[has]  # of several rows of a symbol the last one holds
+            equity_pre = st["cash"] + held.worth()
+            if prm["running_peak"]:
+                st["peak"] = max(st["peak"], equity_pre)
+            peak = st["peak"]
+            dd = peak != 0 and (1 - equity_pre / peak) >= prm["max_drawdown"]
+            orders = np.empty(0, dtype="int64")
+            if not dd:
+                q, avg = np.zeros(len(px)), np.zeros(len(px))
+                q[has], avg[has] = held.q[at[has]], held.avg[at[has]]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    stop = (q > 0) & (px > 0) & (avg != 0) & ((px - avg) / avg <= -prm["stop_loss"])
+                    if not prm["block_sells_on_stop"]:
+                        stop &= sig == 1
+                    poor = (sig == 1) & (st["cash"] < px * size)
+                    short = (sig == 2) & (~has | (q < size))
+                orders = np.flatnonzero((sig > 0) & ~stop & ~poor & ~short)
+            if len(orders):
+                prices.update(zip(held.symbols.tolist(), held.price.tolist()))
+                names = syms.tolist()
+                last = dict(zip(names, px.tolist()))
+                for j in orders.tolist():
+                    sym, side = names[j], SIGNALS[sig[j]]
+                    sign = 1 if side == "BUY" else (-1 if side == "SELL" else 0)
+                    prices[sym] = last[sym]
+                    p = pos.setdefault(sym, new_position())
+                    if sign == 0:
+                        continue  # HOLDING fills at the close and changes nothing
+                    acc, _, _, _, _, _, cash = apply_fill(p, side, size, float(px[j]) * (1 + sign * prm["slippage"]), fees)
+                    if acc:
+                        st["cash"] += cash
+                        st["n_trades"] += 1
+                held = _Held(pos, prices, syms.dtype)
+            equity = held.worth() + st["cash"]
+            st["equity"], st["last_date"] = equity, date
+            out.append((st["acct"], st["pid"], date, replay, equity_pre, st["cash"], equity) + (None,) * carry)
+            return held
+
+        def settle(held):
+            if held is not None:
+                st["prices"].update(zip(held.symbols.tolist(), held.price.tolist()))
+
+        def flush():
+            res = pd.DataFrame(out, columns=cols).astype({"date": "Int32"})
+            out.clear()
+            return res
+
+        held, pending, at = None, [], None
+
+        def finish(held):
+            if not pending:
+                return held
+            syms, px, sig = (np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*pending))
+            pending.clear()
+            return step(at[1], at[2], syms, px, sig, held)
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            acct, pid, state = pdf["account_id"].tolist(), pdf["param_id"].tolist(), pdf["state"].tolist() if carry else None
+            day, replay = pdf["date"].to_numpy(), pdf["replay"].to_numpy()
+            arrays = pdf["symbol"].to_numpy(), pdf["close"].to_numpy(dtype="float64"), pdf["signal"].to_numpy()
+            names = pdf["account_id"].to_numpy()
+            new = (names[1:] != names[:-1]) | (replay[1:] != replay[:-1]) | ((day[1:] != day[:-1]) & ~(pd.isna(day[1:]) & pd.isna(day[:-1])))
+            if carry:
+                marked = pdf["state"].notna().to_numpy()
+                new |= marked[1:] | marked[:-1]
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(names)]
+            for lo, hi in zip(edges, edges[1:]):
+                d = None if pd.isna(day[lo]) else int(day[lo])
+                mark = carry and state[lo] is not None
+                key = (acct[lo], d, int(replay[lo]))
+                if key != at or mark:
+                    held = finish(held)
+                    if acct[lo] != st["acct"]:
+                        settle(held)
+                        held = None
+                        reset(acct[lo], pid[lo])
+                    at = None if mark else key
+                if mark:
+                    st.update(pickle.loads(state[lo]))
+                    held = None
+                else:
+                    pending.append(tuple(a[lo:hi] for a in arrays))
+            if out:
+                yield flush()
+        held = finish(held)
+        settle(held)
+        close_account()
+        if out:
+            yield flush()
+
+    return run
+
+
 def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
              num_partitions: int | None = None, replay: str = "per_date",
              output: str = "decisions", block_rows: int | None = None) -> DataFrame:
@@ -241,9 +389,10 @@ def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
     user-supplied list of settings: it is read once on the driver and travels inside the
     fold's closure, so rows carry only ``param_id``. ``replay="per_row"`` (BKT3) replays a
     date once per bar of that date, as the reference iterator does. ``output="final"``
-    returns one end-state row per account (what a sweep ranks) instead of every decision.
+    returns one end-state row per account (what a sweep ranks) instead of every decision, and
+    ``output="days"`` one row per account and step (``DAY_COLS``; what ``snapshots`` takes).
     ``block_rows`` folds blocks of whole dates of about as many rows, one after the other, for
-    accounts whose rows are too many for one task's sort; decisions only.
+    accounts whose rows are too many for one task's sort; not for end states.
     """
     spark = bars.sparkSession
     grid = {r["param_id"]: r.asDict() for r in params.collect()}  # the user's grid, bounded
@@ -265,14 +414,17 @@ def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
     rows = rows.withColumn("signal", sig)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select(*IN_COLS, "signal")
-    if output not in ("decisions", "final"):
-        raise ValueError("output must be decisions or final")
+    if output not in ("decisions", "days", "final"):
+        raise ValueError("output must be decisions, days or final")
+    if output == "days":
+        code = F.array_position(F.array(*map(F.lit, SIGNALS[1:])), F.col("signal"))
+        rows = rows.withColumn("signal", F.coalesce(code, F.lit(0)).cast("tinyint"))
     if block_rows is not None:
-        if output != "decisions" or block_rows < 1:
-            raise ValueError("block_rows takes a positive number, and gives decisions")
+        if output == "final" or block_rows < 1:
+            raise ValueError("block_rows takes a positive number, and gives decisions or days")
         rows, blocks, folder = _date_blocks(rows, block_rows)
         if len(blocks) > 1:
-            return _fold_blocks(rows, blocks, folder, grid, num_partitions)
+            return _fold_blocks(rows, blocks, folder, grid, num_partitions, output == "days")
     # Dates cross the Python boundary as day numbers (plain integers convert fastest).
     srt = (rows.repartition(n, "account_id")
            .sortWithinPartitions("account_id", "date", "replay", "symbol")
@@ -282,21 +434,24 @@ def backtest(bars: DataFrame, membership: DataFrame, params: DataFrame,
                   for c, t in FINAL_FIELDS]
         return (srt.mapInPandas(_fold(grid, final_only=True), T.StructType(fields))
                 .withColumn("last_date", F.date_from_unix_date("last_date")))
-    return (srt.mapInPandas(_fold(grid), _out_schema(srt))
+    days = output == "days"
+    return (srt.mapInPandas((_fold_days if days else _fold)(grid), _out_schema(srt, days))
             .withColumn("date", F.date_from_unix_date("date")))
 
 
-def _out_schema(rows: DataFrame) -> T.StructType:
+def _out_schema(rows: DataFrame, days: bool = False) -> T.StructType:
     types = dict(OUT_FIELDS)
-    return T.StructType([rows.schema[c] if c in IN_COLS else T.StructField(c, types[c], True) for c in OUT_COLS])
+    return T.StructType([rows.schema[c] if c in IN_COLS else T.StructField(c, types[c], True)
+                         for c in (DAY_COLS if days else OUT_COLS)])
 
 
 def _date_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, list, str]:
     """The rows, stored by ranges of dates, and the last date of each block of whole dates with
-    about ``block_rows`` rows; rows without a date are of the first block, as they sort first."""
+    about ``block_rows`` rows; rows without a date are of the first block, as they sort first.
+    Files are sorted, all at once in as many tasks: a block's sort then only merges runs."""
     spark = rows.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/backtest-{uuid.uuid4().hex[:12]}"
-    rows.repartitionByRange("date").write.parquet(f"{folder}/rows")
+    rows.repartitionByRange("date").sortWithinPartitions("account_id", "date", "replay", "symbol").write.parquet(f"{folder}/rows")
     stored = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     days = stored.groupBy("date").count().orderBy("date").collect()  # one row a date of the calendar
     blocks, held = [], 0
@@ -310,9 +465,10 @@ def _date_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, list, str
     return stored, blocks, folder
 
 
-def _fold_blocks(rows: DataFrame, blocks: list, folder: str, grid: dict, num_partitions: int | None) -> DataFrame:
-    """Decisions of one block of dates after the other. A task sorts the rows of one block; the
-    states that a block ends with stand before the next one's rows, and are written with it."""
+def _fold_blocks(rows: DataFrame, blocks: list, folder: str, grid: dict, num_partitions: int | None, days: bool) -> DataFrame:
+    """Decisions, or days, of one block of dates after the other. A task sorts the rows of one
+    block; the states that a block ends with stand before the next one's rows, and are written
+    with it."""
     spark = rows.sparkSession
     keys = ["account_id"] if num_partitions is None else [num_partitions, "account_id"]
     states, before, schema, paths = None, None, None, []
@@ -321,13 +477,15 @@ def _fold_blocks(rows: DataFrame, blocks: list, folder: str, grid: dict, num_par
         own = (own | F.col("date").isNull()) if before is None else own & (F.col("date") > F.lit(before))
         block = rows.where(own).withColumn("date", F.unix_date("date")).withColumn("state", F.lit(None).cast("binary"))
         if schema is None:
-            schema = _out_schema(block).add("state", T.BinaryType())
+            schema = _out_schema(block, days).add("state", T.BinaryType())
         if states is not None:
-            block = states.select(*block.columns).unionByName(block)
+            # of a state's row only the account is read; no nulls, with which numbers would turn into floats
+            block = states.select(*[F.col(c) if c in ("account_id", "param_id", "state") else F.lit(0).cast(block.schema[c].dataType).alias(c)
+                                    for c in block.columns]).unionByName(block)
         srt = block.repartition(*keys).sortWithinPartitions(
             "account_id", F.col("state").isNull(), "date", "replay", "symbol")
         paths.append(f"{folder}/block-{k}")
-        srt.mapInPandas(_fold(grid, carry=True), schema).write.parquet(paths[-1])
+        srt.mapInPandas((_fold_days if days else _fold)(grid, carry=True), schema).write.parquet(paths[-1])
         states = spark.read.schema(schema).parquet(paths[-1]).where("state IS NOT NULL")
         before = last
     return (spark.read.schema(schema).parquet(*paths).where("state IS NULL").drop("state")

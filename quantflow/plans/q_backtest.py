@@ -166,8 +166,8 @@ def bkt1u(spark, sf_dir):
     members = bars.select("symbol").distinct().select(
         F.lit("universe").alias("account_id"), F.lit(0).cast("long").alias("param_id"),
         "symbol")
-    dec = BT.backtest(dealt(bars, lines, "symbol"), members, prm, block_rows=TASK_ROWS)
-    return rounded(BT.snapshots(dec).drop("replay"))
+    days = BT.backtest(dealt(bars, lines, "symbol"), members, prm, output="days", block_rows=TASK_ROWS)
+    return rounded(BT.snapshots(days).drop("replay"))
 
 
 # ---- risk gates and order formation: table operators over stored account states ---------
