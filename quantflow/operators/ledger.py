@@ -404,19 +404,80 @@ FEW_SYMBOLS = 1000
 
 
 def symbol_equity_wide(history: DataFrame, symbols: Sequence, symbol: str = "symbol",
-                       date: str = "date") -> DataFrame:
+                       date: str = "date", iso_dates: bool = False) -> DataFrame:
     """LED13: aligned view of ``symbols`` (display only; the long form is the primary table).
+    ``iso_dates`` writes a row's date out as text where the row is built, not in a step over all
+    of its columns.
 
-    A row of the view is as wide as the list. For a long one the points are dealt out by date
-    first, so that a date's row is built in one task; otherwise each task of the points would
-    build, and send, a row as wide for every date. Of a short list only its own points are moved,
-    and one row a date for all others."""
+    A row of the view is as wide as the list. For a long one the points are dealt out and sorted
+    by date, and their places in the rows are filled outside the plan, which has no expression
+    and no aggregation buffer a symbol (``_wide_rows``). Of a short list only its own points are
+    moved, and one row a date for all others."""
     if len(symbols) <= FEW_SYMBOLS:
         own = F.when(F.col(symbol).isin(list(symbols)), F.col(symbol))
         history = history.select(date, own.alias(symbol), "value")
-    else:
-        history = history.select(date, symbol, "value").repartition(date)
-    return history.groupBy(date).pivot(symbol, list(symbols)).agg(F.first("value"))
+        out = history.groupBy(date).pivot(symbol, list(symbols)).agg(F.first("value"))
+        return out.withColumn(date, F.date_format(date, "yyyy-MM-dd")) if iso_dates else out
+    points = history.select(date, symbol, F.col("value").cast("double").alias("value")).repartition(date).sortWithinPartitions(date)
+    day = history.schema[date]
+    schema = T.StructType([T.StructField(date, T.StringType() if iso_dates else day.dataType, day.nullable)] + [T.StructField(str(s), T.DoubleType()) for s in symbols])
+    return points.mapInArrow(_wide_rows(list(symbols), iso_dates), schema)
+
+
+#: Places in the rows of one Arrow batch of a wide view, about (8 bytes each).
+WIDE_CELLS = 2_000_000
+
+
+def _wide_rows(symbols: list, iso_dates: bool = False):
+    """Rows of (date, symbol, value), sorted by date, as one row a date with a place for each of
+    ``symbols``; of several values of a place the first one read stays. Memory is ``WIDE_CELLS``
+    places, or one date's, and an Arrow batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        index = pd.Index(symbols)
+        names = [None, *map(str, symbols)]
+        most = max(1, WIDE_CELLS // len(symbols))
+        days, day_type = [], None
+        cells = np.zeros((len(symbols), most))
+        filled, taken = (np.zeros((len(symbols), most), dtype=bool) for _ in range(2))
+
+        def flush():
+            columns = [pa.array([d and d.isoformat() for d in days], type=pa.string()) if iso_dates else pa.array(days, type=day_type)]
+            n = len(days)
+            bits = np.packbits(filled[:, :n], axis=1, bitorder="little")
+            width, values = bits.shape[1], cells[:, :n].copy()  # the batch keeps its own
+            bits, values = pa.py_buffer(bits), pa.py_buffer(values)
+            columns += [pa.Array.from_buffers(pa.float64(), n, [bits.slice(k * width, width), values.slice(k * n * 8, n * 8)])
+                        for k in range(len(symbols))]
+            out = pa.RecordBatch.from_arrays(columns, names=names)
+            days.clear()
+            cells[:], filled[:], taken[:] = 0, False, False
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            day, names[0], day_type = batch.column(0), batch.schema.names[0], batch.schema.types[0]
+            runs = day.dictionary_encode(null_encoding="encode")
+            codes = runs.indices.to_numpy(zero_copy_only=False)
+            found = runs.dictionary.to_pylist()
+            place = index.get_indexer(batch.column(1).to_pandas())
+            value, known = batch.column(2).to_numpy(zero_copy_only=False), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            edges = np.searchsorted(codes, np.arange(len(found) + 1))  # sorted: a day's rows are one run
+            for d, lo, hi in zip(found, edges, edges[1:]):
+                if not days or days[-1] != d:
+                    if len(days) == most:
+                        yield flush()
+                    days.append(d)
+                at, k = place[lo:hi], len(days) - 1
+                rows = np.flatnonzero((at >= 0) & ~taken[at, k])[::-1]  # written backwards, so that the first one stays
+                cells[at[rows], k], filled[at[rows], k], taken[at[rows], k] = value[lo:hi][rows], known[lo:hi][rows], True
+        if days:
+            yield flush()
+
+    return run
 
 
 def valid_fills(fills: DataFrame) -> DataFrame:

@@ -249,7 +249,7 @@ def led13(spark, sf_dir):
     """Rows-only: one column for each symbol of the data (display form of LED11)."""
     hist = LG.symbol_equity_history(_holdings(spark, sf_dir))
     symbols = sorted((r[0] for r in hist.select("symbol").distinct().collect()), key=str)
-    return LG.symbol_equity_wide(hist, symbols).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return LG.symbol_equity_wide(hist, symbols, iso_dates=True)
 
 
 ALIGNED = list(range(1, 11))  # symbols of the aligned view: the caller's list, not the data's
